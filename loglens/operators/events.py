@@ -38,13 +38,14 @@ def dedupe_events(
     """First row per non-empty id; rows without an id are all kept.
 
     The rank filter becomes a group limit on both sides of the shuffle, so an
-    id with very many copies sends one row per task. Rows without an id do not
-    shuffle at all. Pass more ``order_by`` columns where copies may differ.
+    id with very many copies sends one row per task. A row without an id gets
+    a key of its own, which spreads such rows evenly and needs no second scan.
+    Pass more ``order_by`` columns where copies may differ.
     """
-    has_id = F.coalesce(F.col(key), F.lit("")) != ""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order_by))
-    first = events.filter(has_id).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-    return first.unionByName(events.filter(~has_id))
+    own_key = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    keyed = events.withColumn("_key", F.coalesce(F.nullif(F.col(key), F.lit("")), own_key))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(*order_by))
+    return keyed.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_key")
 
 
 def event_route(

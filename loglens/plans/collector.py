@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import events as ev, facts as fc, usage
 from ..operators.events import Period
@@ -13,7 +13,7 @@ from ..operators.events import Period
 
 @dataclass(frozen=True)
 class Collected:
-    """Clean tables of one run; lazy, or stored by ``store``."""
+    """Clean tables of one run, all lazy."""
 
     events: DataFrame
     store_events: DataFrame
@@ -22,14 +22,24 @@ class Collected:
     skipped_workgroups: DataFrame
     skipped_buckets: DataFrame
 
-    def store(self, path: str) -> Collected:
-        """Write the tables once, so that many reports read them, not the log."""
-        stored = {}
-        for name in self.__dataclass_fields__:
-            table: DataFrame = getattr(self, name)
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-            stored[name] = table.sparkSession.read.parquet(f"{path}/{name}")
-        return Collected(**stored)
+
+def land_records(records: DataFrame, path: str, strict_source: bool = False) -> DataFrame:
+    """Write the routed records once as Parquet, one folder per route.
+
+    JSON is then parsed a single time however many reports follow, without a
+    shuffle. Give the result to ``collect_usage``.
+    """
+    routed = ev.route_events(ev.unwrap_api_record(records), strict_source)
+    routed.write.mode("overwrite").partitionBy("route").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
+
+def _empty_stats(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [],
+        "query_execution_id string, query string, workgroup string, database string, "
+        "status string, data_scanned bigint, execution_time_ms bigint",
+    )
 
 
 def collect_usage(
@@ -45,25 +55,21 @@ def collect_usage(
     Routing comes before the deduplication, so records of other services are
     gone before the shuffle, and copies always route alike.
     """
-    routed = ev.route_events(ev.unwrap_api_record(records), strict_source)
+    routed = records
+    if "route" not in records.columns:
+        routed = ev.route_events(ev.unwrap_api_record(records), strict_source)
     queries = ev.normalize_athena_events(routed.filter("route = 'query'"))
     store = ev.normalize_s3_events(routed.filter("route = 'store'"))
     if period is not None:
         queries = ev.time_range_filter(queries, period)
         store = ev.time_range_filter(store, period)
-    queries = ev.dedupe_events(queries)
-    store = ev.dedupe_events(store)
-    kept = ev.workgroup_allow_list(queries, workgroups)
+    # Copies share workgroup and bucket, so filtering first only saves work.
+    kept = ev.dedupe_events(ev.workgroup_allow_list(queries, workgroups))
     starts = fc.query_starts(kept)
-    if stats is None:
-        stats = records.sparkSession.createDataFrame(
-            [],
-            "query_execution_id string, query string, workgroup string, database string, "
-            "status string, data_scanned bigint, execution_time_ms bigint",
-        )
+    stats = _empty_stats(records.sparkSession) if stats is None else stats
     return Collected(
         events=kept,
-        store_events=ev.bucket_filter(store, buckets),
+        store_events=ev.dedupe_events(ev.bucket_filter(store, buckets)),
         starts=starts,
         facts=fc.query_facts(fc.enrich_queries(starts, stats)),
         skipped_workgroups=ev.skipped_workgroups(queries, workgroups),

@@ -59,6 +59,11 @@ def read_bundle_members(spark: SparkSession, path: str | list[str]) -> DataFrame
         .option("recursiveFileLookup", True)
         .load(path)
     )
+    return unzip_members(files)
+
+
+def unzip_members(files: DataFrame) -> DataFrame:
+    """Members of zips held as rows (path, content)."""
     return files.select("path", "content").mapInPandas(_unzip, _ROW)
 
 
