@@ -548,9 +548,7 @@ def query_starts(spark, sf):
 
 @query
 def enrich_queries(spark, sf):
-    run = collected(spark, sf)
-    stats = sources.read_execution_stats(view(spark, sf, "execution_stats"))
-    return fc.enrich_queries(run.starts, stats)
+    return collected(spark, sf).enriched
 
 
 @query

@@ -18,7 +18,6 @@ from .measures import (
     long_running_class,
     long_running_minutes,
     nonzero,
-    pct_text,
     prefer_non_empty,
     share_pct,
     truncate_preview,

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
-
 from pyspark.sql import Column, functions as F
 
 from .. import rules
 from .events import _col
+from .sqltext import quoted
 
 
-def prefer_non_empty(*columns: Column | str) -> Column:
+def prefer_non_empty(*columns: str) -> Column:
     """First value that is neither null nor empty; else empty."""
-    return F.coalesce(*(F.nullif(_col(c), F.lit("")) for c in columns), F.lit(""))
+    return F.expr(f"coalesce({', '.join(f'''nullif({c}, '')''' for c in columns)}, '')")
 
 
-def nonzero(*columns: Column | str) -> Column:
+def nonzero(*columns: str) -> Column:
     """First number that is neither null nor zero; else zero."""
-    return F.coalesce(*(F.nullif(_col(c), F.lit(0)) for c in columns), F.lit(0)).cast("bigint")
+    return F.expr(f"coalesce({', '.join(f'nullif({c}, 0)' for c in columns)}, 0L)")
 
 
 def truncate_preview(text: Column | str, length: int, ellipsis: str = "") -> Column:
@@ -30,60 +28,63 @@ def truncate_preview(text: Column | str, length: int, ellipsis: str = "") -> Col
     return F.when(F.length(text) > length, F.concat(head, F.lit(ellipsis))).otherwise(text)
 
 
-def error_class(message: Column | str) -> Column:
-    low = F.lower(F.coalesce(_col(message), F.lit("")))
-    out = None
-    for label, choices in rules.ERROR_RULES:
-        hit = reduce(or_, (reduce(and_, (low.contains(w) for w in words)) for words in choices))
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(rules.OTHER_ERROR)
+def error_class(message: str) -> Column:
+    low = f"lower(coalesce({message}, ''))"
+
+    def hit(choices) -> str:
+        return " OR ".join(
+            "(" + " AND ".join(f"contains({low}, {quoted(w)})" for w in words) + ")"
+            for words in choices
+        )
 
+    whens = " ".join(
+        f"WHEN {hit(choices)} THEN {quoted(label)}" for label, choices in rules.ERROR_RULES
+    )
+    return F.expr(f"CASE {whens} ELSE {quoted(rules.OTHER_ERROR)} END")
 
-def execution_time_bucket(ms: Column | str) -> Column:
-    ms = _col(ms)
-    out = None
-    for below, label in rules.TIME_BUCKETS:
-        if below is None:
-            return out.otherwise(label)
-        out = F.when(ms < below, label) if out is None else out.when(ms < below, label)
 
+def execution_time_bucket(ms: str) -> Column:
+    whens = " ".join(
+        f"WHEN {ms} < {below} THEN {quoted(label)}" for below, label in rules.TIME_BUCKETS if below
+    )
+    return F.expr(f"CASE {whens} ELSE {quoted(rules.TIME_BUCKETS[-1][1])} END")
 
-def long_running_class(ms: Column | str) -> Column:
+
+def long_running_class(ms: str) -> Column:
     """Class of a query that ran at least ten minutes; null below."""
-    ms = _col(ms)
-    out = None
-    for minutes, label in rules.LONG_RUNNING:
-        hit = ms >= minutes * 60_000
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out
+    whens = " ".join(
+        f"WHEN {ms} >= {minutes * 60_000} THEN '{label}'" for minutes, label in rules.LONG_RUNNING
+    )
+    return F.expr(f"CASE {whens} END")
 
 
-def long_running_minutes(ms: Column | str) -> Column:
+def long_running_minutes(ms: str) -> Column:
     """Minutes to one decimal, ties to even, in whole-number arithmetic."""
-    ms = _col(ms)
-    down = F.floor(ms / 6000)
-    rest = ms - down * 6000
-    up = (rest > 3000) | ((rest == 3000) & (down % 2 == 1))
-    return (down + up.cast("int")) / 10
+    tenths = f"({ms} DIV 6000)"
+    up = f"{ms} % 6000 > 3000 OR ({ms} % 6000 = 3000 AND {tenths} % 2 = 1)"
+    return F.expr(f"({tenths} + CASE WHEN {up} THEN 1 ELSE 0 END) / 10")
 
 
-def format_bytes(size: Column | str) -> Column:
+def format_bytes(size: str) -> Column:
     """'0 B', else the size over 1024 as often as it goes (to PB), one decimal.
 
     The quotient is an exact binary fraction, so ties go to the even digit.
     """
-    size = _col(size)
-    out = F.when(size == 0, "0 B")
-    for power, unit in enumerate(rules.BYTE_UNITS):
-        text = F.format_string(f"%.1f {unit}", F.bround(size / F.lit(float(1024**power)), 1))
-        if unit == rules.BYTE_UNITS[-1]:
-            return out.otherwise(text)
-        out = out.when(size < 1024 ** (power + 1), text)
 
+    def text(power: int) -> str:
+        unit = rules.BYTE_UNITS[power]
+        return f"format_string('%.1f {unit}', bround({size} / {1024**power}D, 1))"
+
+    last = len(rules.BYTE_UNITS) - 1
+    whens = " ".join(
+        f"WHEN {size} < {1024 ** (power + 1)}L THEN {text(power)}" for power in range(last)
+    )
+    return F.expr(f"CASE WHEN {size} = 0 THEN '0 B' {whens} ELSE {text(last)} END")
 
-def gigabytes(size: Column | str, digits: int) -> Column:
+
+def gigabytes(size: str, digits: int) -> Column:
     """Bytes as GB text with ``digits`` decimals, ties to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(_col(size) / F.lit(float(1024**3)), digits))
+    return F.expr(f"format_string('%.{digits}f', bround({size} / {1024**3}D, {digits}))")
 
 
 def share_pct(part: Column, whole: Column) -> Column:
@@ -91,14 +92,12 @@ def share_pct(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
-def pct_text(value: Column, text: str) -> Column:
-    """A sentence with a percentage to one decimal, ties to the even digit."""
-    return F.format_string(text, F.bround(value, 1))
-
-
-def feature_note(tag: Column | str) -> Column:
-    tag = _col(tag)
-    out = F.when(tag.startswith("Trino:"), rules.DIALECT_NOTE)
-    for name, note in rules.FEATURE_NOTES.items():
-        out = out.when(tag == name, note)
-    return out.otherwise(rules.DEFAULT_NOTE)
+def feature_note(tag: str) -> Column:
+    whens = " ".join(
+        f"WHEN {tag} = {quoted(name)} THEN {quoted(note)}"
+        for name, note in rules.FEATURE_NOTES.items()
+    )
+    return F.expr(
+        f"CASE WHEN startswith({tag}, 'Trino:') THEN {quoted(rules.DIALECT_NOTE)} {whens} "
+        f"ELSE {quoted(rules.DEFAULT_NOTE)} END"
+    )

@@ -1,19 +1,18 @@
 """SQL text: statement type, tables, fingerprint, masking, tags, complexity, DDL.
 
-Patterns carry ``(?U)`` so that \\w, \\b, \\s and \\d are Unicode classes, and
-``(?d)`` where a dot is used, so that only a line feed ends a line.
+All functions take the name of the text column and build one SQL expression, so
+a rule table of any length is a single call to the planner. Patterns carry
+``(?U)`` so that \\w, \\b, \\s and \\d are Unicode classes, and ``(?d)`` where a
+dot is used, so that only a line feed ends a line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, functions as F
 
 from .. import rules
-from .events import _col
 
 _FLAGS = "(?Ud)"
 _NUMBER = r"(?U)\b\d+\.?\d*\b"
@@ -23,162 +22,169 @@ _SINGLE_QUOTED = r"(?d)'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 _DOUBLE_QUOTED = r'(?d)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
-def _strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(rules.WHITE_SPACE))
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _has(text: Column, pattern: str, needles: Iterable[str] = ()) -> Column:
-    """Pattern test behind a plain substring test, null-safe."""
-    hit = text.rlike(_FLAGS + pattern)
-    gates = [text.contains(needle) for needle in needles]
-    hit = reduce(or_, gates) & hit if gates else hit
-    return F.coalesce(hit, F.lit(False))
+def _strip(text: str) -> str:
+    return f"btrim({text}, {quoted(rules.WHITE_SPACE)})"
 
 
-def _count(text: Column, pattern: str, needle: str) -> Column:
-    found = F.regexp_count(text, F.lit(_FLAGS + pattern))
-    return F.when(text.contains(needle), found).otherwise(F.lit(0))
+def _replace(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)})"
 
 
-def _tags(text: Column, rule_rows: Iterable[rules.Rule]) -> Column:
+def _has(text: str, pattern: str, needles: Iterable[str] = ()) -> str:
+    """Pattern test behind plain substring tests; false for a null text."""
+    hit = f"rlike({text}, {quoted(_FLAGS + pattern)})"
+    gate = " OR ".join(f"contains({text}, {quoted(n)})" for n in needles)
+    return f"coalesce(({gate}) AND {hit}, false)" if gate else f"coalesce({hit}, false)"
+
+
+def _count(text: str, pattern: str, needle: str) -> str:
+    found = f"regexp_count({text}, {quoted(_FLAGS + pattern)})"
+    return f"CASE WHEN contains({text}, {quoted(needle)}) THEN {found} ELSE 0 END"
+
+
+def _tags(text: str, rule_rows: Iterable[rules.Rule]) -> Column:
     """Array of the tags whose rule matches, in rule order, each once."""
-    upper = F.upper(text)
-    hits: dict[str, Column] = {}
+    hits: dict[str, list[str]] = {}
     for rule in rule_rows:
-        hit = _has(text if rule.raw else upper, rule.pattern, rule.needles)
-        hits[rule.tag] = hits[rule.tag] | hit if rule.tag in hits else hit
-    return F.array_compact(F.array(*(F.when(hit, F.lit(tag)) for tag, hit in hits.items())))
+        source = text if rule.raw else f"upper({text})"
+        hits.setdefault(rule.tag, []).append(_has(source, rule.pattern, rule.needles))
+    cases = (f"CASE WHEN {' OR '.join(t)} THEN {quoted(tag)} END" for tag, t in hits.items())
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
-def classify_query(query: Column | str) -> Column:
-    q = F.upper(_strip(_col(query)))
-    out = F.when(
-        q.startswith("SELECT"), F.when(q.contains(" AS SELECT"), "CTAS").otherwise("SELECT")
+def classify_query(query: str) -> Column:
+    q = f"upper({_strip(query)})"
+    whens = " ".join(
+        f"WHEN startswith({q}, {quoted(prefix)}) THEN {quoted(kind)}"
+        for prefix, kind in rules.STATEMENT_PREFIXES
     )
-    for prefix, kind in rules.STATEMENT_PREFIXES:
-        out = out.when(q.startswith(prefix), kind)
-    return out.otherwise("OTHER")
+    select = f"CASE WHEN contains({q}, ' AS SELECT') THEN 'CTAS' ELSE 'SELECT' END"
+    return F.expr(f"CASE WHEN startswith({q}, 'SELECT') THEN {select} {whens} ELSE 'OTHER' END")
 
 
-def extract_tables(query: Column | str) -> Column:
+def extract_tables(query: str) -> Column:
     """Distinct names after FROM or JOIN, in order of text, keywords left out."""
-    q = _col(query)
-    found = [
-        F.regexp_extract_all(q, F.lit(rf"(?iU)\b{word}\s+{rules.TABLE_NAME}"), F.lit(1))
+    found = ", ".join(
+        f"regexp_extract_all({query}, {quoted(rf'(?iU)\b{word}\s+{rules.TABLE_NAME}')}, 1)"
         for word in ("FROM", "JOIN")
-    ]
-    return F.filter(F.array_union(*found), lambda t: ~F.lower(t).isin(*rules.NOT_TABLES))
+    )
+    words = ", ".join(quoted(w) for w in rules.NOT_TABLES)
+    return F.expr(f"filter(array_union({found}), t -> lower(t) NOT IN ({words}))")
 
 
-def query_fingerprint(query: Column | str) -> Column:
+def query_fingerprint(query: str) -> Column:
     """Twelve hex digits that equal texts share, whatever their literals."""
-    text = F.upper(_strip(_col(query)))
-    text = F.regexp_replace(text, "'[^']*'", "'?'")
-    text = F.regexp_replace(text, _NUMBER, "?")
-    text = _strip(F.regexp_replace(text, "(?U)[\\s\x1c-\x1f]+", " "))
-    return F.substring(F.sha2(text, 256), 1, 12)
+    text = f"upper({_strip(query)})"
+    text = _replace(text, "'[^']*'", "'?'")
+    text = _replace(text, _NUMBER, "?")
+    text = _strip(_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.expr(f"substring(sha2({text}, 256), 1, 12)")
 
 
-def sanitize_query(query: Column | str) -> Column:
+def sanitize_query(query: str) -> Column:
     """Text without comments and literals, cut at 1000 characters."""
-    text = F.regexp_replace(_col(query), r"--[^\n]*", "")
-    text = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    text = F.regexp_replace(text, _SINGLE_QUOTED, "'<VALUE>'")
-    text = F.regexp_replace(text, _DOUBLE_QUOTED, '"<VALUE>"')
-    text = F.regexp_replace(text, _NUMBER, "<NUM>")
-    return F.when(F.length(text) > 1000, F.concat(F.substring(text, 1, 1000), F.lit("..."))).otherwise(
-        text
-    )
+    text = _replace(query, r"--[^\n]*", "")
+    text = _replace(text, r"(?s)/\*.*?\*/", "")
+    text = _replace(text, _SINGLE_QUOTED, "'<VALUE>'")
+    text = _replace(text, _DOUBLE_QUOTED, '"<VALUE>"')
+    text = _replace(text, _NUMBER, "<NUM>")
+    # One row of a one-element array names the masked text for its three uses.
+    cut = "CASE WHEN length(t) > 1000 THEN concat(substring(t, 1, 1000), '...') ELSE t END"
+    return F.expr(f"transform(array({text}), t -> {cut})[0]")
 
 
-def sql_features(query: Column | str, rule_rows: Iterable[rules.Rule] = rules.FEATURE_RULES) -> Column:
-    return _tags(_col(query), rule_rows)
+def sql_features(query: str, rule_rows: Iterable[rules.Rule] = rules.FEATURE_RULES) -> Column:
+    return _tags(query, rule_rows)
 
 
-def migration_flags(query: Column | str, rule_rows: Iterable[rules.Rule] = rules.FLAG_RULES) -> Column:
-    return _tags(_col(query), rule_rows)
+def migration_flags(query: str, rule_rows: Iterable[rules.Rule] = rules.FLAG_RULES) -> Column:
+    return _tags(query, rule_rows)
 
 
-def query_complexity(query: Column | str) -> Column:
+def query_complexity(query: str) -> Column:
     """Struct of join, CTE, subquery and union counts and grouping tests."""
-    u = F.upper(_col(query))
-    kinds = [(kind, _count(u, pattern, "JOIN")) for kind, pattern in rules.JOIN_RULES]
-    joins = F.array(*(F.struct(F.lit(k).alias("kind"), n.alias("n")) for k, n in kinds))
+    u = f"upper({query})"
+    joins = ", ".join(
+        f"named_struct('kind', {quoted(kind)}, 'n', {_count(u, pattern, 'JOIN')})"
+        for kind, pattern in rules.JOIN_RULES
+    )
+    total = " + ".join(f"({_count(u, pattern, 'JOIN')})" for _, pattern in rules.JOIN_RULES)
     group_by = _has(u, rules.GROUP_BY_PATTERN, ("GROUP",))
     aggregation = _has(u, rules.AGGREGATION_PATTERN, rules.AGGREGATE_NAMES)
     ungrouped = _has(u, rules.UNGROUPED_PATTERN, ("SELECT",))
-    return F.struct(
-        joins.alias("joins"),
-        F.aggregate(joins, F.lit(0), lambda total, j: total + j["n"]).alias("join_count"),
-        _count(u, rules.CTE_PATTERN, "WITH").alias("cte_count"),
-        _count(u, rules.SUBQUERY_PATTERN, "SELECT").alias("subquery_count"),
-        _count(u, rules.UNION_PATTERN, "UNION").alias("union_count"),
-        group_by.alias("has_group_by"),
-        aggregation.alias("has_aggregation"),
-        (aggregation & ~group_by & ungrouped).alias("potential_missing_group_by"),
+    return F.expr(
+        f"""named_struct(
+          'joins', array({joins}),
+          'join_count', {total},
+          'cte_count', {_count(u, rules.CTE_PATTERN, "WITH")},
+          'subquery_count', {_count(u, rules.SUBQUERY_PATTERN, "SELECT")},
+          'union_count', {_count(u, rules.UNION_PATTERN, "UNION")},
+          'has_group_by', {group_by},
+          'has_aggregation', {aggregation},
+          'potential_missing_group_by', {aggregation} AND NOT {group_by} AND {ungrouped})"""
     )
 
 
-def is_high_complexity(complexity: Column) -> Column:
-    return (complexity["join_count"] >= rules.HIGH_COMPLEXITY) | (
-        complexity["subquery_count"] >= rules.HIGH_COMPLEXITY
+def is_high_complexity(complexity: str = "complexity") -> Column:
+    return F.expr(
+        f"{complexity}.join_count >= {rules.HIGH_COMPLEXITY} "
+        f"OR {complexity}.subquery_count >= {rules.HIGH_COMPLEXITY}"
     )
 
 
-def join_types(complexity: Column) -> Column:
+def join_types(complexity: str = "complexity") -> Column:
     """Join kinds in counting order, each as often as it occurs."""
-    return F.flatten(
-        F.transform(complexity["joins"], lambda j: F.array_repeat(j["kind"], j["n"]))
+    return F.expr(f"flatten(transform({complexity}.joins, j -> array_repeat(j.kind, j.n)))")
+
+
+def _ddl_type(query: str) -> str:
+    q = f"upper({_strip(query)})"
+    starts = " OR ".join(f"startswith({q}, '{word}')" for word in rules.DDL_STARTS)
+    whens = " ".join(
+        f"WHEN rlike({q}, {quoted(_FLAGS + pattern)}) THEN '{kind}'"
+        for kind, pattern in rules.DDL_RULES
     )
+    return f"CASE WHEN {starts} THEN CASE {whens} END END"
 
 
-def ddl_type(query: Column | str) -> Column:
+def ddl_type(query: str) -> Column:
     """CREATE, DROP, ALTER, TRUNCATE or REPAIR; null for anything else."""
-    q = F.upper(_strip(_col(query)))
-    out = None
-    for kind, pattern in rules.DDL_RULES:
-        hit = q.rlike(_FLAGS + pattern)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return F.when(reduce(or_, (q.startswith(s) for s in rules.DDL_STARTS)), out)
+    return F.expr(_ddl_type(query))
 
 
-def ddl_operation(query: Column | str, event_time: Column | str) -> Column:
+def ddl_operation(query: str, event_time: str) -> Column:
     """Struct of DDL type, object and hour; null for other statements."""
-    q = F.upper(_strip(_col(query)))
-    name = F.btrim(F.regexp_extract(q, _FLAGS + rules.DDL_OBJECT_PATTERN, 3), F.lit("`\"'"))
-    found = F.regexp_like(q, F.lit(_FLAGS + rules.DDL_OBJECT_PATTERN))
-    kind = ddl_type(query)
-    return F.when(
-        kind.isNotNull(),
-        F.struct(
-            kind.alias("type"),
-            F.when(found, name).otherwise("unknown").alias("object"),
-            F.coalesce(F.hour(_col(event_time)), F.lit(0)).alias("hour"),
-        ),
+    q = f"upper({_strip(query)})"
+    pattern = quoted(_FLAGS + rules.DDL_OBJECT_PATTERN)
+    name = f"btrim(regexp_extract({q}, {pattern}, 3), {quoted('`' + chr(34) + chr(39))})"
+    kind = _ddl_type(query)
+    return F.expr(
+        f"""CASE WHEN ({kind}) IS NOT NULL THEN named_struct(
+          'type', {kind},
+          'object', CASE WHEN rlike({q}, {pattern}) THEN {name} ELSE 'unknown' END,
+          'hour', coalesce(hour({event_time}), 0)) END"""
     )
 
 
-def partition_usage(query: Column | str) -> Column:
+def partition_usage(query: str) -> Column:
     """Struct: has WHERE, partition-like columns filtered, likely full scan."""
-    u = F.upper(_col(query))
+    u = f"upper({query})"
     where = _has(u, rules.WHERE_PATTERN, ("WHERE",))
-    filters = F.array_compact(
-        F.array(
-            *(
-                F.when(
-                    where
-                    & _has(u, rf"\bWHERE\b.*\b{name.upper()}\s*[=<>]", (name.upper(),)),
-                    F.lit(name),
-                )
-                for name in rules.PARTITION_COLUMNS
-            )
-        )
-    )
-    full_scan = (
-        _has(u, rules.SELECT_START_PATTERN, ("SELECT",))
-        & ~where
-        & ~_has(u, rules.SMALL_LIMIT_PATTERN, ("LIMIT",))
+    filters = ", ".join(
+        f"CASE WHEN contains({u}, 'WHERE') AND "
+        f"{_has(u, rf'\bWHERE\b.*\b{name.upper()}\s*[=<>]', (name.upper(),))} THEN '{name}' END"
+        for name in rules.PARTITION_COLUMNS
     )
-    return F.struct(
-        where.alias("has_where"), filters.alias("filters"), full_scan.alias("likely_full_scan")
+    select = _has(u, rules.SELECT_START_PATTERN, ("SELECT",))
+    small = _has(u, rules.SMALL_LIMIT_PATTERN, ("LIMIT",))
+    return F.expr(
+        f"""named_struct(
+          'has_where', {where},
+          'filters', array_compact(array({filters})),
+          'likely_full_scan', {select} AND NOT {where} AND NOT {small})"""
     )

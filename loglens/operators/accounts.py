@@ -19,7 +19,7 @@ def valid_account_ids(lists: DataFrame, local_id: str, text: str = "text") -> Da
     Lines are split first, comment lines dropped, then commas split the rest.
     """
     def pieces(column: str, separator: str) -> Column:
-        return F.explode(F.transform(F.split(column, separator), F.trim))
+        return F.explode(F.transform(F.split(column, separator), lambda piece: F.trim(piece)))
 
     lines = lists.select(pieces(text, r"\r?\n").alias("line")).filter(~F.col("line").startswith("#"))
     ids = lines.select(pieces("line", ",").alias("account_id"))

@@ -8,7 +8,8 @@ group that holds a third of all rows is spread over its members.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -32,16 +33,19 @@ def member_rows(
     parts = [F.array(item("", F.lit("").cast("string"), True))]
     for kind, column in members.items():
         if isinstance(df.schema[column].dataType, T.ArrayType):
-            parts.append(F.transform(column, lambda m, k=kind: item(k, m, False)))
+            parts.append(F.transform(column, partial(_member, item, kind)))
         else:
             parts.append(F.array(item(kind, F.col(column), False)))
     parts = [F.coalesce(p, F.array().cast(f"array<{_item_type(measures)}>")) for p in parts]
     exploded = df.select(*keys, F.explode(F.concat(*parts)).alias("_m")).select(*keys, "_m.*")
-    return (
-        exploded.filter(F.col("member").isNotNull())
-        .groupBy(*keys, "kind", "member")
-        .agg(*(F.sum(m).alias(m) for m in measures))
-    )
+    rows = exploded.filter(F.col("member").isNotNull())
+    if not measures:
+        return rows.distinct()
+    return rows.groupBy(*keys, "kind", "member").agg(*(F.sum(m).alias(m) for m in measures))
+
+
+def _member(item: Callable[[str, Column, bool], Column], kind: str, element: Column) -> Column:
+    return item(kind, element, False)
 
 
 def _item_type(measures: Sequence[str]) -> str:

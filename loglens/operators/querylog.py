@@ -35,7 +35,7 @@ def prefer_fields(rows: DataFrame) -> DataFrame:
         name: fn.prefer_non_empty(*have(names)) for name, names in _ALIASES.items() if have(names)
     }
     if have(_BYTES):
-        merged["data_scanned"] = fn.nonzero(*(F.col(c) for c in have(_BYTES)))
+        merged["data_scanned"] = fn.nonzero(*have(_BYTES))
     gone = {n for names in _ALIASES.values() for n in names} | set(_BYTES)
     kept = [c for c in rows.columns if c not in gone]
     return rows.select(*kept, *(column.alias(name) for name, column in merged.items()))
@@ -57,7 +57,7 @@ def query_log(rows: DataFrame) -> DataFrame:
 
 def classify_log(log: DataFrame) -> DataFrame:
     """Adds all tag columns; those nobody reads are pruned from the plan."""
-    text = F.col("query_string")
+    text = "query_string"
     tags = {
         "query_type": fn.classify_query(text),
         "features": fn.sql_features(text),
@@ -134,7 +134,7 @@ def join_types_ranked(classified: DataFrame) -> DataFrame:
 def complexity_totals(classified: DataFrame) -> DataFrame:
     c, n = F.col("complexity"), _weight(classified)
     return classified.agg(
-        _count_where(is_high_complexity(c), n).alias("high_complexity"),
+        _count_where(is_high_complexity(), n).alias("high_complexity"),
         _count_where(c["join_count"] >= rules.MULTIPLE_JOINS, n).alias("multiple_joins"),
         _count_where(c["cte_count"] > 0, n).alias("with_cte"),
     )
@@ -142,11 +142,11 @@ def complexity_totals(classified: DataFrame) -> DataFrame:
 
 def high_complexity_queries(classified: DataFrame) -> DataFrame:
     c = F.col("complexity")
-    return classified.filter(is_high_complexity(c)).select(
+    return classified.filter(is_high_complexity()).select(
         *ARRIVAL,
         "query_id",
         c["join_count"].alias("join_count"),
-        join_types(c).alias("join_types"),
+        join_types().alias("join_types"),
         c["cte_count"].alias("cte_count"),
         c["subquery_count"].alias("subquery_count"),
         fn.truncate_preview("query_string", 500).alias("query_preview"),
@@ -155,7 +155,7 @@ def high_complexity_queries(classified: DataFrame) -> DataFrame:
 
 def first_high_complexity(classified: DataFrame, k: int = 10) -> DataFrame:
     """First k in order of arrival and the number of the others."""
-    total = classified.filter(is_high_complexity(F.col("complexity"))).agg(
+    total = classified.filter(is_high_complexity()).agg(
         F.count(F.lit(1)).alias("n")
     )
     rows = high_complexity_queries(classified).orderBy(*ARRIVAL).limit(k)
@@ -361,7 +361,7 @@ def execution_time_stats(log: DataFrame) -> DataFrame:
 
     Distinct values are counted first. Running totals are taken per block of
     2^18 ms, so one task orders at most that many values, and the only
-    unpartitioned window runs over the blocks: one per 4.4 minutes of duration.
+    unpartitioned windows run over the blocks: one row per 4.4 minutes of duration.
     """
     values = _timed(log).groupBy("execution_time_ms").agg(F.count(F.lit(1)).alias("n"))
     values = values.withColumn("block", F.shiftright("execution_time_ms", _BLOCK_BITS))
@@ -369,18 +369,21 @@ def execution_time_stats(log: DataFrame) -> DataFrame:
     blocks = (
         values.groupBy("block")
         .agg(F.sum("n").alias("n"))
-        .select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        .select(
+            "block",
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+            F.sum("n").over(Window.partitionBy()).alias("total"),
+        )
     )
     upto = Window.partitionBy("block").orderBy("execution_time_ms").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    total = values.agg(F.sum("n").alias("n")).scalar()
     ranked = (
         values.withColumn("running", F.sum("n").over(upto))
         .join(blocks, "block")
         .withColumn("upto", F.col("before") + F.col("running"))
     )
-    ms = F.col("execution_time_ms")
+    ms, total = F.col("execution_time_ms"), F.col("total")
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("upto") > position, ms))
@@ -409,10 +412,9 @@ def execution_time_stats_fast(log: DataFrame, accuracy: int = 10_000) -> DataFra
 
 
 def long_running_queries(log: DataFrame) -> DataFrame:
-    ms = F.col("execution_time_ms")
     return (
         log.filter("query_string <> ''")
-        .withColumn("long_class", fn.long_running_class(ms))
+        .withColumn("long_class", fn.long_running_class("execution_time_ms"))
         .filter(F.col("long_class").isNotNull())
         .select(
             *ARRIVAL,
@@ -420,7 +422,7 @@ def long_running_queries(log: DataFrame) -> DataFrame:
             "user_id",
             "execution_time_ms",
             "long_class",
-            fn.long_running_minutes(ms).alias("execution_time_min"),
+            fn.long_running_minutes("execution_time_ms").alias("execution_time_min"),
             fn.truncate_preview("query_string", 500).alias("query_preview"),
         )
     )

@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn, rules
-from ..functions.sqltext import is_high_complexity
-from .querylog import classify_log
+from ..functions.sqltext import quoted
 from .store import object_size_stats
 
 _ALL_FLAGS = tuple(rule.tag for rule in rules.FLAG_RULES)
+_COMPLEX = (
+    f"complexity.join_count >= {rules.HIGH_COMPLEXITY} "
+    f"OR complexity.subquery_count >= {rules.HIGH_COMPLEXITY}"
+)
 
 
 def readiness_cells(log: DataFrame) -> DataFrame:
     """(text, n, long-running counters): equal texts folded into one row."""
-    long = fn.long_running_class("execution_time_ms")
-    return log.groupBy("query_string").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(long == "over_1h").alias("over_1h"),
-        F.count_if(long == "over_30m").alias("over_30m"),
-        F.count_if(long == "over_10m").alias("over_10m"),
+    long = fn.long_running_class("execution_time_ms").alias("long")
+    return (
+        log.select("query_string", long)
+        .groupBy("query_string")
+        .agg(
+            F.expr("count(1) AS n"),
+            *(F.expr(f"count_if(long = '{label}') AS {label}") for _, label in rules.LONG_RUNNING),
+        )
     )
 
 
@@ -30,52 +35,60 @@ def readiness_counters(log: DataFrame) -> DataFrame:
 
     The whole log is read once; each distinct text is matched once.
     """
-    cells = classify_log(readiness_cells(log))
-    has_text = F.coalesce("query_string", F.lit("")) != ""
-    n = F.col("n")
-
-    def where(hit: Column, weight: Column = n) -> Column:
-        return F.coalesce(F.sum(F.when(has_text & hit, weight)), F.lit(0).cast("bigint"))
-
-    return cells.withColumn("ddl", fn.ddl_type("query_string")).agg(
-        F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias("events"),
-        where(F.upper("query_string").contains("SELECT")).alias("selects"),
-        where(is_high_complexity(F.col("complexity"))).alias("high_complexity"),
-        where(F.col("complexity.cte_count") > 0).alias("with_cte"),
-        where(F.col("ddl").isNotNull()).alias("ddl"),
-        where(F.col("ddl") == "DROP").alias("drops"),
-        where(F.lit(True), F.col("over_1h")).alias("over_1h"),
-        where(F.lit(True), F.col("over_30m") + F.col("over_1h")).alias("over_30m"),
-        where(F.lit(True), F.col("over_10m")).alias("over_10m"),
-        where(F.col("partitions.likely_full_scan")).alias("full_scans"),
-        *(where(F.array_contains("flags", flag)).alias(f"flag_{flag}") for flag in _ALL_FLAGS),
+    text = "query_string"
+    cells = readiness_cells(log).withColumns(
+        {
+            "flags": fn.migration_flags(text),
+            "complexity": fn.query_complexity(text),
+            "partitions": fn.partition_usage(text),
+            "ddl": fn.ddl_type(text),
+        }
+    )
+    counters = {
+        "selects": ("contains(upper(query_string), 'SELECT')", "n"),
+        "high_complexity": (_COMPLEX, "n"),
+        "with_cte": ("complexity.cte_count > 0", "n"),
+        "ddl": ("ddl IS NOT NULL", "n"),
+        "drops": ("ddl = 'DROP'", "n"),
+        "over_1h": ("true", "over_1h"),
+        "over_30m": ("true", "over_30m + over_1h"),
+        "over_10m": ("true", "over_10m"),
+        "full_scans": ("partitions.likely_full_scan", "n"),
+        **{f"flag_{flag}": (f"array_contains(flags, '{flag}')", "n") for flag in _ALL_FLAGS},
+    }
+    return cells.agg(
+        F.expr("coalesce(sum(n), 0L) AS events"),
+        *(
+            F.expr(
+                f"coalesce(sum(CASE WHEN query_string <> '' AND ({hit}) THEN {weight} END), 0L) AS {name}"
+            )
+            for name, (hit, weight) in counters.items()
+        ),
     )
 
 
-def _ladder(value: Column, rungs: Sequence[tuple]) -> tuple[Column, Column]:
-    """Points and reason of the first rung whose threshold is exceeded."""
-    points = reason = None
-    for over, score, text in rungs:
-        hit = value > over
-        words = fn.pct_text(value, text) if "%.1f" in text else F.format_string(text, value)
-        points = F.when(hit, score) if points is None else points.when(hit, score)
-        reason = F.when(hit, words) if reason is None else reason.when(hit, words)
-    return points.otherwise(0), reason
+def _words(text: str, value: str) -> str:
+    """A reason; percentages to one decimal, ties to the even digit."""
+    shown = f"bround({value}, 1)" if "%.1f" in text else value
+    return f"format_string({quoted(text)}, {shown})"
+
+
+def _ladder(steps: Sequence[tuple[str, tuple]]) -> tuple[str, str]:
+    """Points and reason of the first (value, rung) whose threshold is exceeded."""
+    points = " ".join(f"WHEN {value} > {over} THEN {score}" for value, (over, score, _) in steps)
+    reasons = " ".join(
+        f"WHEN {value} > {over} THEN {_words(text, value)}" for value, (over, _, text) in steps
+    )
+    return f"CASE {points} ELSE 0 END", f"CASE {reasons} END"
 
 
-def _long_running(c: dict[str, Column]) -> tuple[Column, Column]:
-    """The three long-running rungs read three different counters."""
-    points = reason = None
-    for name, (over, score, text) in zip(("over_1h", "over_30m", "over_10m"), rules.LONG_RUNGS):
-        hit, words = c[name] > over, F.format_string(text, c[name])
-        points = F.when(hit, score) if points is None else points.when(hit, score)
-        reason = F.when(hit, words) if reason is None else reason.when(hit, words)
-    return points.otherwise(0), reason
+def _same(value: str, rungs: Sequence[tuple]) -> list[tuple[str, tuple]]:
+    return [(value, rung) for rung in rungs]
 
 
-def _capped(cap: int | None, flags: Sequence[str]) -> Column:
-    counts = (F.col(f"flag_{flag}") for flag in flags)
-    return sum((F.least(n, F.lit(cap)) if cap else n for n in counts), F.lit(0)).cast("bigint")
+def _capped(cap: int | None, flags: Sequence[str]) -> str:
+    counts = (f"least(flag_{flag}, {cap}L)" if cap else f"flag_{flag}" for flag in flags)
+    return "(" + " + ".join(counts) + ")"
 
 
 def readiness_score(log: DataFrame, cap: int | None = rules.FLAG_EXAMPLE_CAP) -> DataFrame:
@@ -83,37 +96,35 @@ def readiness_score(log: DataFrame, cap: int | None = rules.FLAG_EXAMPLE_CAP) ->
 
     ``cap`` stops the count of each flag, None counts all queries.
     """
-    names = ("over_1h", "over_30m", "over_10m")
-    row = readiness_counters(log).withColumns(
-        {
-            "complex_pct": F.col("high_complexity") / F.greatest(F.col("events"), F.lit(1)) * 100,
-            "scan_pct": F.when(F.col("selects") > 0, F.col("full_scans") / F.col("selects") * 100),
-            "risky": _capped(cap, rules.RISKY_FLAGS),
-        }
+    row = readiness_counters(log).selectExpr(
+        "*",
+        "high_complexity / greatest(events, 1L) * 100 AS complex_pct",
+        "CASE WHEN selects > 0 THEN full_scans / selects * 100 END AS scan_pct",
+        f"{_capped(cap, rules.RISKY_FLAGS)} AS risky",
     )
     parts = (
-        _ladder(F.col("complex_pct"), rules.COMPLEXITY_RUNGS),
-        _ladder(F.col("drops"), rules.DROP_RUNGS),
-        _long_running({name: F.col(name) for name in names}),
-        _ladder(F.col("scan_pct"), rules.SCAN_RUNGS),
-        _ladder(F.col("risky"), rules.FLAG_RUNGS),
+        _ladder(_same("complex_pct", rules.COMPLEXITY_RUNGS)),
+        _ladder(_same("drops", rules.DROP_RUNGS)),
+        _ladder(list(zip(("over_1h", "over_30m", "over_10m"), rules.LONG_RUNGS))),
+        _ladder(_same("scan_pct", rules.SCAN_RUNGS)),
+        _ladder(_same("risky", rules.FLAG_RUNGS)),
+    )
+    points = " + ".join(p for p, _ in parts)
+    reasons = ", ".join(reason for _, reason in parts)
+    levels = " ".join(
+        f"WHEN complexity >= {least} THEN '{label}'" for least, label in rules.READINESS_LEVELS
     )
-    points = sum((p for p, _ in parts), F.lit(0))
-    level = None
-    for least, label in rules.READINESS_LEVELS:
-        hit = F.col("complexity") >= least
-        level = F.when(hit, label) if level is None else level.when(hit, label)
-    return row.withColumn("complexity", points).select(
-        (100 - F.col("complexity")).alias("score"),
+    return row.selectExpr("*", f"{points} AS complexity").selectExpr(
+        "100 - complexity AS score",
         "complexity",
-        level.otherwise(rules.BEST_LEVEL).alias("level"),
-        F.array_compact(F.array(*(reason for _, reason in parts))).alias("considerations"),
-        F.col("high_complexity").alias("high_complexity_queries"),
-        F.col("ddl").alias("ddl_operations"),
-        F.col("drops").alias("drop_operations"),
-        (F.col("over_10m") + F.col("over_30m")).alias("long_running_queries"),
-        F.col("full_scans").alias("full_table_scans"),
-        _capped(cap, _ALL_FLAGS).alias("compatibility_flags"),
+        f"CASE {levels} ELSE '{rules.BEST_LEVEL}' END AS level",
+        f"array_compact(array({reasons})) AS considerations",
+        "high_complexity AS high_complexity_queries",
+        "ddl AS ddl_operations",
+        "drops AS drop_operations",
+        "over_10m + over_30m AS long_running_queries",
+        "full_scans AS full_table_scans",
+        f"{_capped(cap, _ALL_FLAGS)} AS compatibility_flags",
     )
 
 
@@ -122,42 +133,30 @@ def recommendations(
 ) -> DataFrame:
     """Advice lines in order, or the one default line."""
     mean = object_size_stats(store_events).select("avg_object_bytes").scalar()
-    n = {
-        "complex": F.col("high_complexity"),
-        "drops": F.col("drops"),
-        "long": F.col("over_1h"),
-        "scans": F.col("full_scans"),
-        "cte": F.col("with_cte"),
-        "geo": _capped(cap, ("GEOSPATIAL",)),
-        "federated": _capped(cap, ("FEDERATED_QUERY",)),
+    geo, federated = _capped(cap, ("GEOSPATIAL",)), _capped(cap, ("FEDERATED_QUERY",))
+    # Advice: (counter it names or None, condition)
+    advice = {
+        "complex": ("high_complexity", "high_complexity > 0"),
+        "drops": ("drops", f"drops > {rules.ADVICE_DROPS_OVER}"),
+        "long": ("over_1h", "over_1h > 0"),
+        "scans": ("full_scans", f"full_scans > {rules.ADVICE_SCANS_OVER}"),
+        "small": (None, f"mean_bytes < {rules.MEDIUM_OBJECT_BYTES}"),
+        "cte": ("with_cte", f"with_cte > {rules.ADVICE_CTES_OVER}"),
+        "geo": (geo, f"{geo} > 0"),
+        "federated": (federated, f"{federated} > 0"),
     }
-    conditions = {
-        "complex": n["complex"] > 0,
-        "drops": n["drops"] > rules.ADVICE_DROPS_OVER,
-        "long": n["long"] > 0,
-        "scans": n["scans"] > rules.ADVICE_SCANS_OVER,
-        "small": F.col("mean_bytes") < rules.MEDIUM_OBJECT_BYTES,
-        "cte": n["cte"] > rules.ADVICE_CTES_OVER,
-        "geo": n["geo"] > 0,
-        "federated": n["federated"] > 0,
-    }
-    lines = F.array_compact(
-        F.array(
-            *(
-                F.when(
-                    hit,
-                    F.format_string(rules.ADVICE[name], n[name])
-                    if name in n
-                    else F.lit(rules.ADVICE[name]),
-                )
-                for name, hit in conditions.items()
-            )
-        )
+    lines = ", ".join(
+        f"CASE WHEN {hit} THEN "
+        + (_words(rules.ADVICE[name], value) if value else quoted(rules.ADVICE[name]))
+        + " END"
+        for name, (value, hit) in advice.items()
     )
-    default = F.array(F.lit(rules.ADVICE["none"]))
-    row = readiness_counters(log).withColumn("mean_bytes", mean).select(lines.alias("lines"))
-    return row.select(
-        F.posexplode(F.when(F.size("lines") > 0, F.col("lines")).otherwise(default)).alias(
-            "pos", "recommendation"
+    row = readiness_counters(log).withColumn("mean_bytes", mean)
+    return (
+        row.selectExpr(f"array_compact(array({lines})) AS lines")
+        .selectExpr(
+            f"posexplode(CASE WHEN size(lines) > 0 THEN lines ELSE array({quoted(rules.ADVICE['none'])}) END)"
+            " AS (pos, recommendation)"
         )
-    ).select((F.col("pos") + 1).alias("rank"), "recommendation")
+        .selectExpr("pos + 1 AS rank", "recommendation")
+    )

@@ -23,12 +23,11 @@ def store_operations(events: DataFrame) -> DataFrame:
     def flag(hit: Column) -> Column:
         return F.coalesce(hit.cast("bigint"), F.lit(0))
 
-    moved = F.col("bytes_transferred")
     return rows.withColumns(
         {
             **{f"{name}_count": flag(hit) for name, hit in is_op.items()},
-            "bytes_out": F.when(is_op["get"], fn.nonzero(moved, F.col("extra_bytes_out"))).otherwise(0),
-            "bytes_in": F.when(is_op["put"], fn.nonzero(moved, F.col("extra_bytes_in"))).otherwise(0),
+            "bytes_out": F.when(is_op["get"], fn.nonzero("bytes_transferred", "extra_bytes_out")).otherwise(0),
+            "bytes_in": F.when(is_op["put"], fn.nonzero("bytes_transferred", "extra_bytes_in")).otherwise(0),
         }
     )
 
@@ -63,7 +62,7 @@ def s3_totals(events: DataFrame) -> DataFrame:
 def object_size_stats(events: DataFrame) -> DataFrame:
     """Number, mean and small-file share of the objects read and written."""
     rows = store_operations(events).filter(F.col("operation").isin("get", "put"))
-    size = fn.nonzero(F.col("object_size"), F.col("bytes_out"), F.col("bytes_in"))
+    size = fn.nonzero("object_size", "bytes_out", "bytes_in")
     sizes = rows.select(size.alias("object_bytes")).filter("object_bytes > 0")
     small = F.count_if(F.col("object_bytes") < rules.SMALL_OBJECT_BYTES)
     out = sizes.agg(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +11,48 @@ from ..operators import events as ev, facts as fc, usage
 from ..operators.events import Period
 
 
-@dataclass(frozen=True)
 class Collected:
-    """Clean tables of one run, all lazy."""
+    """Clean tables of one run. Each is planned when first asked for, lazy."""
 
-    events: DataFrame
-    store_events: DataFrame
-    starts: DataFrame
-    facts: DataFrame
-    skipped_workgroups: DataFrame
-    skipped_buckets: DataFrame
+    def __init__(
+        self,
+        queries: DataFrame,
+        store: DataFrame,
+        stats: DataFrame,
+        workgroups: Collection[str],
+        buckets: Collection[str],
+    ):
+        self._queries, self._store, self._stats = queries, store, stats
+        self._workgroups, self._buckets = workgroups, buckets
+
+    @cached_property
+    def events(self) -> DataFrame:
+        # Copies share their workgroup, so filtering first only saves work.
+        return ev.dedupe_events(ev.workgroup_allow_list(self._queries, self._workgroups))
+
+    @cached_property
+    def store_events(self) -> DataFrame:
+        return ev.dedupe_events(ev.bucket_filter(self._store, self._buckets))
+
+    @cached_property
+    def starts(self) -> DataFrame:
+        return fc.query_starts(self.events)
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        return fc.enrich_queries(self.starts, self._stats)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return fc.query_facts(self.enriched)
+
+    @cached_property
+    def skipped_workgroups(self) -> DataFrame:
+        return ev.skipped_workgroups(self._queries, self._workgroups)
+
+    @cached_property
+    def skipped_buckets(self) -> DataFrame:
+        return ev.skipped_buckets(self._store, self._buckets)
 
 
 def land_records(records: DataFrame, path: str, strict_source: bool = False) -> DataFrame:
@@ -63,18 +95,8 @@ def collect_usage(
     if period is not None:
         queries = ev.time_range_filter(queries, period)
         store = ev.time_range_filter(store, period)
-    # Copies share workgroup and bucket, so filtering first only saves work.
-    kept = ev.dedupe_events(ev.workgroup_allow_list(queries, workgroups))
-    starts = fc.query_starts(kept)
     stats = _empty_stats(records.sparkSession) if stats is None else stats
-    return Collected(
-        events=kept,
-        store_events=ev.dedupe_events(ev.bucket_filter(store, buckets)),
-        starts=starts,
-        facts=fc.query_facts(fc.enrich_queries(starts, stats)),
-        skipped_workgroups=ev.skipped_workgroups(queries, workgroups),
-        skipped_buckets=ev.skipped_buckets(store, buckets),
-    )
+    return Collected(queries, store, stats, workgroups, buckets)
 
 
 def summary_sections(run: Collected) -> dict[str, DataFrame]:

@@ -15,6 +15,7 @@ def get_spark(app: str = "loglens", master: str | None = None, **conf: str) -> S
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         **conf,
