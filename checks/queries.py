@@ -27,7 +27,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PERIOD = ev.Period.of("2024-01-05T00:00:00Z", "2024-01-20T12:00:00Z")
-WHOLE = ev.Period.of("2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z")
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -106,9 +105,9 @@ def overviews(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources ---
 
 
-def _write_audit_files(spark: SparkSession, sf: str, name: str) -> str:
-    """The audit records as gzip files by account and day; a file holds the
-    records of at most 500 consecutive source rows."""
+def _write_audit_files(spark: SparkSession, sf: str, name: str, folder: str) -> str:
+    """The audit records as gzip files by day or account; a file holds the
+    records of at most 5000 consecutive source rows."""
     root = work_dir(spark, name)
     rows = raw_audit(spark, sf, "id").filter(F.col("eventTime").startswith("2024"))
     nested = ("requestParameters", "responseElements")
@@ -117,7 +116,7 @@ def _write_audit_files(spark: SparkSession, sf: str, name: str) -> str:
         {
             "account": F.concat(F.lit("AWSLogs-"), "recipientAccountId"),
             "day": F.substring("eventTime", 1, 10),
-            "part": F.floor(F.col("id") / 500),
+            "part": F.floor(F.col("id") / 5000),
             "record": F.to_json(record),
         }
     )
@@ -130,15 +129,14 @@ def _write_audit_files(spark: SparkSession, sf: str, name: str) -> str:
         ),
         F.lit("}"),
     )
-    files = parts.groupBy("account", "day", "part").agg(F.collect_list(body).alias("records"))
+    files = parts.groupBy(folder, "part").agg(F.collect_list(body).alias("records"))
     lines = files.select(
-        "account",
-        "day",
+        folder,
         F.concat(F.lit('{"Records":['), F.array_join("records", ","), F.lit("]}")).alias("value"),
     )
     (
-        lines.repartition("account", "day")
-        .write.partitionBy("account", "day")
+        lines.repartition(folder)
+        .write.partitionBy(folder)
         .option("maxRecordsPerFile", 1)
         .option("compression", "gzip")
         .text(root)
@@ -146,7 +144,7 @@ def _write_audit_files(spark: SparkSession, sf: str, name: str) -> str:
     return root
 
 
-_DAY_LAYOUT = "{root}/account=AWSLogs-{account}/day={day}"
+_DAY_LAYOUT = "{root}/day={day}"
 
 
 def _audit_columns(records: DataFrame) -> DataFrame:
@@ -157,8 +155,15 @@ def _audit_columns(records: DataFrame) -> DataFrame:
     )
 
 
-def _audit_query(spark: SparkSession, sf: str, name: str, period: ev.Period | None, **options) -> DataFrame:
-    root = _write_audit_files(spark, sf, name)
+def _audit_query(
+    spark: SparkSession,
+    sf: str,
+    name: str,
+    period: ev.Period | None = None,
+    folder: str = "day",
+    **options,
+) -> DataFrame:
+    root = _write_audit_files(spark, sf, name, folder)
     path = root
     if period is not None:
         path = sources.audit_paths(root, period, _DAY_LAYOUT, "%Y-%m-%d")
@@ -167,12 +172,12 @@ def _audit_query(spark: SparkSession, sf: str, name: str, period: ev.Period | No
 
 @query
 def read_audit_files(spark, sf):
-    return _audit_query(spark, sf, "audit", None)
+    return _audit_query(spark, sf, "audit")
 
 
 @query
 def audit_file_size_filter(spark, sf):
-    return _audit_query(spark, sf, "size", None, max_bytes=rules.MAX_AUDIT_FILE_BYTES)
+    return _audit_query(spark, sf, "size", max_bytes=rules.MAX_AUDIT_FILE_BYTES)
 
 
 @query
@@ -182,7 +187,9 @@ def audit_date_prefixes(spark, sf):
 
 @query
 def audit_org_prefixes(spark, sf):
-    return _audit_query(spark, sf, "org", WHOLE, account_pattern=r"/account=AWSLogs-([^/]+)/")
+    return _audit_query(
+        spark, sf, "org", folder="account", account_pattern=r"/account=AWSLogs-([^/]+)/"
+    )
 
 
 @query
@@ -280,8 +287,9 @@ def write_workgroup_csv(spark, sf):
 
 @query
 def write_summary_tables(spark, sf):
-    path = sinks.dated_path(work_dir(spark, "summary"))
-    sections = summary_sections(collected(spark, sf))
+    root = work_dir(spark, "summary")
+    path = sinks.dated_path(root)
+    sections = summary_sections(collected(spark, sf).stored(f"{root}/run"))
     sinks.write_summary_tables(sections, path)
     out = None
     for name in sections:

@@ -86,18 +86,17 @@ def account_rollup(facts: DataFrame, events: DataFrame) -> DataFrame:
     Facts are folded to (account, entity, member) once; the total over accounts
     is a second grouping set over those folded rows.
     """
-    levels = {
-        "workgroup": ("workgroup", {"member": "user_id"}),
-        "database": ("database", {"member": "user_id"}),
-        "user": ("user_id", {"member": "workgroup"}),
-    }
     measures = ["query_count", "data_scanned"]
-    counted = facts.withColumn("query_count", F.lit(1).cast("bigint"))
-    rows = None
-    for level, (key, members) in levels.items():
-        named = counted.withColumns({"level": F.lit(level), "name": F.col(key)})
-        part = member_rows(named, ["account_id", "level", "name"], members, measures)
-        rows = part if rows is None else rows.unionByName(part)
+    entities = F.expr(
+        """inline(array(
+          named_struct('level', 'workgroup', 'name', workgroup, 'other', user_id),
+          named_struct('level', 'database', 'name', database, 'other', user_id),
+          named_struct('level', 'user', 'name', user_id, 'other', workgroup)))"""
+    )
+    counted = facts.select(
+        "account_id", F.lit(1).cast("bigint").alias("query_count"), "data_scanned", entities
+    )
+    rows = member_rows(counted, ["account_id", "level", "name"], {"member": "other"}, measures)
     keys = ["level", "name", "kind", "member"]
     both = rows.groupingSets([["account_id", *keys], keys], "account_id", *keys).agg(
         *(F.sum(m).alias(m) for m in measures), F.grouping("account_id").alias("_all")

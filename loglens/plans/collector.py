@@ -55,6 +55,21 @@ class Collected:
         return ev.skipped_buckets(self._store, self._buckets)
 
 
+    def stored(self, path: str) -> Collected:
+        """The same run over written tables: the log is read once, and the many
+        reports that follow start from clean events and facts."""
+        out = Collected(self._queries, self._store, self._stats, self._workgroups, self._buckets)
+
+        def write(name: str, table: DataFrame) -> DataFrame:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            return table.sparkSession.read.parquet(f"{path}/{name}")
+
+        out.events = write("events", self.events)
+        out.store_events = write("store_events", self.store_events)
+        out.facts = write("facts", out.facts)
+        return out
+
+
 def land_records(records: DataFrame, path: str, strict_source: bool = False) -> DataFrame:
     """Write the routed records once as Parquet, one folder per route.
 
