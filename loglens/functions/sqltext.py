@@ -1,7 +1,9 @@
 """SQL text: statement type, tables, fingerprint, masking, tags, complexity, DDL.
 
 All functions take the name of the text column and build one SQL expression, so
-a rule table of any length is a single call to the planner. Patterns carry
+a rule table of any length is a single call to the planner. Those that run many
+rules also take the name of a column that already holds the upper-case text,
+which then is made once per row. Patterns carry
 ``(?U)`` so that \\w, \\b, \\s and \\d are Unicode classes, and ``(?d)`` where a
 dot is used, so that only a line feed ends a line.
 """
@@ -47,11 +49,11 @@ def _count(text: str, pattern: str, needle: str) -> str:
     return f"CASE WHEN contains({text}, {quoted(needle)}) THEN {found} ELSE 0 END"
 
 
-def _tags(text: str, rule_rows: Iterable[rules.Rule]) -> Column:
+def _tags(text: str, upper: str, rule_rows: Iterable[rules.Rule]) -> Column:
     """Array of the tags whose rule matches, in rule order, each once."""
     hits: dict[str, list[str]] = {}
     for rule in rule_rows:
-        source = text if rule.raw else f"upper({text})"
+        source = text if rule.raw else upper
         hits.setdefault(rule.tag, []).append(_has(source, rule.pattern, rule.needles))
     cases = (f"CASE WHEN {' OR '.join(t)} THEN {quoted(tag)} END" for tag, t in hits.items())
     return F.expr(f"array_compact(array({', '.join(cases)}))")
@@ -98,17 +100,21 @@ def sanitize_query(query: str) -> Column:
     return F.expr(f"transform(array({text}), t -> {cut})[0]")
 
 
-def sql_features(query: str, rule_rows: Iterable[rules.Rule] = rules.FEATURE_RULES) -> Column:
-    return _tags(query, rule_rows)
+def sql_features(
+    query: str, upper: str = "", rule_rows: Iterable[rules.Rule] = rules.FEATURE_RULES
+) -> Column:
+    return _tags(query, upper or f"upper({query})", rule_rows)
 
 
-def migration_flags(query: str, rule_rows: Iterable[rules.Rule] = rules.FLAG_RULES) -> Column:
-    return _tags(query, rule_rows)
+def migration_flags(
+    query: str, upper: str = "", rule_rows: Iterable[rules.Rule] = rules.FLAG_RULES
+) -> Column:
+    return _tags(query, upper or f"upper({query})", rule_rows)
 
 
-def query_complexity(query: str) -> Column:
+def query_complexity(query: str, upper: str = "") -> Column:
     """Struct of join, CTE, subquery and union counts and grouping tests."""
-    u = f"upper({query})"
+    u = upper or f"upper({query})"
     joins = ", ".join(
         f"named_struct('kind', {quoted(kind)}, 'n', {_count(u, pattern, 'JOIN')})"
         for kind, pattern in rules.JOIN_RULES
@@ -171,9 +177,9 @@ def ddl_operation(query: str, event_time: str) -> Column:
     )
 
 
-def partition_usage(query: str) -> Column:
+def partition_usage(query: str, upper: str = "") -> Column:
     """Struct: has WHERE, partition-like columns filtered, likely full scan."""
-    u = f"upper({query})"
+    u = upper or f"upper({query})"
     where = _has(u, rules.WHERE_PATTERN, ("WHERE",))
     filters = ", ".join(
         f"CASE WHEN contains({u}, 'WHERE') AND "

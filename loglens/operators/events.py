@@ -71,69 +71,93 @@ def route_events(records: DataFrame, strict_source: bool = False) -> DataFrame:
     return records.withColumn("route", route).filter("route IS NOT NULL")
 
 
-def _user(records: DataFrame) -> Column:
-    return fn.user_id("userIdentity.arn", "userIdentity.principalId")
-
-
 def _account(records: DataFrame) -> Column:
     names = [c for c in ("account_id", "recipientAccountId") if c in records.columns]
     return F.coalesce(*(F.col(c) for c in names)) if names else F.lit(None).cast("string")
 
 
-def normalize_athena_events(records: DataFrame) -> DataFrame:
-    """Query-service records as flat rows; request and response kept as JSON text."""
-    request = F.from_json("requestParameters", schemas.REQUEST)
-    response = F.from_json("responseElements", schemas.RESPONSE)
-    rows = records.withColumn("_req", request).withColumn("_res", response)
+def _parsed(records: DataFrame) -> DataFrame:
+    return records.withColumns(
+        {
+            "_req": F.from_json("requestParameters", schemas.REQUEST),
+            "_res": F.from_json("responseElements", schemas.RESPONSE),
+            "_extra": F.from_json("additionalEventData", schemas.TRANSFER),
+        }
+    )
+
+
+def _common_columns(records: DataFrame) -> dict[str, Column]:
+    return {
+        "event_id": F.col("eventID"),
+        "event_name": F.coalesce("eventName", F.lit("")),
+        "event_time": fn.parse_event_time("eventTime"),
+        "user_id": fn.user_id("userIdentity.arn", "userIdentity.principalId"),
+        "account_id": _account(records),
+    }
+
+
+def _query_columns() -> dict[str, Column]:
     req, res = F.col("_req"), F.col("_res")
     run = res["queryExecution"]
-    return rows.select(
-        F.col("eventID").alias("event_id"),
-        F.coalesce("eventName", F.lit("")).alias("event_name"),
-        fn.parse_event_time("eventTime").alias("event_time"),
-        _user(records).alias("user_id"),
-        F.coalesce("userIdentity.arn", F.lit(rules.UNKNOWN_USER)).alias("user_arn"),
-        F.coalesce("awsRegion", F.lit("")).alias("aws_region"),
-        F.coalesce("sourceIPAddress", F.lit("")).alias("source_ip"),
-        F.coalesce(req["workGroup"], F.lit(rules.DEFAULT_WORKGROUP)).alias("workgroup"),
-        query_database(req["queryExecutionContext"]["database"]).alias("database"),
-        req["queryString"].alias("query_string"),
-        F.coalesce(
+    polled = F.coalesce(run["workGroup"], F.lit(rules.DEFAULT_WORKGROUP))
+    return {
+        "user_arn": F.coalesce("userIdentity.arn", F.lit(rules.UNKNOWN_USER)),
+        "aws_region": F.coalesce("awsRegion", F.lit("")),
+        "source_ip": F.coalesce("sourceIPAddress", F.lit("")),
+        "workgroup": F.coalesce(req["workGroup"], F.lit(rules.DEFAULT_WORKGROUP)),
+        "database": query_database(req["queryExecutionContext"]["database"]),
+        "query_string": req["queryString"],
+        "query_execution_id": F.coalesce(
             res["queryExecutionId"], run["queryExecutionId"], req["queryExecutionId"]
-        ).alias("query_execution_id"),
-        F.when(run.isNotNull(), F.coalesce(run["workGroup"], F.lit(rules.DEFAULT_WORKGROUP))).alias(
-            "polled_workgroup"
         ),
-        run["statistics"]["dataScannedInBytes"].alias("polled_bytes"),
-        F.coalesce("requestParameters", F.lit("{}")).alias("request_parameters"),
-        F.coalesce("responseElements", F.lit("{}")).alias("response_elements"),
-        F.col("errorCode").alias("error_code"),
-        _account(records).alias("account_id"),
-    )
+        "polled_workgroup": F.when(run.isNotNull(), polled),
+        "polled_bytes": run["statistics"]["dataScannedInBytes"],
+        "request_parameters": F.coalesce("requestParameters", F.lit("{}")),
+        "response_elements": F.coalesce("responseElements", F.lit("{}")),
+        "error_code": F.col("errorCode"),
+    }
 
 
-def query_database(name: Column | str) -> Column:
-    return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(rules.DEFAULT_DATABASE))
+def _store_columns() -> dict[str, Column]:
+    return {
+        "bucket": F.coalesce("_req.bucketName", F.lit("")),
+        "key": F.coalesce("_req.key", F.lit("")),
+        "bytes_transferred": F.lit(None).cast("bigint"),
+        "object_size": F.lit(None).cast("bigint"),
+        "extra_bytes_in": F.col("_extra.bytesTransferredIn"),
+        "extra_bytes_out": F.col("_extra.bytesTransferredOut"),
+    }
+
+
+def _select(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.select(*(column.alias(name) for name, column in columns.items()))
+
+
+def normalize_athena_events(records: DataFrame) -> DataFrame:
+    """Query-service records as flat rows; request and response kept as JSON text."""
+    return _select(_parsed(records), {**_common_columns(records), **_query_columns()})
 
 
 def normalize_s3_events(records: DataFrame) -> DataFrame:
     """Object-store records as flat rows with bucket, key, user and volume."""
-    request = F.from_json("requestParameters", schemas.REQUEST)
-    extra = F.from_json("additionalEventData", schemas.TRANSFER)
-    rows = records.withColumn("_req", request).withColumn("_extra", extra)
-    return rows.select(
-        F.col("eventID").alias("event_id"),
-        F.coalesce("eventName", F.lit("")).alias("event_name"),
-        fn.parse_event_time("eventTime").alias("event_time"),
-        F.coalesce("_req.bucketName", F.lit("")).alias("bucket"),
-        F.coalesce("_req.key", F.lit("")).alias("key"),
-        _user(records).alias("user_id"),
-        _account(records).alias("account_id"),
-        F.lit(None).cast("bigint").alias("bytes_transferred"),
-        F.lit(None).cast("bigint").alias("object_size"),
-        F.col("_extra.bytesTransferredIn").alias("extra_bytes_in"),
-        F.col("_extra.bytesTransferredOut").alias("extra_bytes_out"),
-    )
+    return _select(_parsed(records), {**_common_columns(records), **_store_columns()})
+
+
+def normalize_events(routed: DataFrame) -> DataFrame:
+    """Routed records of both services as one flat table, each parsed once."""
+    columns = {**_common_columns(routed), **_query_columns(), **_store_columns()}
+    return _select(_parsed(routed), {"route": F.col("route"), **columns})
+
+
+def split_events(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Query and store events of a table written from ``normalize_events``."""
+    store_only, query_only = set(_store_columns()), set(_query_columns())
+    queries = landed.filter("route = 'query'").drop("route", *store_only)
+    return queries, landed.filter("route = 'store'").drop("route", *query_only)
+
+
+def query_database(name: Column | str) -> Column:
+    return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(rules.DEFAULT_DATABASE))
 
 
 def workgroup_allowed(allowed: Collection[str], workgroup: Column | str = "workgroup") -> Column:

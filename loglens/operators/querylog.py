@@ -57,17 +57,17 @@ def query_log(rows: DataFrame) -> DataFrame:
 
 def classify_log(log: DataFrame) -> DataFrame:
     """Adds all tag columns; those nobody reads are pruned from the plan."""
-    text = "query_string"
+    text, upper = "query_string", "query_upper"
     tags = {
         "query_type": fn.classify_query(text),
-        "features": fn.sql_features(text),
-        "flags": fn.migration_flags(text),
-        "complexity": fn.query_complexity(text),
-        "partitions": fn.partition_usage(text),
+        "features": fn.sql_features(text, upper),
+        "flags": fn.migration_flags(text, upper),
+        "complexity": fn.query_complexity(text, upper),
+        "partitions": fn.partition_usage(text, upper),
     }
     if "event_time" in log.columns:
         tags["ddl"] = fn.ddl_operation(text, "event_time")
-    return log.withColumns(tags)
+    return log.withColumn(upper, F.upper(text)).withColumns(tags)
 
 
 def text_cells(log: DataFrame, *keys: str) -> DataFrame:
@@ -79,8 +79,15 @@ def _weight(df: DataFrame) -> Column:
     return F.col("n") if "n" in df.columns else F.lit(1).cast("bigint")
 
 
+def _tag_rows(classified: DataFrame, tags: str, name: str, *columns: str | Column) -> DataFrame:
+    """One row per tag. The outer form keeps the planner from testing the array
+    for emptiness first, which would match every rule twice."""
+    rows = classified.select(F.explode_outer(tags).alias(name), *columns)
+    return rows.filter(F.col(name).isNotNull())
+
+
 def _tag_counts(classified: DataFrame, tags: str, name: str) -> DataFrame:
-    rows = classified.select(F.explode(tags).alias(name), _weight(classified).alias("n"))
+    rows = _tag_rows(classified, tags, name, _weight(classified).alias("n"))
     return rows.groupBy(name).agg(F.sum("n").alias("query_count"))
 
 
@@ -96,9 +103,7 @@ def sql_feature_counts(classified: DataFrame) -> DataFrame:
 
 
 def sql_feature_examples(classified: DataFrame, k: int = 2) -> DataFrame:
-    rows = classified.select(
-        F.explode("features").alias("feature"), *ARRIVAL, F.col("query_string")
-    )
+    rows = _tag_rows(classified, "features", "feature", *ARRIVAL, "query_string")
     firsts = first_k(rows, ["feature"], ARRIVAL, k)
     return firsts.select(
         "feature", "rank", fn.truncate_preview("query_string", 300, "...").alias("example")
@@ -260,8 +265,8 @@ def migration_flag_counts(classified: DataFrame, cap: int = rules.FLAG_EXAMPLE_C
 def migration_flag_examples(
     classified: DataFrame, k: int = rules.FLAG_EXAMPLE_CAP
 ) -> DataFrame:
-    rows = classified.select(
-        F.explode("flags").alias("flag"), *ARRIVAL, "query_id", "user_id", "query_string"
+    rows = _tag_rows(
+        classified, "flags", "flag", *ARRIVAL, "query_id", "user_id", "query_string"
     )
     return first_k(rows, ["flag"], ARRIVAL, k).select(
         "flag",

@@ -35,17 +35,17 @@ def readiness_counters(log: DataFrame) -> DataFrame:
 
     The whole log is read once; each distinct text is matched once.
     """
-    text = "query_string"
-    cells = readiness_cells(log).withColumns(
+    text, upper = "query_string", "query_upper"
+    cells = readiness_cells(log).withColumn(upper, F.upper(text)).withColumns(
         {
-            "flags": fn.migration_flags(text),
-            "complexity": fn.query_complexity(text),
-            "partitions": fn.partition_usage(text),
+            "flags": fn.migration_flags(text, upper),
+            "complexity": fn.query_complexity(text, upper),
+            "partitions": fn.partition_usage(text, upper),
             "ddl": fn.ddl_type(text),
         }
     )
     counters = {
-        "selects": ("contains(upper(query_string), 'SELECT')", "n"),
+        "selects": ("contains(query_upper, 'SELECT')", "n"),
         "high_complexity": (_COMPLEX, "n"),
         "with_cte": ("complexity.cte_count > 0", "n"),
         "ddl": ("ddl IS NOT NULL", "n"),

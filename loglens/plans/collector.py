@@ -36,7 +36,9 @@ class Collected:
 
     @cached_property
     def starts(self) -> DataFrame:
-        return fc.query_starts(self.events)
+        # Folding starts by execution id also folds the copies of an event, so
+        # the texts need not be shuffled by event id first.
+        return fc.query_starts(ev.workgroup_allow_list(self._queries, self._workgroups))
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -65,20 +67,22 @@ class Collected:
             return table.sparkSession.read.parquet(f"{path}/{name}")
 
         out.events = write("events", self.events)
+        out.starts = fc.query_starts(out.events)
         out.store_events = write("store_events", self.store_events)
         out.facts = write("facts", out.facts)
         return out
 
 
 def land_records(records: DataFrame, path: str, strict_source: bool = False) -> DataFrame:
-    """Write the routed records once as Parquet, one folder per route.
+    """Write the flat events once as Parquet, one folder per route.
 
-    JSON is then parsed a single time however many reports follow, without a
-    shuffle. Give the result to ``collect_usage``.
+    The JSON is parsed a single time however many reports follow, and no row
+    is shuffled. Give the result to ``collect_usage`` in place of the records.
     """
     routed = ev.route_events(ev.unwrap_api_record(records), strict_source)
-    routed.write.mode("overwrite").partitionBy("route").parquet(path)
-    return records.sparkSession.read.parquet(path)
+    flat = ev.normalize_events(routed)
+    flat.write.mode("overwrite").partitionBy("route").parquet(path)
+    return records.sparkSession.read.schema(flat.schema).parquet(path)
 
 
 def _empty_stats(spark: SparkSession) -> DataFrame:
@@ -97,16 +101,18 @@ def collect_usage(
     period: Period | None = None,
     strict_source: bool = False,
 ) -> Collected:
-    """unwrap, route, flatten, deduplicate, filter, join.
+    """unwrap, route, flatten, deduplicate, filter, join. ``records`` are raw
+    audit records or the table ``land_records`` wrote.
 
     Routing comes before the deduplication, so records of other services are
     gone before the shuffle, and copies always route alike.
     """
-    routed = records
-    if "route" not in records.columns:
+    if "route" in records.columns:
+        queries, store = ev.split_events(records)
+    else:
         routed = ev.route_events(ev.unwrap_api_record(records), strict_source)
-    queries = ev.normalize_athena_events(routed.filter("route = 'query'"))
-    store = ev.normalize_s3_events(routed.filter("route = 'store'"))
+        queries = ev.normalize_athena_events(routed.filter("route = 'query'"))
+        store = ev.normalize_s3_events(routed.filter("route = 'store'"))
     if period is not None:
         queries = ev.time_range_filter(queries, period)
         store = ev.time_range_filter(store, period)
