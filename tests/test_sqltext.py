@@ -156,7 +156,8 @@ def test_features_of_null_and_own_rules(spark):
 
 FLAGS = {
     "CREATE TABLE a AS SELECT 1": {"CTAS"},
-    "CREATE TABLE a\nAS SELECT 1": set(),
+    "CREATE TABLE a\nAS SELECT 1": {"CTAS"},
+    "CREATE TABLE a\nb AS SELECT 1": set(),
     "CREATE TABLE a WITH (x=1) AS SELECT 1": {"CTAS"},
     "INSERT INTO t PARTITION (dt='1') SELECT 1": {"INSERT_WITH_PARTITION"},
     "INSERT INTO\n t PARTITION (dt='1') SELECT 1": {"INSERT_WITH_PARTITION"},
