@@ -188,3 +188,28 @@ def test_hot_group_stays_spread(spark):
     assert mb.count_members(long, ["k"], {"user": "users"}, ["n"]).first()[1:] == (20_000, 20_000)
     plan = long._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k#" in plan and "kind#" in plan and "partial_sum" in plan
+
+
+def test_report_tables_over_a_stored_classified_log(spark, folder):
+    from loglens.plans.analyser import report_tables, store_classified
+
+    log = log_rows(
+        spark,
+        ("1", "2024-01-01T10:00:30Z", "ann", "FAILED", "oom", "", "SELECT * FROM a JOIN b JOIN c JOIN d", "", "wg", 5_000_000, 7),
+        ("2", "2024-01-03T12:00:00Z", "bob", "SUCCEEDED", "", "", "DROP TABLE t", "", "wg", 10, 0),
+    ).withColumn("query_id", F.col("event_id"))
+    store = spark.createDataFrame(
+        [("GetObject", "raw", "a/b", "u", 5, None, None, None, None)],
+        "event_name string, bucket string, key string, user_id string, bytes_transferred bigint, object_size bigint, extra_bytes_out bigint, extra_bytes_in bigint, event_time timestamp",
+    )
+    tables = report_tables(store_classified(log, f"{folder}/c"), store)
+    rows = {name: table.collect() for name, table in tables.items()}
+    assert rows["complexity_totals"][0].high_complexity == 1
+    assert rows["readiness_score"][0].drop_operations == 1
+    assert (rows["analysis_period"][0].days, rows["analysis_period"][0].hours) == (2, 1)
+    assert rows["first_high_complexity"][0].join_types == "JOIN, JOIN, JOIN"
+    assert rows["longest_queries"][0].execution_time_min == 83.3
+    assert len(rows["recommendations"]) == 3
+    lazy = report_tables(ql.classify_log(log), store)
+    for name in ("ddl_by_type", "join_types_ranked", "flags_ranked", "ddl_samples_by_type"):
+        assert rows[name] == lazy[name].collect()
