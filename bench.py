@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = """top_patterns query_patterns ranked_patterns dedupe_events query_starts enrich_queries
+HEADLINE = """land_records top_patterns query_patterns ranked_patterns dedupe_events query_starts enrich_queries
 workgroup_stats database_stats account_rollup per_account_overview sql_feature_counts
 migration_flag_counts partition_filter_totals high_complexity_queries ddl_samples_by_type
 readiness_score execution_time_stats minute_concurrency error_examples s3_bucket_stats

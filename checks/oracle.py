@@ -276,6 +276,7 @@ sql("audit_date_prefixes", _AUDIT.format(extra="", where=" AND left(event_time_t
 sql("audit_org_prefixes", _AUDIT.format(extra=", account_id", where=""))
 sql("unwrap_api_record", """SELECT event_id AS "eventID", event_name AS "eventName", event_source AS "eventSource",
   event_time_text AS "eventTime", user_arn AS "userArn", query_string AS "queryString" FROM audit_flat""")
+sql("land_records", "SELECT route, count(*) AS event_count, count(DISTINCT account_id) AS accounts FROM routed WHERE route IS NOT NULL GROUP BY 1")
 sql("read_export_bundles", "SELECT event_id, workgroup, status, query_string FROM usage_row")
 sql("read_execution_stats", "SELECT * FROM stats")
 sql("write_workgroup_csv", "SELECT workgroup, query_count, unique_users, printf('%.4f', total_data_scanned / 1073741824.0) AS data_scanned_gb FROM wg")
@@ -492,7 +493,7 @@ sql("account_rollup", " UNION ALL ".join((
     _rollup("database", "database", "user_id", ""),
     _rollup("user", "user_id", "workgroup", "last"),
 )))
-_MERGED = f"SELECT *, {query_type('query_string')} AS kind, {fingerprint('query_string')} AS hash FROM qlog"
+_MERGED = f"SELECT *, {USER.format(principal=_text(''))} AS user_id, {query_type('query_string')} AS kind, {fingerprint('query_string')} AS hash FROM usage_row"
 sql("merge_export_summaries", " UNION ALL ".join(
     [
         f"SELECT '{section}' AS section, {key} AS name, count(*) AS query_count, count(DISTINCT user_id) AS unique_users FROM ({_MERGED}) GROUP BY {key}"
@@ -500,7 +501,7 @@ sql("merge_export_summaries", " UNION ALL ".join(
     ]
     + [
         f"SELECT 'query_type', workgroup || '/' || kind, count(*), NULL FROM ({_MERGED}) GROUP BY workgroup, kind",
-        "SELECT 'hour', strftime(event_time, '%Y-%m-%dT%H'), count(*), NULL FROM qlog GROUP BY 2",
+        "SELECT 'hour', strftime(event_time, '%Y-%m-%dT%H'), count(*), NULL FROM usage_row GROUP BY 2",
     ]
 ))
 sql("run_outcome", """SELECT count(*) AS accounts_analysed, count(*) FILTER (error IS NULL) AS accounts_succeeded,

@@ -17,8 +17,8 @@ from loglens.operators import ranking as rk
 from loglens.operators import readiness as rd
 from loglens.operators import store as so
 from loglens.operators import usage as us
-from loglens.plans.collector import Collected, collect_usage, summary_sections
-from loglens.session import work_dir
+from loglens.plans.collector import Collected, collect_usage, land_records as land, summary_sections
+from loglens.session import store_table, use_utc, work_dir
 from loglens import sinks, sources
 
 from .fixtures import ALLOWED, LOCAL_ACCOUNT, raw_audit, view
@@ -55,9 +55,25 @@ def query(body: Query) -> Query:
 # --- shared inputs ---
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit records as flat Parquet, written once per session and folder,
+    as an ingest job would; the report queries read it. ``land_records`` below
+    is that job as a query of its own."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LANDED:
+        path = work_dir(spark, "landed")
+        land(raw_audit(spark, sf), path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
 def collected(spark: SparkSession, sf: str) -> Collected:
+    use_utc(spark)
     stats = sources.read_execution_stats(view(spark, sf, "execution_stats"))
-    return collect_usage(raw_audit(spark, sf), stats, ALLOWED)
+    return collect_usage(landed(spark, sf), stats, ALLOWED)
 
 
 def audit_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,6 +279,14 @@ def _bundle_members(spark: SparkSession, sf: str, name: str, per_account: bool =
     return unzip_members(spark.read.parquet(root).withColumnRenamed("file", "path"))
 
 
+@query
+def land_records(spark, sf):
+    rows = land(raw_audit(spark, sf), work_dir(spark, "land"))
+    return rows.groupBy("route").agg(
+        F.count(F.lit(1)).alias("event_count"), F.countDistinct("account_id").alias("accounts")
+    )
+
+
 @query
 def read_export_bundles(spark, sf):
     tables = sources.read_export_bundles(_bundle_members(spark, sf, "bundles"))
@@ -863,58 +887,57 @@ def account_rollup(spark, sf):
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Summary documents as hourly runs export them: one per account, hour and
-    thousand source rows, so that none grows with the tables."""
-    rows = log(spark, sf).withColumns(
-        {
-            "hour": fn.hour_key("event_time"),
-            "kind": fn.classify_query("query_string"),
-            "hash": fn.query_fingerprint("query_string"),
-            "part": F.floor(F.col("id") / 1000),
-        }
+    thousand source rows, so that none grows with the tables. A document holds
+    one section here; merging does not care."""
+    rows = ql.query_log(view(spark, sf, "usage_row")).select(
+        "account_id",
+        "user_id",
+        "workgroup",
+        "db",
+        "data_scanned",
+        fn.hour_key("event_time").alias("hour"),
+        fn.classify_query("query_string").alias("kind"),
+        fn.query_fingerprint("query_string").alias("hash"),
+        F.floor(F.col("id") / 1000).alias("part"),
     )
     run = ["account_id", "hour", "part"]
     users = F.collect_set("user_id").alias("users")
 
-    def section(key: str, *values) -> DataFrame:
-        grouped = rows.groupBy(*run, F.col(key).alias("name")).agg(*values)
-        names = [c for c in grouped.columns if c not in (*run, "name")]
-        entry = F.struct("name", F.struct(*names))
-        return grouped.groupBy(*run).agg(F.map_from_entries(F.collect_list(entry)).alias(key))
-
-    types = rows.groupBy(*run, "workgroup", "kind").agg(F.count(F.lit(1)).alias("n"))
-    types = types.groupBy(*run, F.col("workgroup").alias("name")).agg(
-        F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("query_types")
-    )
-    groups = rows.groupBy(*run, F.col("workgroup").alias("name")).agg(
-        F.count(F.lit(1)).alias("query_count"),
-        users,
-        F.sum("data_scanned").alias("total_data_scanned"),
-    )
-    groups = groups.join(types, [*run, "name"])
-    entry = F.struct(
-        "name", F.struct("query_count", "users", "total_data_scanned", "query_types")
-    )
-    groups = groups.groupBy(*run).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("workgroup_stats")
-    )
-    databases = section("db", F.count(F.lit(1)).alias("query_count"), users)
-    patterns = section("hash", F.count(F.lit(1)).alias("count"), users)
-    hours = rows.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).select(
-        *run, F.create_map("hour", "n").alias("hourly_query_counts")
-    )
-    joined = groups.join(databases, run).join(patterns, run).join(hours, run)
-    document = joined.select(
-        F.concat_ws("-", *run).alias("file"),
-        F.to_json(
+    def document(section: str, entries: DataFrame) -> DataFrame:
+        """Fold (run, name, entry) rows to one JSON document per run."""
+        whole = entries.groupBy(*run).agg(
+            F.map_from_entries(F.collect_list(F.struct("name", "entry"))).alias(section)
+        )
+        return whole.select(F.concat_ws("-", *run).alias("file"), F.to_json(F.struct(section)).alias("body"))
+
+    def counted(section: str, key: str, count: str) -> DataFrame:
+        folded = rows.groupBy(*run, F.col(key).alias("name")).agg(
+            F.count(F.lit(1)).alias(count), users
+        )
+        return document(section, folded.select(*run, "name", F.struct(count, "users").alias("entry")))
+
+    groups = (
+        rows.groupBy(*run, F.col("workgroup").alias("name"), "kind")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("data_scanned").alias("bytes"), users)
+        .groupBy(*run, "name")
+        .agg(
             F.struct(
-                "workgroup_stats",
-                F.col("db").alias("database_stats"),
-                F.col("hash").alias("query_patterns"),
-                "hourly_query_counts",
-            )
-        ).alias("body"),
+                F.sum("n").alias("query_count"),
+                F.array_distinct(F.flatten(F.collect_list("users"))).alias("users"),
+                F.sum("bytes").alias("total_data_scanned"),
+                F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("query_types"),
+            ).alias("entry")
+        )
+    )
+    hours = rows.groupBy(*run, F.col("hour").alias("name")).agg(F.count(F.lit(1)).alias("entry"))
+    documents = (
+        document("workgroup_stats", groups)
+        .unionByName(counted("database_stats", "db", "query_count"))
+        .unionByName(counted("query_patterns", "hash", "count"))
+        .unionByName(document("hourly_query_counts", hours.select(*run, "name", "entry")))
     )
-    return document.select("file", F.from_json("body", schemas.SUMMARY).alias("s")).select("file", "s.*")
+    stored = store_table(documents, "summaries")
+    return stored.select("file", F.from_json("body", schemas.SUMMARY).alias("s")).select("file", "s.*")
 
 
 @query

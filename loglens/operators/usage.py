@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
+from ..session import store_table
 from .members import count_members, distinct_members, member_rows
 from .ranking import first_k, global_rank, top_k
 
@@ -125,7 +126,10 @@ def pattern_examples(facts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def ranked_patterns(facts: DataFrame) -> DataFrame:
-    return global_rank(query_patterns(facts), "query_count", "pattern_hash")
+    """All patterns numbered by count. Ranking reads the patterns three times,
+    so they are stored first."""
+    patterns = store_table(query_patterns(facts), "patterns")
+    return global_rank(patterns, "query_count", "pattern_hash")
 
 
 def top_patterns(facts: DataFrame, k: int = 15) -> DataFrame:

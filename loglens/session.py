@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "loglens", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +44,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="loglens-")
     return f"{base.rstrip('/')}/loglens/{name}-{uuid.uuid4().hex}"
+
+
+def store_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a table under the shared folder and read it back.
+
+    For an intermediate result that several branches of one plan read: it is
+    computed once, and a lost executor does not send the work back to the log.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
