@@ -65,7 +65,8 @@ def landed(spark: SparkSession, sf: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _LANDED:
         path = work_dir(spark, "landed")
-        land(raw_audit(spark, sf), path)
+        # One month of small tables: day folders would only make tiny files.
+        land(raw_audit(spark, sf), path, by_day=False)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])
 

@@ -4,8 +4,8 @@ All functions take the name of the text column and build one SQL expression, so
 a rule table of any length is a single call to the planner. Those that run many
 rules also take the name of a column that already holds the upper-case text,
 which then is made once per row. Patterns carry
-``(?U)`` so that \\w, \\b, \\s and \\d are Unicode classes, and ``(?d)`` where a
-dot is used, so that only a line feed ends a line.
+``(?U)`` so that \\w, \\b, \\s and \\d are Unicode classes, and ``(?d)`` so that
+only a line feed ends a line.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, functions as F
 
 from .. import rules
 
-_FLAGS = "(?Ud)"
+# White space in the rules includes the four separator characters 1c to 1f.
+_SPACE = r"[\s\x1c-\x1f]"
 _NUMBER = r"(?U)\b\d+\.?\d*\b"
 # A run up to a quote or an escape, then escapes with their runs. Possessive
 # loops keep the matcher flat on literals of any length.
@@ -29,6 +30,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _pattern(rule: str, flags: str = "(?Ud)") -> str:
+    """A rule pattern as a SQL literal with the flags and white space it means."""
+    return quoted(flags + rule.replace(r"\s", _SPACE))
+
+
 def _strip(text: str) -> str:
     return f"btrim({text}, {quoted(rules.WHITE_SPACE)})"
 
@@ -39,13 +45,13 @@ def _replace(text: str, pattern: str, by: str) -> str:
 
 def _has(text: str, pattern: str, needles: Iterable[str] = ()) -> str:
     """Pattern test behind plain substring tests; false for a null text."""
-    hit = f"rlike({text}, {quoted(_FLAGS + pattern)})"
+    hit = f"rlike({text}, {_pattern(pattern)})"
     gate = " OR ".join(f"contains({text}, {quoted(n)})" for n in needles)
     return f"coalesce(({gate}) AND {hit}, false)" if gate else f"coalesce({hit}, false)"
 
 
 def _count(text: str, pattern: str, needle: str) -> str:
-    found = f"regexp_count({text}, {quoted(_FLAGS + pattern)})"
+    found = f"regexp_count({text}, {_pattern(pattern)})"
     return f"CASE WHEN contains({text}, {quoted(needle)}) THEN {found} ELSE 0 END"
 
 
@@ -72,7 +78,7 @@ def classify_query(query: str) -> Column:
 def extract_tables(query: str) -> Column:
     """Distinct names after FROM or JOIN, in order of text, keywords left out."""
     found = ", ".join(
-        f"regexp_extract_all({query}, {quoted(rf'(?iU)\b{word}\s+{rules.TABLE_NAME}')}, 1)"
+        f"regexp_extract_all({query}, {_pattern(rf'\b{word}\s+{rules.TABLE_NAME}', '(?iU)')}, 1)"
         for word in ("FROM", "JOIN")
     )
     words = ", ".join(quoted(w) for w in rules.NOT_TABLES)
@@ -84,7 +90,7 @@ def query_fingerprint(query: str) -> Column:
     text = f"upper({_strip(query)})"
     text = _replace(text, "'[^']*'", "'?'")
     text = _replace(text, _NUMBER, "?")
-    text = _strip(_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    text = _strip(_replace(text, rf"(?U){_SPACE}+", " "))
     return F.expr(f"substring(sha2({text}, 256), 1, 12)")
 
 
@@ -152,7 +158,7 @@ def _ddl_type(query: str) -> str:
     q = f"upper({_strip(query)})"
     starts = " OR ".join(f"startswith({q}, '{word}')" for word in rules.DDL_STARTS)
     whens = " ".join(
-        f"WHEN rlike({q}, {quoted(_FLAGS + pattern)}) THEN '{kind}'"
+        f"WHEN rlike({q}, {_pattern(pattern)}) THEN '{kind}'"
         for kind, pattern in rules.DDL_RULES
     )
     return f"CASE WHEN {starts} THEN CASE {whens} END END"
@@ -166,7 +172,7 @@ def ddl_type(query: str) -> Column:
 def ddl_operation(query: str, event_time: str) -> Column:
     """Struct of DDL type, object and hour; null for other statements."""
     q = f"upper({_strip(query)})"
-    pattern = quoted(_FLAGS + rules.DDL_OBJECT_PATTERN)
+    pattern = _pattern(rules.DDL_OBJECT_PATTERN)
     name = f"btrim(regexp_extract({q}, {pattern}, 3), {quoted('`' + chr(34) + chr(39))})"
     kind = _ddl_type(query)
     return F.expr(

@@ -152,8 +152,9 @@ def normalize_events(routed: DataFrame) -> DataFrame:
 def split_events(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Query and store events of a table written from ``normalize_events``."""
     store_only, query_only = set(_store_columns()), set(_query_columns())
-    queries = landed.filter("route = 'query'").drop("route", *store_only)
-    return queries, landed.filter("route = 'store'").drop("route", *query_only)
+    folders = ("route", "event_date")
+    queries = landed.filter("route = 'query'").drop(*folders, *store_only)
+    return queries, landed.filter("route = 'store'").drop(*folders, *query_only)
 
 
 def query_database(name: Column | str) -> Column:

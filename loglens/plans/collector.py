@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import events as ev, facts as fc, usage
 from ..operators.events import Period
@@ -73,15 +73,23 @@ class Collected:
         return out
 
 
-def land_records(records: DataFrame, path: str, strict_source: bool = False) -> DataFrame:
-    """Write the flat events once as Parquet, one folder per route.
+def land_records(
+    records: DataFrame, path: str, strict_source: bool = False, by_day: bool = True
+) -> DataFrame:
+    """Write the flat events once as Parquet, in folders by route and day.
 
     The JSON is parsed a single time however many reports follow, and no row
-    is shuffled. Give the result to ``collect_usage`` in place of the records.
+    is shuffled: audit files hold one day each, so a task writes few folders.
+    Give the result to ``collect_usage`` in place of the records; a period
+    then opens only its own days.
     """
     routed = ev.route_events(ev.unwrap_api_record(records), strict_source)
     flat = ev.normalize_events(routed)
-    flat.write.mode("overwrite").partitionBy("route").parquet(path)
+    folders = ["route"]
+    if by_day:
+        flat = flat.withColumn("event_date", F.to_date("event_time"))
+        folders.append("event_date")
+    flat.write.mode("overwrite").partitionBy(*folders).parquet(path)
     return records.sparkSession.read.schema(flat.schema).parquet(path)
 
 
@@ -108,6 +116,10 @@ def collect_usage(
     gone before the shuffle, and copies always route alike.
     """
     if "route" in records.columns:
+        if period is not None and "event_date" in records.columns:
+            records = records.filter(
+                F.col("event_date").between(period.start.date(), period.end.date())
+            )
         queries, store = ev.split_events(records)
     else:
         routed = ev.route_events(ev.unwrap_api_record(records), strict_source)

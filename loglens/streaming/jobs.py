@@ -44,14 +44,21 @@ def stream_dedupe(
     delay: str = DEFAULT_DELAY,
     key: str = "event_id",
     time: str = "event_time",
+    salts: int = 0,
 ) -> DataFrame:
     """First row per id while the watermark still covers it; state is bounded.
 
-    Rows without an id are kept: they skip the state.
+    Rows without an id are kept: they skip the state. With ``salts`` the copies
+    of an id are first reduced in that many places, so that an id with very many
+    copies does not pass whole through one task; the state is twice as large.
     """
     timed = _watermark(events, delay, time)
     has_id = F.coalesce(F.col(key), F.lit("")) != ""
-    first = timed.filter(has_id).dropDuplicatesWithinWatermark([key])
+    first = timed.filter(has_id)
+    if salts > 1:
+        salted = first.withColumn("_salt", F.floor(F.rand() * salts))
+        first = salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt")
+    first = first.dropDuplicatesWithinWatermark([key])
     return first.unionByName(timed.filter(~has_id))
 
 

@@ -211,6 +211,21 @@ def test_landed_and_stored_runs_equal_the_lazy_one(spark, folder):
     assert lazy.store_events.count() == 1
 
 
+def test_landed_period_opens_only_its_days(spark, folder):
+    records = frame(
+        spark,
+        *(record(str(d), eventTime=f"2024-01-0{d}T10:00:00Z") for d in range(1, 6)),
+        record("bad", eventTime="nope"),
+    )
+    period = ev.Period.of("2024-01-02T00:00:00Z", "2024-01-03T23:00:00Z")
+    landed = land_records(records, f"{folder}/land")
+    run = collect_usage(landed, period=period)
+    assert sorted(r.event_id for r in run.events.collect()) == ["2", "3"]
+    assert sorted(r.event_id for r in collect_usage(records, period=period).events.collect()) == ["2", "3"]
+    plan = run.events._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_date" in plan and collect_usage(landed).events.count() == 6
+
+
 def test_accounts(spark):
     rows = spark.createDataFrame(
         [("1", "ACTIVE"), ("2", "SUSPENDED"), ("3", "ACTIVE")], "account_id string, status string"

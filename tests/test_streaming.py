@@ -32,6 +32,15 @@ def test_dedupe_across_batches(spark, folder):
     assert got == ["", "", "1", "2"]
 
 
+def test_salted_dedupe_gives_the_same_rows(spark, folder):
+    path = f"{folder}/in"
+    write_files(spark, path, [row(1, 0)] * 300 + [row(2, 1)], [row(1, 0)] * 50 + [row(0, 2), row(3, 2)])
+    deduped = st.stream_dedupe(stream(spark, path, files_per_batch=1), salts=8)
+    st.run_to_files(deduped, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    got = sorted(r.event_id for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == ["", "1", "2", "3"]
+
+
 def test_windows_over_batches(spark, folder):
     path = f"{folder}/in"
     write_files(spark, path, [row(1, 0), row(2, 59), row(3, 61)], [row(4, 30), row(5, 62)])
