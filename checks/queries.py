@@ -152,7 +152,7 @@ def _write_audit_files(spark: SparkSession, sf: str, name: str, folder: str) ->
         F.concat(F.lit('{"Records":['), F.array_join("records", ","), F.lit("]}")).alias("value"),
     )
     (
-        lines.repartition(folder)
+        lines.hint("rebalance", F.col(folder))
         .write.partitionBy(folder)
         .option("maxRecordsPerFile", 1)
         .option("compression", "gzip")

@@ -44,13 +44,14 @@ def stream_dedupe(
     delay: str = DEFAULT_DELAY,
     key: str = "event_id",
     time: str = "event_time",
-    salts: int = 0,
+    salts: int = 8,
 ) -> DataFrame:
     """First row per id while the watermark still covers it; state is bounded.
 
-    Rows without an id are kept: they skip the state. With ``salts`` the copies
-    of an id are first reduced in that many places, so that an id with very many
-    copies does not pass whole through one task; the state is twice as large.
+    Rows without an id are kept: they skip the state. The copies of an id are
+    first reduced in ``salts`` places, so that an id with very many copies does
+    not pass whole through one task. That holds two states per id; ``salts=0``
+    keeps one, for logs known to have few copies.
     """
     timed = _watermark(events, delay, time)
     has_id = F.coalesce(F.col(key), F.lit("")) != ""

@@ -287,3 +287,21 @@ PARTITIONS = {
 def test_partition_usage(spark):
     got = apply(spark, PARTITIONS, fn.partition_usage("q"))
     assert [(p.has_where, set(p.filters), p.likely_full_scan) for p in got] == list(PARTITIONS.values())
+
+
+def test_texts_of_any_length(spark):
+    """No rule overflows the matcher's stack or looks at a prefix only."""
+    columns, tests = "col_a, " * 60_000, "x = 1 AND " * 20_000
+    long = f"SELECT {columns} '{'q' * 100_000}' FROM raw.t WHERE {tests} dt = 1 -- {'c' * 50_000}\n /* {'d ' * 50_000} */ JOIN z"
+    rows = spark.createDataFrame([(long,)], "query_string string")
+    from loglens.operators.querylog import classify_log
+
+    row = classify_log(rows).select(
+        "features", "flags", "complexity.join_count", "partitions.filters",
+        fn.extract_tables("query_string").alias("tables"),
+        fn.query_fingerprint("query_string").alias("hash"),
+        fn.sanitize_query("query_string").alias("masked"),
+    ).first()
+    assert (row.features, row.flags, row.join_count, row.filters) == ([], [], 1, ["dt"])
+    assert row.tables == ["raw.t", "z"] and len(row.masked) == 1003
+    assert row.hash == restated_fingerprint(long)

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from loglens import streaming as st
@@ -32,10 +33,11 @@ def test_dedupe_across_batches(spark, folder):
     assert got == ["", "", "1", "2"]
 
 
-def test_salted_dedupe_gives_the_same_rows(spark, folder):
+@pytest.mark.parametrize("salts", [0, 8])
+def test_dedupe_of_very_many_copies(spark, folder, salts):
     path = f"{folder}/in"
     write_files(spark, path, [row(1, 0)] * 300 + [row(2, 1)], [row(1, 0)] * 50 + [row(0, 2), row(3, 2)])
-    deduped = st.stream_dedupe(stream(spark, path, files_per_batch=1), salts=8)
+    deduped = st.stream_dedupe(stream(spark, path, files_per_batch=1), salts=salts)
     st.run_to_files(deduped, f"{folder}/out", f"{folder}/cp").awaitTermination()
     got = sorted(r.event_id for r in spark.read.parquet(f"{folder}/out").collect())
     assert got == ["", "1", "2", "3"]
