@@ -58,6 +58,12 @@ def query(body: Query) -> Query:
 _LANDED: dict[tuple[str, str], str] = {}
 
 
+def _land(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    # All days lie in one small input file here, so that each task would write
+    # a tiny file for every day; folders by route alone fit these tables.
+    return land(raw_audit(spark, sf), path, by_day=False)
+
+
 def landed(spark: SparkSession, sf: str) -> DataFrame:
     """The audit records as flat Parquet, written once per session and folder,
     as an ingest job would; the report queries read it. ``land_records`` below
@@ -65,8 +71,7 @@ def landed(spark: SparkSession, sf: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _LANDED:
         path = work_dir(spark, "landed")
-        # One month of small tables: day folders would only make tiny files.
-        land(raw_audit(spark, sf), path, by_day=False)
+        _land(spark, sf, path)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])
 
@@ -282,7 +287,7 @@ def _bundle_members(spark: SparkSession, sf: str, name: str, per_account: bool =
 
 @query
 def land_records(spark, sf):
-    rows = land(raw_audit(spark, sf), work_dir(spark, "land"))
+    rows = _land(spark, sf, work_dir(spark, "land"))
     return rows.groupBy("route").agg(
         F.count(F.lit(1)).alias("event_count"), F.countDistinct("account_id").alias("accounts")
     )
