@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loglens.llm.line_dedup import line_dedup
 from loglens.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_line_dedup"] = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+    FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), shared AS (
+    SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10
+    GROUP BY key HAVING count(DISTINCT doc_id) > 1
+)
+SELECT k.doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE s.keeper <> k.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i)
+                       FILTER (WHERE s.keeper IS NULL OR s.keeper = k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN shared s USING (key)
+GROUP BY k.doc_id
+"""
