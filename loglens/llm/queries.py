@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglens.llm.line_dedup import line_dedup
+from loglens.llm.sentencepiece_codec import encode_decode
 from loglens.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,13 @@ def query(body: Query) -> Query:
     return body
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary files lie; they are never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,3 +68,8 @@ SELECT k.doc_id, count(*) AS n_lines,
 FROM keyed k LEFT JOIN shared s USING (key)
 GROUP BY k.doc_id
 """
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
