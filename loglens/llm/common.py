@@ -100,3 +100,74 @@ def not_first(rows: DataFrame, key: list[str], order: str, salts: int) -> DataFr
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(order), F.lit(salts))).withColumn("place", F.rank().over(by_salt))
     firsts = salted.filter("place = 1").withColumn("place", F.rank().over(by_key))
     return salted.filter("place > 1").unionByName(firsts.filter("place > 1")).drop("salt", "place")
+
+
+# --- words of packed texts ---
+
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_TABLE = spread(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def parts(sizes: np.ndarray, most: int):
+    """Slices of rows whose sizes sum to about ``most``; a larger row is alone."""
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text a mask holds."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(mask, offsets[full], dtype=np.int64)
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 19):
+    """A 64-bit hash of every word (run of bytes outside [\\x20\\x09-\\x0D]), the text it is
+    in, and where it begins. Done in blocks, so that a long text needs little more memory."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < len(data):
+        b = min(a + step, len(data))
+        while b < len(data) and not (edge[b] or BLANK[data[b]]):  # end between words
+            ahead = np.flatnonzero(edge[b : min(b + step, len(data))] | BLANK[data[b : b + step]])
+            b = b + int(ahead[0]) if len(ahead) else min(b + step, len(data))
+        part = data[a:b]
+        solid = ~BLANK[part]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1] | edge[a + 1 : b]
+        at = np.flatnonzero(begins)
+        if len(at):
+            place = np.flatnonzero(solid)
+            pos = place - at[np.cumsum(begins)[place] - 1]
+            value = _TABLE[((pos & 63) << 8) | part[place]]
+            far = np.flatnonzero(pos > 63)
+            value[far] *= (2 * (pos[far] >> 6) + 1).astype(np.uint64)
+            found.append((np.add.reduceat(value, np.flatnonzero(begins[place])), at + a))
+        a = b
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, where = (np.concatenate(x) for x in zip(*found))
+    return hashes, np.searchsorted(offsets, where, "right") - 1, where
+
+
+def windows_of(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of so many words inside one text, and the place of their first."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = np.zeros(n, np.uint64)
+    mixed = spread(hashes)
+    for j in range(size):
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += mixed[j : j + n]
+    inside = np.flatnonzero(owner[:n] == owner[size - 1 :])
+    return spread(total[inside]), inside

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglens.llm.line_dedup import line_dedup
+from loglens.llm.quality_rules import quality_rules
 from loglens.llm.sentencepiece_codec import encode_decode
 from loglens.llm.suffix_dedup import suffix_dedup
 
@@ -73,3 +74,47 @@ GROUP BY k.doc_id
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+    SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+    FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)
+), g AS (
+    SELECT *, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+    SELECT *, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, b, c) > 1 AS again FROM g
+), v AS (
+    SELECT *, again OR coalesce(lag(again, 1) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS covered
+    FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), words AS (
+    SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars,
+           count(*) FILTER (WHERE covered) AS n_repeat_words,
+           count(*) FILTER (WHERE NOT regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]')) AS no_letter
+    FROM v GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), f AS (
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+           coalesce(no_letter, 0) AS no_letter, coalesce(n_lines, 0) AS n_lines,
+           length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS capitals,
+           length(text) - length(regexp_replace(text, '[a-zß-öø-ÿ]', '', 'g')) AS small,
+           length(text) - length(replace(text, '!', '')) AS exclamations
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+            OR 10 * n_dup_lines > 3 * n_lines OR capitals > small OR 10 * no_letter > 3 * n_words
+            OR 2 * exclamations > n_words) AS kept
+FROM b
+"""
