@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglens.llm.line_dedup import line_dedup
+from loglens.llm.packing import pack
 from loglens.llm.quality_rules import quality_rules
 from loglens.llm.sentencepiece_codec import encode_decode
 from loglens.llm.suffix_dedup import suffix_dedup
@@ -118,3 +119,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 2 * exclamations > n_words) AS kept
 FROM b
 """
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
