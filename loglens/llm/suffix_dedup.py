@@ -493,7 +493,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``texts`` also kept_text."""
     spark = docs.sparkSession
     chunks = chunk_count(spark)
-    slots = chunks
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a chunk sends a row to each
     dealt = with_chunks(docs, chunks)
     digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     hashes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
