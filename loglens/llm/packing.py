@@ -14,8 +14,9 @@ Packing runs inside each input partition, in blocks, without a shuffle; memory h
 pool and one block. The same partition gives the same sequences again after a lost
 executor. sequence_id is the partition number and a counter.
 
-Ids come from a tokenizer file. Text is cut where a blank follows a non-blank, which no
-token crosses; repeated parts come from a bounded memory.
+Ids come from a tokenizer file. Text is cut where a blank follows a non-blank and where
+anything else follows a letter, which no token crosses; repeated parts come from a bounded
+memory.
 
 Results for odd input: null text is empty and has the end id alone; repeated rows are
 packed each; a null doc_id is kept as null; an empty table gives an empty table; other
@@ -43,7 +44,8 @@ MEMORY = 1 << 17
 LONG_PART = 256
 #: White space of Unicode, as the tokenizer's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+PARTS = re.compile(f"[{SPACE}]*[^{SPACE}{LETTER}]*[{LETTER}]+|[{SPACE}]*[^{SPACE}{LETTER}]+|[{SPACE}]+").findall
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,12 +57,19 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda x: [x]
         self.parts: dict[str, bytes] = {}
         self.older = self.parts
 
     def of(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
+        """As the library encodes, strings of special tokens included."""
+        if any(s in text for s in self.special):
+            pieces = [np.array([self.special[x]], np.uint32) if x in self.special else self._plain(x) for x in self.cut(text)]
+            return np.concatenate(pieces)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         words = PARTS(text)
         get = self.parts.get
         found = [get(w) for w in words]
