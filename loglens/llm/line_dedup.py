@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm.common import blob, chunk_count, counts_of, id_array, ids, spread, unblob, with_chunks
+from loglens.llm.common import CHUNKS_PER_PARTITION, blob, chunk_count, counts_of, id_array, ids, spread, unblob, with_chunks
 from loglens.session import store_table
 
 MIN_CHARS = 10
@@ -356,7 +356,8 @@ class LineIndex:
     @classmethod
     def empty(cls, spark: SparkSession, chunks: int | None = None) -> LineIndex:
         n = chunks or chunk_count(spark)
-        return cls(spark.createDataFrame([], REFS), spark.createDataFrame([], SHARD), n, n)
+        # A chunk sends a row to each shard, so there are no more shards than partitions.
+        return cls(spark.createDataFrame([], REFS), spark.createDataFrame([], SHARD), n, max(1, n // CHUNKS_PER_PARTITION))
 
     def _updated(self, changes: DataFrame, sign: int) -> DataFrame:
         def update(key, state, rows):
