@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglens.llm.chat_format import format_chat, read_back
+from loglens.llm.classifier import classify
 from loglens.llm.html_extract import extract_text
 from loglens.llm.line_dedup import line_dedup
 from loglens.llm.packing import pack
@@ -161,3 +162,9 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 @query
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "lang", "n_bytes", "perplexity", "rejected")
