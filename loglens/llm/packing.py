@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,12 +41,13 @@ WINDOW = 1024
 END_ID = 0
 POOL_IDS = 1 << 21  # remainders waiting; beyond it gaps are closed by cutting
 WAIT_IDS = 1 << 17  # with fewer, the pool waits for more documents
-MEMORY = 1 << 17
+MEMORY = 1 << 18
 LONG_PART = 256
 #: White space of Unicode, as the tokenizer's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PARTS = re.compile(f"[{SPACE}]*[^{SPACE}{LETTER}]*[{LETTER}]+|[{SPACE}]*[^{SPACE}{LETTER}]+|[{SPACE}]+").findall
+END = np.uint32(END_ID)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -71,23 +73,27 @@ class Ids:
 
     def _plain(self, text: str) -> np.ndarray:
         words = PARTS(text)
-        get = self.parts.get
-        found = [get(w) for w in words]
-        if None in found:
-            own = {}
-            fresh = []
-            for w, x in zip(words, found):
-                if x is None and w not in own:
-                    own[w] = self.older.get(w)
-                    if own[w] is None:
-                        fresh.append(w)
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else ()):
-                own[w] = np.array(e.ids, np.uint32).tobytes()
-            if len(self.parts) + len(own) > MEMORY:
-                self.parts, self.older = {}, self.parts
-            self.parts.update((w, x) for w, x in own.items() if len(w) <= LONG_PART)
-            found = [own[w] if x is None else x for w, x in zip(words, found)]
-        return np.frombuffer(b"".join(found), np.uint32)
+        try:
+            return np.frombuffer(b"".join(map(self.parts.__getitem__, words)), np.uint32)
+        except KeyError:
+            pass
+        if len(self.parts) > MEMORY:
+            self.parts, self.older = {}, self.parts
+        new = set(words).difference(self.parts)
+        fresh = []
+        for w in new:
+            known = self.older.get(w)
+            if known is None:
+                fresh.append(w)
+            else:
+                self.parts[w] = known
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else ()):
+            self.parts[w] = array("I", e.ids).tobytes()
+        out = np.frombuffer(b"".join(map(self.parts.__getitem__, words)), np.uint32)
+        for w in fresh:
+            if len(w) > LONG_PART:
+                del self.parts[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -174,7 +180,7 @@ class Packer:
     def _write(self, pieces) -> None:
         offset = 0
         for doc_id, start, ids, total in pieces:
-            crc = zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+            crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
             self.rows.append((doc_id, start, len(ids), crc, total, self.next, offset))
             offset += len(ids)
         self.next += 1
@@ -230,9 +236,8 @@ def _pack(path: str, batches):
     partition = TaskContext.get().partitionId() if TaskContext.get() else 0
     packer = Packer(partition << 40)
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encode.of(text.as_py() or "")
-            packer.add(doc_id, np.concatenate([ids, np.array([END_ID], np.uint32)]))
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            packer.add(doc_id, np.append(encode.of(text or ""), END))
             if len(packer.rows) >= 1 << 15:
                 yield _rows(packer.rows)
                 packer.rows = []
