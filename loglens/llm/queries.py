@@ -11,6 +11,7 @@ from loglens.llm.chat_format import format_chat, read_back
 from loglens.llm.classifier import classify
 from loglens.llm.html_extract import extract_text
 from loglens.llm.line_dedup import line_dedup
+from loglens.llm.near_dedup import near_classes
 from loglens.llm.packing import pack
 from loglens.llm.quality_rules import quality_rules
 from loglens.llm.sentencepiece_codec import encode_decode
@@ -168,3 +169,8 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "lang", "n_bytes", "perplexity", "rejected")
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
