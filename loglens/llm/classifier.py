@@ -15,8 +15,8 @@ so that a short text is not judged by a few bytes.
 
 Half of the trusted documents (by a hash of the id) train the model. The others, which it
 has not seen, give the limits: a document is rejected when its perplexity lies above the
-upper or below the lower limit of its language, a quantile of the held-out ones with a
-margin. A language with fewer than ``FEW`` held-out documents uses the limits of all.
+limit of its language, a quantile of the held-out ones with a margin. A language with fewer
+than ``FEW`` held-out documents uses the limit of all.
 
 Results for odd input: null text is empty, and an empty text is never rejected; a null
 lang is a language of its own; a document with labels that disagree is not trusted; rows
@@ -41,7 +41,7 @@ from loglens.session import store_table
 
 ORDER = 5
 PRIOR = 200
-UPPER, LOWER, MARGIN = 0.995, 0.005, 0.1
+QUANTILE, MARGIN = 0.995, 0.1
 FEW = 50
 BEGIN = 0xFF  # a byte that UTF-8 never holds stands before a text
 BYTES_AT_ONCE = 1 << 21
@@ -335,10 +335,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scores = with_values(scores, mean=F.sum("cross") / F.sum(length))
     scores = scores.withColumn("nats", (F.col("cross") + PRIOR * F.col("mean")) / (length + PRIOR))
-    judged = with_values(
-        scores, low=F.percentile_approx("nats", LOWER, 10000), high=F.percentile_approx("nats", UPPER, 10000)
-    )
-    outside = (F.col("nats") < F.col("low") - MARGIN) | (F.col("nats") > F.col("high") + MARGIN)
+    judged = with_values(scores, limit=F.percentile_approx("nats", QUANTILE, 10000))
+    outside = F.col("nats") > F.col("limit") + MARGIN
     return judged.select(
         "doc_id", "text_key", "lang", "n_bytes", F.exp("nats").alias("perplexity"),
         (F.coalesce(outside, F.lit(False)) & (F.col("n_bytes") > 0)).alias("rejected"),

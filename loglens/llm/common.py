@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id inside tasks; a null id comes before every other.
 NO_ID = np.iinfo(np.int64).min
@@ -22,13 +23,37 @@ def chunk_of(key: Column | str, chunks: int) -> Column:
     return F.pmod(F.hash(key), F.lit(chunks))
 
 
-def with_chunks(docs: DataFrame, chunks: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Two columns of a table, with the chunk of the key; equal keys share a chunk."""
-    return docs.select(
-        chunk_of(F.col(key), chunks).alias("chunk"),
-        F.col(key).cast("long").alias(key),
-        F.col(text).cast("string").alias(text),
-    )
+def with_chunks(docs: DataFrame, chunks: int, whole: bool = False) -> DataFrame:
+    """doc_id and text, with the chunk of the doc_id; equal ids share a chunk. ``whole`` adds
+    the other columns as one, so that they can't clash with names in use."""
+    columns = [
+        chunk_of(F.col("doc_id"), chunks).alias("chunk"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ]
+    if whole:
+        columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+    return docs.select(*columns)
+
+
+def result_type(docs: DataFrame, columns: str, whole: bool) -> T.StructType:
+    """The schema of an operator's result; ``whole`` adds kept_text and the other columns."""
+    schema = T.StructType.fromDDL(columns)
+    if whole:
+        row = T.StructType([f for f in docs.schema.fields if f.name != "text"])
+        schema = schema.add("kept_text", "string").add("row", row)
+    return schema
+
+
+def rewritten(docs: DataFrame, result: DataFrame) -> DataFrame:
+    """The table with kept_text in the place of its text (and of its length in n_chars)."""
+    columns = []
+    for c in docs.columns:
+        value = F.col("kept_text") if c == "text" else F.col(f"row.`{c}`")
+        if c == "n_chars":
+            value = F.length("kept_text").cast(docs.schema[c].dataType)
+        columns.append(value.alias(c))
+    return result.select(*columns)
 
 
 def ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm.common import CHUNKS_PER_PARTITION, blob, chunk_count, counts_of, id_array, ids, spread, unblob, with_chunks
+from loglens.llm.common import CHUNKS_PER_PARTITION, blob, chunk_count, counts_of, id_array, ids, result_type, spread, unblob, with_chunks
 from loglens.session import store_table
 
 MIN_CHARS = 10
@@ -321,8 +321,9 @@ def _drop_lines(texts: bool, docs: pa.Table, verdicts: pa.Table) -> pa.Table:
     """The lines that stay, for each row of a chunk."""
     names = unblob(verdicts["keys"], KEY).tobytes()
     keeper = dict(zip((names[i : i + 16] for i in range(0, len(names), 16)), unblob(verdicts["docs"], np.int64).tolist()))
-    rows = []
-    for _, doc, text in _sorted_rows(docs):
+    rows, order = [], []
+    for i, doc, text in _sorted_rows(docs):
+        order.append(i)
         lines = text.split(b"\n")
         kept = [x for x in lines if keeper.get(key_of(x), doc) == doc] if keeper else lines
         left = b"\n".join(kept)
@@ -333,7 +334,10 @@ def _drop_lines(texts: bool, docs: pa.Table, verdicts: pa.Table) -> pa.Table:
         "n_dropped": pa.array([r[2] for r in rows], pa.int64()),
         "kept_sha256": pa.array([r[3] for r in rows], pa.string()),
     }
-    return pa.table(columns | ({"kept_text": pa.array([r[4] for r in rows], pa.string())} if texts else {}))
+    if texts:
+        columns["kept_text"] = pa.array([r[4] for r in rows], pa.string())
+        columns["row"] = docs["row"].take(pa.array(order, pa.int64()))
+    return pa.table(columns)
 
 
 # --- the index ---
@@ -406,10 +410,11 @@ class LineIndex:
         return self.shards.mapInArrow(_verdicts, VERDICT)
 
     def dedup(self, docs: DataFrame, texts: bool = False) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept_sha256 (with ``texts`` also kept_text) of each row."""
-        dealt = with_chunks(docs, self.chunks)
+        """doc_id, n_lines, n_dropped, kept_sha256 of each row; with ``texts`` also kept_text and
+        the other columns of the row."""
+        dealt = with_chunks(docs, self.chunks, texts)
         verdicts = self.verdicts().selectExpr(f"chunk % {self.chunks} AS chunk", "keys", "docs")
-        schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if texts else "")
+        schema = result_type(docs, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", texts)
 
         def drop(rows, notes):
             return _drop_lines(texts, rows, notes)

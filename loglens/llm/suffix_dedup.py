@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import (
-    NO_ID, blob, chunk_count, chunk_of, counts_of, id_array, ids, not_first, packed, ranges, spread, unblob, with_chunks,
+    NO_ID, blob, chunk_count, chunk_of, counts_of, id_array, ids, not_first, packed, ranges, result_type, spread, unblob, with_chunks,
 )
 
 LENGTH = 100
@@ -468,7 +468,7 @@ def _mask(chunk: _Chunk) -> np.ndarray:
 def _results(texts: bool, key, docs: pa.Table, notes: pa.Table) -> pa.Table:
     chunk = _Chunk(docs, notes)
     gone = _mask(chunk)
-    rows = []
+    unique = []
     for i in range(len(chunk.doc)):
         a, b = chunk.offsets[i], chunk.offsets[i + 1]
         out = gone[a:b]
@@ -476,7 +476,12 @@ def _results(texts: bool, key, docs: pa.Table, notes: pa.Table) -> pa.Table:
         runs = int(np.count_nonzero(out[1:] & ~out[:-1])) + int(b > a and out[0])
         row = (int(chunk.doc[i]), int(b - a), int(out.sum()), runs, hashlib.sha256(kept).hexdigest())
         # A cut may fall inside a character; as text, what is left of that character goes.
-        rows += [row + ((kept.decode("utf-8", "ignore"),) if texts else ())] * chunk.repeats[i]
+        unique.append(row + ((kept.decode("utf-8", "ignore"),) if texts else ()))
+    if texts:  # each row of the chunk, in its order
+        place = {(int(chunk.doc[i]), chunk.text(i)): i for i in range(len(chunk.doc))}
+        rows = [unique[place[d, (t or "").encode()]] for d, t in zip(ids(docs["doc_id"]).tolist(), docs["text"].to_pylist())]
+    else:
+        rows = [r for r, n in zip(unique, chunk.repeats) for _ in range(n)]
     found = pa.table(
         {
             "doc_id": id_array(np.array([r[0] for r in rows], np.int64)),
@@ -486,15 +491,18 @@ def _results(texts: bool, key, docs: pa.Table, notes: pa.Table) -> pa.Table:
             "kept_sha256": pa.array([r[4] for r in rows], pa.string()),
         }
     )
-    return found.append_column("kept_text", pa.array([r[5] for r in rows], pa.string())) if texts else found
+    if texts:
+        found = found.append_column("kept_text", pa.array([r[5] for r in rows], pa.string())).append_column("row", docs["row"])
+    return found
 
 
 def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``texts`` also kept_text."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``texts`` also kept_text
+    and the other columns of the row."""
     spark = docs.sparkSession
     chunks = chunk_count(spark)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a chunk sends a row to each
-    dealt = with_chunks(docs, chunks)
+    dealt = with_chunks(docs, chunks, texts)
     digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     hashes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
     copies = not_first(hashes, ["digest"], "doc_id", SALTS).distinct()
@@ -511,8 +519,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     replies = counted.groupBy("slot").applyInArrow(_repeated_anchors, NOTES)
     sent = with_notes(asides.unionByName(replies), _with_key(partial(_send_segments, slots)), SEGMENTS)
     spans = sent.groupBy("slot").applyInArrow(_losers, NOTES)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    result += ", kept_text string" if texts else ""
+    result = result_type(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", texts)
     return with_notes(asides.unionByName(spans), _with_key(partial(_results, texts)), result)
 
 
