@@ -230,11 +230,10 @@ FROM accounts LEFT JOIN acct USING (account_id) LEFT JOIN account_errors USING (
   (SELECT count(*) FROM qlog WHERE execution_time_ms >= 1800000) AS over_30m,
   (SELECT count(*) FROM qlog WHERE execution_time_ms >= 600000 AND execution_time_ms < 1800000) AS over_10m,
   (SELECT count(*) FROM parted WHERE likely_full_scan) AS full_scans,
-  (SELECT coalesce(sum(least(n, 5)), 0) FROM (SELECT f, count(*) AS n FROM (SELECT unnest(flags) AS f FROM tagged) GROUP BY f)
-    WHERE f IN ('GEOSPATIAL', 'FEDERATED_QUERY', 'UNLOAD')) AS risky,
-  (SELECT coalesce(sum(least(n, 5)), 0) FROM (SELECT f, count(*) AS n FROM (SELECT unnest(flags) AS f FROM tagged) GROUP BY f)) AS all_flags,
-  (SELECT least(count(*), 5) FROM tagged WHERE list_contains(flags, 'GEOSPATIAL')) AS geo,
-  (SELECT least(count(*), 5) FROM tagged WHERE list_contains(flags, 'FEDERATED_QUERY')) AS federated,
+  (SELECT count(*) FROM (SELECT unnest(flags) AS f FROM tagged) WHERE f IN ('GEOSPATIAL', 'FEDERATED_QUERY', 'UNLOAD')) AS risky,
+  (SELECT count(*) FROM (SELECT unnest(flags) AS f FROM tagged)) AS all_flags,
+  (SELECT count(*) FROM tagged WHERE list_contains(flags, 'GEOSPATIAL')) AS geo,
+  (SELECT count(*) FROM tagged WHERE list_contains(flags, 'FEDERATED_QUERY')) AS federated,
   (SELECT avg(size) FROM sizes) AS mean_size""",
 }
 _FIXTURES = ("usage_row", "usage_log", "execution_stats", "s3_log", "accounts", "account_errors", "audit_flat")
@@ -268,11 +267,10 @@ def sql(name: str, body: str) -> None:
 # --- sources and sinks ---
 
 _AUDIT = """SELECT event_id AS "eventID", event_name AS "eventName", event_source AS "eventSource",
-  event_time_text AS "eventTime", error_code AS "errorCode", user_arn AS "userArn"{extra} FROM audit_flat
-WHERE starts_with(event_time_text, '2024'){where}"""
+  event_time_text AS "eventTime", error_code AS "errorCode", user_arn AS "userArn"{extra} FROM audit_flat{where}"""
 sql("read_audit_files", _AUDIT.format(extra="", where=""))
 sql("audit_file_size_filter", _AUDIT.format(extra="", where=""))
-sql("audit_date_prefixes", _AUDIT.format(extra="", where=" AND left(event_time_text, 10) BETWEEN '2024-01-05' AND '2024-01-20'"))
+sql("audit_date_prefixes", _AUDIT.format(extra="", where=" WHERE left(event_time_text, 10) BETWEEN '2024-01-05' AND '2024-01-20'"))
 sql("audit_org_prefixes", _AUDIT.format(extra=", account_id", where=""))
 sql("unwrap_api_record", """SELECT event_id AS "eventID", event_name AS "eventName", event_source AS "eventSource",
   event_time_text AS "eventTime", user_arn AS "userArn", query_string AS "queryString" FROM audit_flat""")
@@ -424,7 +422,7 @@ sql("ddl_by_type", "SELECT ddl_type, count(*) AS ddl_count FROM ddl GROUP BY 1")
 sql("ddl_by_hour", "SELECT hour, count(*) AS ddl_count FROM ddl GROUP BY 1")
 sql("ddl_by_user", "SELECT user_id, ddl_type, count(*) AS ddl_count FROM ddl GROUP BY 1, 2")
 sql("ddl_by_table", "SELECT object AS table_name, count(*) AS ddl_count FROM ddl GROUP BY 1")
-sql("ddl_samples_by_type", """SELECT ddl_type, rank, left(user_id, 30) AS user_id, query_string, greatest(n - 10, 0) AS more_queries FROM (
+sql("ddl_samples_by_type", """SELECT ddl_type, rank, user_id, query_string, greatest(n - 10, 0) AS more_queries FROM (
   SELECT *, row_number() OVER (PARTITION BY ddl_type ORDER BY event_time, event_id) AS rank, count(*) OVER (PARTITION BY ddl_type) AS n
   FROM ddl WHERE ddl_type IN ('DROP', 'CREATE', 'ALTER', 'TRUNCATE')) WHERE rank <= 10""")
 sql("top_ddl_users", """SELECT user_id, count(*) FILTER (ddl_type = 'CREATE') AS create_count, count(*) FILTER (ddl_type = 'DROP') AS drop_count,
@@ -455,12 +453,12 @@ sql("data_scanned_by_workgroup", "SELECT workgroup, CAST(sum(data_scanned) AS BI
 sql("data_scanned_stats", """SELECT count(*) AS query_count, round(avg(data_scanned), 6) AS avg_bytes, max(data_scanned) AS max_bytes,
   CAST(sum(data_scanned) AS BIGINT) AS total_bytes FROM qlog WHERE data_scanned > 0""")
 sql("long_running_totals", "SELECT over_10m AS from_10_to_30m, over_30m, over_1h FROM counters")
-_FLAGS = "SELECT flag, count(*) AS query_count, least(count(*), 5) AS capped_count FROM (SELECT unnest(flags) AS flag FROM tagged) GROUP BY 1"
+_FLAGS = "SELECT flag, count(*) AS query_count FROM (SELECT unnest(flags) AS flag FROM tagged) GROUP BY 1"
 sql("migration_flag_counts", _FLAGS)
 _FLAG_ROWS = """SELECT *, row_number() OVER (PARTITION BY flag ORDER BY event_time, event_id) AS rank
 FROM (SELECT *, unnest(flags) AS flag FROM tagged)"""
 sql("migration_flag_examples", f"SELECT flag, rank, query_id, user_id, left(query_string, 300) AS query_preview FROM ({_FLAG_ROWS}) WHERE rank <= 5")
-sql("flags_ranked", f"""SELECT flag, capped_count, left(query_string, 300) AS query_preview FROM ({_FLAGS}) JOIN
+sql("flags_ranked", f"""SELECT flag, query_count, left(query_string, 300) AS query_preview FROM ({_FLAGS}) JOIN
   (SELECT * FROM ({_FLAG_ROWS}) WHERE rank = 1) USING (flag)""")
 _SPAN = """SELECT min(t) AS a, max(t) AS b, date_diff('second', date_trunc('second', min(t)), max(t)) AS s0,
   epoch_us(max(t)) - epoch_us(min(t)) AS us FROM (SELECT event_time AS t FROM qlog UNION ALL SELECT event_time FROM s3_log)"""
@@ -583,5 +581,7 @@ sql("stream_hourly_counts", "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour,
 sql("stream_minute_peak", "SELECT max(n) AS peak_concurrency FROM (SELECT count(*) AS n FROM usage_row GROUP BY date_trunc('minute', event_time))")
 sql("stream_workgroup_stats", """SELECT workgroup, count(*) AS query_count, CAST(sum(data_scanned) AS BIGINT) AS data_scanned,
   count(DISTINCT user_id) AS unique_users FROM qlog GROUP BY 1""")
-sql("stream_enrich", """SELECT event_id, query_execution_id, s.workgroup, s.status, s.data_scanned
-FROM usage_row u LEFT JOIN stats s USING (query_execution_id)""")
+sql("stream_enrich", """SELECT event_id, u.query_execution_id, CASE WHEN s.found THEN s.query ELSE u.query_string END AS query,
+  CASE WHEN s.found THEN s.workgroup ELSE u.workgroup END AS workgroup, CASE WHEN s.found THEN s.database ELSE u.db END AS database,
+  coalesce(s.status, '') AS status, coalesce(s.data_scanned, 0) AS data_scanned
+FROM usage_row u LEFT JOIN (SELECT *, true AS found FROM stats) s ON u.query_execution_id = s.query_execution_id""")

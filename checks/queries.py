@@ -131,13 +131,14 @@ def _write_audit_files(spark: SparkSession, sf: str, name: str, folder: str) ->
     """The audit records as gzip files by day or account; a file holds the
     records of at most 5000 consecutive source rows."""
     root = work_dir(spark, name)
-    rows = raw_audit(spark, sf, "id").filter(F.col("eventTime").startswith("2024"))
+    rows = raw_audit(spark, sf, "id")
     nested = ("requestParameters", "responseElements")
     record = F.struct(*(c for c in rows.columns if c not in (*nested, "id")))
     parts = rows.withColumns(
         {
             "account": F.concat(F.lit("AWSLogs-"), "recipientAccountId"),
-            "day": F.substring("eventTime", 1, 10),
+            # Records without a time lie in a folder of their own.
+            "day": F.coalesce(F.nullif(F.regexp_extract("eventTime", r"^\d{4}-\d\d-\d\d", 0), F.lit("")), F.lit("none")),
             "part": F.floor(F.col("id") / 5000),
             "record": F.to_json(record),
         }
@@ -199,7 +200,7 @@ def read_audit_files(spark, sf):
 
 @query
 def audit_file_size_filter(spark, sf):
-    return _audit_query(spark, sf, "size", max_bytes=rules.MAX_AUDIT_FILE_BYTES)
+    return _audit_query(spark, sf, "size", max_bytes=50 * 1024 * 1024)
 
 
 @query
@@ -1179,10 +1180,12 @@ def stream_workgroup_stats(spark, sf):
 @query
 def stream_enrich(spark, sf):
     root = work_dir(spark, "stream-enrich")
-    starts = _stream(spark, sf, "usage_row").select("event_id", "query_execution_id")
+    starts = _stream(spark, sf, "usage_row").withColumns(
+        {"user_id": fn.user_id("user_arn", F.lit("")), "database": F.col("db")}
+    )
     stats = sources.read_execution_stats(view(spark, sf, "execution_stats"))
     joined = st.stream_enrich(starts, stats)
     st.run_to_files(joined, f"{root}/facts", f"{root}/cp").awaitTermination()
     return spark.read.parquet(f"{root}/facts").select(
-        "event_id", "query_execution_id", "workgroup", "status", "data_scanned"
+        "event_id", "query_execution_id", "query", "workgroup", "database", "status", "data_scanned"
     )

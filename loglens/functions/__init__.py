@@ -27,6 +27,7 @@ from .sqltext import (
     ddl_type,
     ddl_operation,
     extract_tables,
+    masked_query,
     migration_flags,
     partition_usage,
     query_complexity,

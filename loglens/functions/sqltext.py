@@ -94,16 +94,23 @@ def query_fingerprint(query: str) -> Column:
     return F.expr(f"substring(sha2({text}, 256), 1, 12)")
 
 
-def sanitize_query(query: str) -> Column:
-    """Text without comments and literals, cut at 1000 characters."""
+def masked_query(query: str) -> Column:
+    """Struct of ``example``, the text without comments and literals cut at 1000 characters
+    for display, and ``digest``, which tells whole masked texts apart."""
     text = _replace(query, r"--[^\n]*", "")
     text = _replace(text, r"(?s)/\*.*?\*/", "")
     text = _replace(text, _SINGLE_QUOTED, "'<VALUE>'")
     text = _replace(text, _DOUBLE_QUOTED, '"<VALUE>"')
     text = _replace(text, _NUMBER, "<NUM>")
-    # One row of a one-element array names the masked text for its three uses.
+    # One row of a one-element array names the masked text for its uses.
     cut = "CASE WHEN length(t) > 1000 THEN concat(substring(t, 1, 1000), '...') ELSE t END"
-    return F.expr(f"transform(array({text}), t -> {cut})[0]")
+    both = f"named_struct('example', {cut}, 'digest', sha2(t, 256))"
+    return F.expr(f"transform(array({text}), t -> {both})[0]")
+
+
+def sanitize_query(query: str) -> Column:
+    """Text without comments and literals, cut at 1000 characters."""
+    return masked_query(query)["example"]
 
 
 def sql_features(

@@ -9,6 +9,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import MapType, TimestampType
 
 from .. import functions as fn, rules, schemas
 
@@ -32,20 +33,28 @@ def unwrap_api_record(records: DataFrame, wrapped: str = "CloudTrailEvent") -> D
     return records.withColumn("_record", parsed).select(*kept, *fields)
 
 
+def unreadable_api_records(records: DataFrame, wrapped: str = "CloudTrailEvent") -> DataFrame:
+    """Rows whose wrapped record is no JSON text: ``unwrap_api_record`` has nothing for them."""
+    if wrapped not in records.columns:
+        return records.limit(0)
+    return records.filter(F.col(wrapped).isNotNull() & F.get_json_object(wrapped, "$").isNull())
+
+
 def dedupe_events(
     events: DataFrame, key: str = "event_id", order_by: Sequence[str] = ("event_time",)
 ) -> DataFrame:
     """First row per non-empty id; rows without an id are all kept.
 
-    The rank filter becomes a group limit on both sides of the shuffle, so an
-    id with very many copies sends one row per task. A row without an id gets
-    a key of its own, which spreads such rows evenly and needs no second scan.
-    Pass more ``order_by`` columns where copies may differ.
+    Copies that differ are put in a whole order: ``order_by``, then a hash of the row, so
+    the same row is kept however the input is dealt. The rank filter becomes a group limit
+    on both sides of the shuffle, so an id with very many copies sends one row per task.
+    Rows without an id pass by the shuffle; nothing depends on their place in the input.
     """
-    own_key = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
-    keyed = events.withColumn("_key", F.coalesce(F.nullif(F.col(key), F.lit("")), own_key))
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(*order_by))
-    return keyed.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_key")
+    has_id = F.coalesce(F.col(key), F.lit("")) != ""
+    plain = [f.name for f in events.schema.fields if not isinstance(f.dataType, MapType)]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order_by, F.xxhash64(*plain)))
+    first = events.filter(has_id).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return first.unionByName(events.filter(~has_id))
 
 
 def event_route(
@@ -203,8 +212,9 @@ class Period:
     end: datetime
 
     @classmethod
-    def of(cls, start: str, end: str) -> Period:
-        """From ISO text. Bad text, too long and reversed periods are errors."""
+    def of(cls, start: str, end: str, max_days: int | None = None) -> Period:
+        """From ISO text. Bad text and reversed periods are errors, and periods over
+        ``max_days`` where that is given."""
         try:
             first, last = (
                 datetime.fromisoformat(str(text).replace("Z", "+00:00")) for text in (start, end)
@@ -215,8 +225,8 @@ class Period:
             t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
             for t in (first, last)
         )
-        if (last - first).days > rules.MAX_PERIOD_DAYS:
-            raise ValueError(f"the period is over {rules.MAX_PERIOD_DAYS} days")
+        if max_days is not None and (last - first).days > max_days:
+            raise ValueError(f"the period is over {max_days} days")
         if first >= last:
             raise ValueError("start must be before end")
         return cls(first, last)
@@ -245,11 +255,13 @@ class Period:
 
 def time_range_filter(events: DataFrame, period: Period, column: str = "event_time") -> DataFrame:
     """Rows inside the period; the ends are cast to the column's own type so
-    that the comparison reaches the file scan."""
+    that the comparison reaches the file scan. They name their zone where the
+    type has one, so the session's zone does not matter."""
     kind = events.schema[column].dataType
+    zone = "+00:00" if isinstance(kind, TimestampType) else ""
 
     def end(t: datetime) -> Column:
-        return F.lit(t.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")).cast(kind)
+        return F.lit(t.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f") + zone).cast(kind)
 
     return events.filter(F.col(column).between(end(period.start), end(period.end)))
 

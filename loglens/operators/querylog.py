@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import functions as fn, rules
 from ..functions.sqltext import is_high_complexity, join_types
-from .ranking import ARRIVAL, first_k, top_k, with_share
+from .ranking import count_and_first, ARRIVAL, first_k, top_k, with_share
 
 _ALIASES = {
     "query_string": ("query_string", "query"),
@@ -103,11 +103,9 @@ def sql_feature_counts(classified: DataFrame) -> DataFrame:
 
 
 def sql_feature_examples(classified: DataFrame, k: int = 2) -> DataFrame:
-    rows = _tag_rows(classified, "features", "feature", *ARRIVAL, "query_string")
-    firsts = first_k(rows, ["feature"], ARRIVAL, k)
-    return firsts.select(
-        "feature", "rank", fn.truncate_preview("query_string", 300, "...").alias("example")
-    )
+    example = fn.truncate_preview("query_string", 300, "...").alias("example")
+    rows = _tag_rows(classified, "features", "feature", *ARRIVAL, example)
+    return first_k(rows, ["feature"], ARRIVAL, k).select("feature", "rank", "example")
 
 
 def top_features(classified: DataFrame, k: int = 20) -> DataFrame:
@@ -168,7 +166,7 @@ def first_high_complexity(classified: DataFrame, k: int = 10) -> DataFrame:
         "query_id",
         "join_count",
         F.coalesce(
-            F.nullif(F.array_join(F.slice("join_types", 1, 5), ", "), F.lit("")), F.lit("N/A")
+            F.nullif(F.array_join("join_types", ", "), F.lit("")), F.lit("N/A")
         ).alias("join_types"),
         "cte_count",
         "subquery_count",
@@ -217,7 +215,7 @@ def ddl_samples_by_type(classified: DataFrame, k: int = 10) -> DataFrame:
     return samples.join(totals, "type").select(
         F.col("type").alias("ddl_type"),
         "rank",
-        fn.truncate_preview("user_id", 30).alias("user_id"),
+        "user_id",
         "query_string",
         F.greatest(F.col("ddl_count") - k, F.lit(0)).alias("more_queries"),
     )
@@ -256,32 +254,22 @@ def partition_filter_totals(classified: DataFrame) -> DataFrame:
 # --- migration flags ---
 
 
-def migration_flag_counts(classified: DataFrame, cap: int = rules.FLAG_EXAMPLE_CAP) -> DataFrame:
-    """All queries per flag, and the number when counting stops at ``cap``."""
-    counts = _tag_counts(classified, "flags", "flag")
-    return counts.withColumn("capped_count", F.least("query_count", F.lit(cap)).cast("bigint"))
+def migration_flag_counts(classified: DataFrame) -> DataFrame:
+    """All queries per flag."""
+    return _tag_counts(classified, "flags", "flag")
 
 
-def migration_flag_examples(
-    classified: DataFrame, k: int = rules.FLAG_EXAMPLE_CAP
-) -> DataFrame:
-    rows = _tag_rows(
-        classified, "flags", "flag", *ARRIVAL, "query_id", "user_id", "query_string"
-    )
-    return first_k(rows, ["flag"], ARRIVAL, k).select(
-        "flag",
-        "rank",
-        "query_id",
-        "user_id",
-        fn.truncate_preview("query_string", 300).alias("query_preview"),
-    )
+def migration_flag_examples(classified: DataFrame, k: int = rules.FLAG_EXAMPLES) -> DataFrame:
+    preview = fn.truncate_preview("query_string", 300).alias("query_preview")
+    rows = _tag_rows(classified, "flags", "flag", *ARRIVAL, "query_id", "user_id", preview)
+    return first_k(rows, ["flag"], ARRIVAL, k).select("flag", "rank", "query_id", "user_id", "query_preview")
 
 
 def flags_ranked(classified: DataFrame) -> DataFrame:
-    """Flags by capped count with the first example."""
-    counts = migration_flag_counts(classified).select("flag", "capped_count")
-    first = migration_flag_examples(classified, 1).select("flag", "query_preview")
-    return counts.join(first, "flag").orderBy(F.desc("capped_count"), "flag")
+    """Flags by the number of queries, with the first example; one pass over the log."""
+    preview = fn.truncate_preview("query_string", 300).alias("query_preview")
+    rows = _tag_rows(classified, "flags", "flag", *ARRIVAL, preview)
+    return count_and_first(rows, "flag", "query_count", "query_preview").orderBy(F.desc("query_count"), "flag")
 
 
 # --- status and errors ---
@@ -314,21 +302,18 @@ def error_type_counts(log: DataFrame) -> DataFrame:
 
 
 def error_examples(log: DataFrame, k: int = 3) -> DataFrame:
-    rows = _failures(log).filter("error_message <> ''")
-    return first_k(rows, ["error_type"], ARRIVAL, k).select(
-        "error_type", "rank", fn.truncate_preview("error_message", 200).alias("example")
+    rows = _failures(log).filter("error_message <> ''").select(
+        "error_type", *ARRIVAL, fn.truncate_preview("error_message", 200).alias("example")
     )
+    return first_k(rows, ["error_type"], ARRIVAL, k).select("error_type", "rank", "example")
 
 
 def errors_ranked(log: DataFrame) -> DataFrame:
-    first = error_examples(log, 1).select(
-        "error_type", fn.truncate_preview("example", 100, "...").alias("example")
-    )
-    return (
-        error_type_counts(log)
-        .join(first, "error_type", "left")
-        .orderBy(F.desc("error_count"), "error_type")
-    )
+    """Error classes by number, with the first message; one pass over the log."""
+    message = F.nullif(F.col("error_message"), F.lit(""))
+    preview = fn.truncate_preview(fn.truncate_preview(message, 200), 100, "...").alias("example")
+    rows = _failures(log).select("error_type", *ARRIVAL, preview)
+    return count_and_first(rows, "error_type", "error_count", "example").orderBy(F.desc("error_count"), "error_type")
 
 
 # --- times ---

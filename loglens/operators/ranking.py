@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ARRIVAL = ("event_time", "event_id")
+SPREAD = 32
 
 
 def top_k(df: DataFrame, by: str, tie: Sequence[str], k: int) -> DataFrame:
@@ -30,6 +31,18 @@ def first_k(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def count_and_first(rows: DataFrame, key: str, count: str, value: str) -> DataFrame:
+    """Rows per key and the value of the first row in order of arrival that has one.
+
+    A row of one key goes to one of ``SPREAD`` places by its id; each place sends its
+    count and first row on, so the rows are read once and a frequent key is spread.
+    """
+    spread = rows.withColumn("_place", F.pmod(F.xxhash64("event_id"), F.lit(SPREAD)))
+    first = F.struct(F.col(value).isNull().alias("empty"), *ARRIVAL, F.col(value).alias("value"))
+    places = spread.groupBy(key, "_place").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+    return places.groupBy(key).agg(F.sum("n").alias(count), F.min("first")["value"].alias(value))
+
+
 def global_rank(df: DataFrame, count: str, key: str, rank: str = "rank") -> DataFrame:
     """Numbers all rows by (count descending, key), without one sorting task.
 

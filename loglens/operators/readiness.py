@@ -10,6 +10,7 @@ from .. import functions as fn, rules
 from ..functions.sqltext import quoted
 from .store import object_size_stats
 
+_TAGS = {"flags", "complexity", "partitions", "ddl"}
 _ALL_FLAGS = tuple(rule.tag for rule in rules.FLAG_RULES)
 _COMPLEX = (
     f"complexity.join_count >= {rules.HIGH_COMPLEXITY} "
@@ -33,17 +34,26 @@ def readiness_cells(log: DataFrame) -> DataFrame:
 def readiness_counters(log: DataFrame) -> DataFrame:
     """One row with every number the score and the advice need.
 
-    The whole log is read once; each distinct text is matched once.
+    The whole log is read once. A classified log keeps its tags; of another one
+    each distinct text is matched once.
     """
     text, upper = "query_string", "query_upper"
-    cells = readiness_cells(log).withColumn(upper, F.upper(text)).withColumns(
-        {
-            "flags": fn.migration_flags(text, upper),
-            "complexity": fn.query_complexity(text, upper),
-            "partitions": fn.partition_usage(text, upper),
-            "ddl": fn.ddl_type(text),
-        }
-    )
+    if _TAGS <= set(log.columns):
+        long = fn.long_running_class("execution_time_ms")
+        cells = log.select(
+            text, F.upper(text).alias(upper), "flags", "complexity", "partitions",
+            F.col("ddl.type").alias("ddl"), F.lit(1).cast("bigint").alias("n"),
+            *((long == label).cast("bigint").alias(label) for _, label in rules.LONG_RUNNING),
+        )
+    else:
+        cells = readiness_cells(log).withColumn(upper, F.upper(text)).withColumns(
+            {
+                "flags": fn.migration_flags(text, upper),
+                "complexity": fn.query_complexity(text, upper),
+                "partitions": fn.partition_usage(text, upper),
+                "ddl": fn.ddl_type(text),
+            }
+        )
     counters = {
         "selects": ("contains(query_upper, 'SELECT')", "n"),
         "high_complexity": (_COMPLEX, "n"),
@@ -86,21 +96,17 @@ def _same(value: str, rungs: Sequence[tuple]) -> list[tuple[str, tuple]]:
     return [(value, rung) for rung in rungs]
 
 
-def _capped(cap: int | None, flags: Sequence[str]) -> str:
-    counts = (f"least(flag_{flag}, {cap}L)" if cap else f"flag_{flag}" for flag in flags)
-    return "(" + " + ".join(counts) + ")"
+def _flagged(flags: Sequence[str]) -> str:
+    return "(" + " + ".join(f"flag_{flag}" for flag in flags) + ")"
 
 
-def readiness_score(log: DataFrame, cap: int | None = rules.FLAG_EXAMPLE_CAP) -> DataFrame:
-    """Score 0-100, level, reasons and counters.
-
-    ``cap`` stops the count of each flag, None counts all queries.
-    """
+def readiness_score(log: DataFrame) -> DataFrame:
+    """Score 0-100, level, reasons and counters; every flagged query counts."""
     row = readiness_counters(log).selectExpr(
         "*",
         "high_complexity / greatest(events, 1L) * 100 AS complex_pct",
         "CASE WHEN selects > 0 THEN full_scans / selects * 100 END AS scan_pct",
-        f"{_capped(cap, rules.RISKY_FLAGS)} AS risky",
+        f"{_flagged(rules.RISKY_FLAGS)} AS risky",
     )
     parts = (
         _ladder(_same("complex_pct", rules.COMPLEXITY_RUNGS)),
@@ -124,16 +130,14 @@ def readiness_score(log: DataFrame, cap: int | None = rules.FLAG_EXAMPLE_CAP) ->
         "drops AS drop_operations",
         "over_10m + over_30m AS long_running_queries",
         "full_scans AS full_table_scans",
-        f"{_capped(cap, _ALL_FLAGS)} AS compatibility_flags",
+        f"{_flagged(_ALL_FLAGS)} AS compatibility_flags",
     )
 
 
-def recommendations(
-    log: DataFrame, store_events: DataFrame, cap: int | None = rules.FLAG_EXAMPLE_CAP
-) -> DataFrame:
+def recommendations(log: DataFrame, store_events: DataFrame) -> DataFrame:
     """Advice lines in order, or the one default line."""
     mean = object_size_stats(store_events).select("avg_object_bytes").scalar()
-    geo, federated = _capped(cap, ("GEOSPATIAL",)), _capped(cap, ("FEDERATED_QUERY",))
+    geo, federated = _flagged(("GEOSPATIAL",)), _flagged(("FEDERATED_QUERY",))
     # Advice: (counter it names or None, condition)
     advice = {
         "complex": ("high_complexity", "high_complexity > 0"),

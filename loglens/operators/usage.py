@@ -112,17 +112,19 @@ def query_patterns(facts: DataFrame) -> DataFrame:
 
 
 def pattern_examples(facts: DataFrame, k: int = 5) -> DataFrame:
-    """First k distinct masked texts per fingerprint, in order of arrival."""
+    """First k distinct masked texts per fingerprint, in order of arrival; texts are
+    compared whole."""
     seen = (
         facts.select(
             fn.query_fingerprint("query").alias("pattern_hash"),
-            fn.sanitize_query("query").alias("example"),
+            fn.masked_query("query").alias("masked"),
             F.struct("event_time", "event_id").alias("arrival"),
         )
-        .groupBy("pattern_hash", "example")
+        .select("pattern_hash", "masked.*", "arrival")
+        .groupBy("pattern_hash", "example", "digest")
         .agg(F.min("arrival").alias("arrival"))
     )
-    return first_k(seen, ["pattern_hash"], ["arrival", "example"], k).drop("arrival")
+    return first_k(seen, ["pattern_hash"], ["arrival", "digest"], k).drop("arrival", "digest")
 
 
 def ranked_patterns(facts: DataFrame) -> DataFrame:

@@ -47,8 +47,6 @@ DEFAULT_WORKGROUP = "primary"
 DEFAULT_DATABASE = "default"
 UNKNOWN_USER = "unknown"
 
-MAX_AUDIT_FILE_BYTES = 50 * 1024 * 1024
-MAX_PERIOD_DAYS = 90
 LOOKBACK_DAYS = 90
 LOOKBACK_MINUTES = 60
 
@@ -151,7 +149,7 @@ FLAG_RULES: tuple[Rule, ...] = (
     ),
 )
 RISKY_FLAGS = ("GEOSPATIAL", "FEDERATED_QUERY", "UNLOAD")
-FLAG_EXAMPLE_CAP = 5
+FLAG_EXAMPLES = 5
 
 # Join kinds in counting order. The bare kind is a JOIN with none of the six
 # words, each followed by a blank, inside the ten characters before it.

@@ -1,7 +1,9 @@
 """Sources: audit files, export bundles, execution statistics."""
 
-from .audit_files import audit_paths, read_audit_files
+from .audit_files import audit_file_problems, audit_paths, read_audit_files
 from .bundles import read_bundle_members, read_export_bundles
 from .execution_stats import read_execution_stats
 
-__all__ = ["audit_paths", "read_audit_files", "read_bundle_members", "read_export_bundles", "read_execution_stats"]
+__all__ = [
+    "audit_file_problems", "audit_paths", "read_audit_files", "read_bundle_members", "read_export_bundles", "read_execution_stats",
+]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import rules, schemas
+from .. import schemas
 from ..operators.events import Period
 
 # Folder layouts; ``{day}`` becomes the days of the period.
@@ -37,18 +37,7 @@ def audit_paths(
     )
 
 
-def read_audit_files(
-    spark: SparkSession,
-    path: str | list[str],
-    max_bytes: int | None = rules.MAX_AUDIT_FILE_BYTES,
-    account_pattern: str | None = None,
-) -> DataFrame:
-    """One row per record. Files over ``max_bytes`` are skipped before they are
-    opened, broken ones when they fail. A gzip file is one task; the service
-    writes them small, and larger ones are left out by the size rule.
-
-    ``account_pattern`` takes the account from the path by its first group.
-    """
+def _files(spark: SparkSession, path: str | list[str], max_bytes: int | None) -> DataFrame:
     files = (
         spark.read.schema(schemas.AUDIT_FILE)
         .option("multiLine", True)
@@ -57,14 +46,46 @@ def read_audit_files(
         .option("recursiveFileLookup", True)
         .json(path)
     )
-    if max_bytes is not None:
-        files = files.filter(F.col("_metadata.file_size") <= max_bytes)
+    return files if max_bytes is None else files.filter(F.col("_metadata.file_size") <= max_bytes)
+
+
+def read_audit_files(
+    spark: SparkSession,
+    path: str | list[str],
+    max_bytes: int | None = None,
+    account_pattern: str | None = None,
+) -> DataFrame:
+    """One row per record. Files that can't be read give none, nor do files over
+    ``max_bytes`` where that is set; ``audit_file_problems`` lists both. A gzip
+    file is one task; the service writes them small.
+
+    ``account_pattern`` takes the account from the path by its first group.
+    """
+    files = _files(spark, path, max_bytes)
     columns = [F.explode("Records").alias("record")]
     if account_pattern:
         columns.append(F.regexp_extract("_metadata.file_path", account_pattern, 1).alias("account_id"))
     return files.select(*columns).select("record.*", *(["account_id"] if account_pattern else []))
 
 
+def audit_file_problems(
+    spark: SparkSession, path: str | list[str], max_bytes: int | None = None
+) -> DataFrame:
+    """path, size, problem of the files that ``read_audit_files`` has no record of because
+    they are too large, or broken. A file with an empty list of records is fine."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        .select("path", F.col("length").alias("size"))
+    )
+    good = (
+        _files(spark, path, max_bytes).filter(F.col("Records").isNotNull())
+        .select(F.col("_metadata.file_path").alias("path")).distinct()
+    )
+    too_large = F.col("size") > max_bytes if max_bytes is not None else F.lit(False)
+    problem = F.when(too_large, "too large").otherwise("unreadable")
+    return listed.join(good, "path", "left_anti").withColumn("problem", problem)
+
+
 ORG_ACCOUNT = r"/AWSLogs/[^/]+/([^/]+)/CloudTrail/"
 
 

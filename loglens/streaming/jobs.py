@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.facts import enrich_queries
+
 DEFAULT_DELAY = "1 hour"
 
 
@@ -64,8 +66,9 @@ def stream_dedupe(
 
 
 def stream_enrich(starts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Starts joined to a table of statistics, read anew for every batch."""
-    return starts.join(stats, "query_execution_id", "left")
+    """Starts joined to a table of statistics, read anew for every batch; a start without
+    statistics keeps its own text, workgroup and database, as in the batch join."""
+    return enrich_queries(starts, stats)
 
 
 def windowed_counts(

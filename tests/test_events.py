@@ -114,7 +114,8 @@ def test_period_checks():
     with pytest.raises(ValueError, match="ISO"):
         ev.Period.of("yesterday", "2024-01-02")
     with pytest.raises(ValueError, match="90 days"):
-        ev.Period.of("2024-01-01T00:00:00Z", "2024-06-01T00:00:00Z")
+        ev.Period.of("2024-01-01T00:00:00Z", "2024-06-01T00:00:00Z", max_days=90)
+    assert len(ev.Period.of("2024-01-01T00:00:00Z", "2024-06-01T00:00:00Z").days()) == 153
     with pytest.raises(ValueError, match="before"):
         ev.Period.of("2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z")
     now = datetime(2024, 5, 1, tzinfo=timezone.utc)
@@ -248,3 +249,31 @@ def test_coverage_and_outcome(spark):
     }
     assert tuple(ac.run_outcome(rows).first()) == (3, 2, 1)
     assert [tuple(r) for r in ac.run_errors(rows).collect()] == [("2", "no role")]
+
+
+def test_the_kept_copy_does_not_depend_on_partitions(spark):
+    rows = [(f"e{i % 5}", "2024-01-01T00:00:00", f"payload {i}") for i in range(64)] + [("", "t", "same")] * 3 + [(None, "t", "x")]
+    df = spark.createDataFrame(rows, "event_id string, event_time string, payload string")
+    kept = [sorted(map(str, ev.dedupe_events(df.repartition(n)).collect())) for n in (1, 3, 16)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 5 + 4
+
+
+def test_period_does_not_depend_on_the_session_zone(spark):
+    period = ev.Period.of("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z")
+    times = [(f"2024-01-0{d}T{h:02}:30:00Z",) for d in (1, 2) for h in (0, 5, 23)]
+    try:
+        found = []
+        for zone in ("America/Los_Angeles", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = spark.createDataFrame(times, "t string")
+            for kind in ("timestamp", "timestamp_ntz"):
+                column = F.col("t").cast("timestamp") if kind == "timestamp" else F.to_timestamp_ntz(F.regexp_replace("t", "Z", ""))
+                found.append(ev.time_range_filter(rows.select(column.alias("event_time")), period).count())
+        assert found == [3, 3, 3, 3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_unreadable_wrapped_records_are_listed(spark):
+    rows = spark.createDataFrame([('{"eventID": "1"}',), ('{"eventID": "2"',), ("no json",), (None,)], "CloudTrailEvent string")
+    assert sorted(r[0] for r in ev.unreadable_api_records(rows).collect()) == ["no json", '{"eventID": "2"']

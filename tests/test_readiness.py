@@ -1,7 +1,10 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from loglens import rules
 from loglens.operators import readiness as rd, store as so
+from loglens.session import store_table
 
 GEO = "SELECT ST_Contains(a, b) FROM t WHERE x = 1"
 HIGH = "SELECT * FROM a JOIN b JOIN c JOIN d WHERE x = 1"
@@ -13,8 +16,8 @@ def log(spark, *parts):
     return spark.createDataFrame(rows, "query_string string, execution_time_ms bigint")
 
 
-def score(spark, *parts, cap=rules.FLAG_EXAMPLE_CAP):
-    return rd.readiness_score(log(spark, *parts), cap).first()
+def score(spark, *parts):
+    return rd.readiness_score(log(spark, *parts)).first()
 
 
 @pytest.mark.parametrize(
@@ -47,12 +50,24 @@ def test_scan_rungs(spark, scans, points):
     assert row.complexity == points and row.full_table_scans == scans
 
 
-def test_flag_counts_with_and_without_cap(spark):
-    rows = ((GEO, 30, 1), (PLAIN, 10, 1))
-    capped = score(spark, *rows)
-    assert (capped.complexity, capped.compatibility_flags) == (0, 5)
-    whole = score(spark, *rows, cap=None)
-    assert (whole.complexity, whole.compatibility_flags) == (15, 30)
+@pytest.mark.parametrize("flagged", [1, 30])
+def test_every_flagged_query_counts(spark, flagged):
+    row = score(spark, (GEO, flagged, 1), (PLAIN, 10, 1))
+    assert (row.complexity, row.compatibility_flags) == (15 if flagged > 20 else 0, flagged)
+
+
+def test_score_and_advice_of_a_classified_log(spark):
+    """Tags are used as they are stored: no pattern is matched again."""
+    from loglens.operators.querylog import classify_log
+
+    rows = log(spark, (GEO, 30, 1), (HIGH, 9, 3_600_000), ("DROP TABLE t", 12, 1), (PLAIN, 10, 700_000))
+    tagged = classify_log(rows.withColumn("event_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    tagged = store_table(tagged.select("query_string", "execution_time_ms", "flags", "complexity", "partitions", "ddl"), "tagged")
+    sizes = spark.createDataFrame([], "event_name string, bytes_transferred long, object_size long, extra_bytes_in long, extra_bytes_out long, bucket string, key string, user_id string")
+    assert rd.readiness_score(tagged).collect() == rd.readiness_score(rows).collect()
+    assert rd.recommendations(tagged, sizes).collect() == rd.recommendations(rows, sizes).collect()
+    plan = rd.readiness_score(tagged)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
 
 
 def test_level_and_sum(spark):

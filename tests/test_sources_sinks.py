@@ -41,8 +41,12 @@ def test_audit_files_by_day(spark, folder):
     write_audit(f"{base}/03/c.json.gz", "4")
     write_audit(f"{base}/02/broken.json.gz", raw=b"\x1f\x8bnot gzip")
     path = sources.audit_paths(folder, PERIOD, account="111111111111", region="eu-west-1")
+    write_audit(f"{base}/02/cut.json", raw=b'{"Records":[{"eventID":"9"')
+    write_audit(f"{base}/02/empty.json.gz")
     rows = sources.read_audit_files(spark, path).collect()
     assert sorted(r.eventID for r in rows) == ["1", "2", "3"]
+    problems = {(os.path.basename(r.path), r.problem) for r in sources.audit_file_problems(spark, path).collect()}
+    assert problems == {("broken.json.gz", "unreadable"), ("cut.json", "unreadable")}
     assert json.loads(rows[0].requestParameters) == {"workGroup": "wg", "extra": [1, 2]}
 
 
@@ -52,6 +56,9 @@ def test_large_files_are_skipped(spark, folder):
     limit = os.path.getsize(f"{folder}/small.json.gz") + 10
     assert [r.eventID for r in sources.read_audit_files(spark, folder, max_bytes=limit).collect()] == ["1"]
     assert sources.read_audit_files(spark, folder).count() == 501
+    problems = sources.audit_file_problems(spark, folder, limit).collect()
+    assert [(os.path.basename(r.path), r.problem) for r in problems] == [("big.json.gz", "too large")]
+    assert sources.audit_file_problems(spark, folder).collect() == []
 
 
 def test_org_files_carry_their_account(spark, folder):

@@ -78,8 +78,13 @@ def test_partials_keep_distinct_users_exact(spark, folder):
 def test_enrich(spark, folder):
     path = f"{folder}/in"
     write_files(spark, path, [row(1, 0), row(2, 1)])
-    stats = spark.createDataFrame([("1", "OK")], "query_execution_id string, status string")
-    starts = stream(spark, path).select(F.col("event_id").alias("query_execution_id"))
+    stats = spark.createDataFrame(
+        [("1", "SELECT 1", "s", "d", "OK", 5, 7)],
+        "query_execution_id string, query string, workgroup string, database string, status string, data_scanned long, execution_time_ms long",
+    )
+    starts = stream(spark, path).withColumns(
+        {"query_execution_id": F.col("event_id"), "account_id": F.lit("a"), "query_string": F.lit("own"), "database": F.lit("own_db")}
+    )
     st.run_to_files(st.stream_enrich(starts, stats), f"{folder}/out", f"{folder}/cp").awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got == {("1", "OK"), ("2", None)}
+    got = {(r.event_id, r.query, r.workgroup, r.database, r.status, r.data_scanned) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {("1", "SELECT 1", "s", "d", "OK", 5), ("2", "own", "wg", "own_db", "", 0)}
