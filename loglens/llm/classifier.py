@@ -252,10 +252,12 @@ def _discounts(counts: dict[int, DataFrame]) -> dict[int, tuple[float, float, fl
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """gram (with its order), chance, weight: the model over counted ORDER-grams."""
+    """gram (with its order), chance, weight: the model over counted ORDER-grams. The table of
+    each order is written before the next one is made from it, which keeps plans small."""
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # in how many ways a shorter gram is preceded
-        tables[k] = tables[k + 1].groupBy((F.col("gram").bitwiseAND((1 << (8 * k)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        shorter_ = F.col("gram").bitwiseAND((1 << (8 * k)) - 1).alias("gram")
+        tables[k] = store_table(tables[k + 1].groupBy(shorter_).agg(F.count("*").alias("n")), f"grams-{k}")
     discounts = _discounts(tables)
     lower = None
     rows = []
@@ -264,6 +266,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         prefix = F.shiftright("gram", 8)
         context = tables[k].groupBy(prefix.alias("prefix")).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("weight"))
+        context = store_table(context, f"contexts-{k}")
         mine = tables[k].withColumn("prefix", prefix).join(context, "prefix")
         if lower is None:
             mine = mine.withColumn("suffix_chance", F.lit(1 / BYTES))
@@ -271,6 +274,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             mine = mine.withColumn("suffix", F.col("gram").bitwiseAND((1 << (8 * (k - 1))) - 1)).join(lower, "suffix")
         share = F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total")
         chances = mine.select("gram", (share + F.col("weight") * F.col("suffix_chance")).alias("chance"))
+        chances = store_table(chances, f"chances-{k}")
         lower = chances.select(F.col("gram").alias("suffix"), F.col("chance").alias("suffix_chance"))
         rows.append(chances.select((F.col("gram") + (k << 40)).alias("gram"), "chance", F.lit(0.0).alias("weight")))
         rows.append(context.select((F.col("prefix") + ((k - 1) << 40)).alias("gram"), F.lit(0.0).alias("chance"), "weight"))
