@@ -200,7 +200,7 @@ FROM enriched WHERE query <> ''""",
   coalesce(any_value(t.n), 0) AS unique_tables, round(sum(execution_time_ms) / count(*), 6) AS avg_execution_time_ms
 FROM facts f LEFT JOIN (SELECT pattern_hash, count(DISTINCT table_name) AS n FROM fact_tables GROUP BY 1) t ON t.pattern_hash = f.pattern_hash
 GROUP BY f.pattern_hash""",
-    "sev": f"""SELECT event_id, bucket, account_id FROM routed WHERE route = 'store' AND {BUCKET_RULE}""",
+    "sev": f"""SELECT event_id, bucket, account_id, {USER.format(principal="coalesce(principal_id, '')")} AS user_id FROM routed WHERE route = 'store' AND {BUCKET_RULE}""",
     "acct": """SELECT account_id,
   coalesce(e.n, 0) AS total_athena_events, coalesce(s.n, 0) AS total_s3_events, coalesce(t.n, 0) AS query_execution_ids_found,
   coalesce(f.n, 0) AS queries_fetched_from_athena, coalesce(e.u, 0) AS unique_users, coalesce(f.w, 0) AS unique_workgroups,
@@ -470,7 +470,7 @@ sql("overview", "SELECT * FROM overview")
 sql("per_account_overview", "SELECT * FROM acct")
 
 
-def _rollup(level: str, key: str, member: str, last: str) -> str:
+def _rollup(level: str, key: str, member: str, table: str = "facts", last: bool = False, data: str = "CAST(sum(data_scanned) AS BIGINT)", count: str = "CAST(count(*) AS BIGINT)") -> str:
     out = []
     for account in ("account_id", "'ALL'"):
         group = f"{account}, {key}" if account == "account_id" else key
@@ -479,29 +479,87 @@ def _rollup(level: str, key: str, member: str, last: str) -> str:
             match = f"e.{key} = f.{key}" + (" AND e.account_id = f.account_id" if account == "account_id" else "")
             activity = f"(SELECT max(event_time) FROM aev e WHERE {match})"
         out.append(
-            f"SELECT {account} AS account_id, '{level}' AS level, {key} AS name, CAST(count(*) AS BIGINT) AS query_count, "
-            f"CAST(sum(data_scanned) AS BIGINT) AS data_scanned, count(DISTINCT {member}) AS unique_members, "
-            f"{time_text(f'CAST({activity} AS TIMESTAMP)')} AS last_activity FROM facts f GROUP BY {group}"
+            f"SELECT {account} AS account_id, '{level}' AS level, {key} AS name, {count} AS query_count, "
+            f"{data} AS data_scanned, count(DISTINCT {member}) AS unique_members, "
+            f"{time_text(f'CAST({activity} AS TIMESTAMP)')} AS last_activity FROM {table} f WHERE {key} IS NOT NULL GROUP BY {group}"
         )
     return " UNION ALL ".join(out)
 
 
+_TABLE_FACTS = f"(SELECT *, unnest(CASE WHEN len(l) > 0 THEN l ELSE [NULL] END) AS table_name FROM (SELECT *, {tables('query')} AS l FROM facts))"
 sql("account_rollup", " UNION ALL ".join((
-    _rollup("workgroup", "workgroup", "user_id", ""),
-    _rollup("database", "database", "user_id", ""),
-    _rollup("user", "user_id", "workgroup", "last"),
+    _rollup("workgroup", "workgroup", "user_id"),
+    _rollup("database", "database", "user_id"),
+    _rollup("user", "user_id", "workgroup", last=True),
+    _rollup("user_database", "user_id", "database"),
+    _rollup("pattern", "pattern_hash", "user_id"),
+    _rollup("query_type", "query_type", "user_id"),
+    _rollup("database_table", "database", "table_name", _TABLE_FACTS,
+            data="CAST(sum(data_scanned) FILTER (i = 1) AS BIGINT)", count="CAST(count(*) FILTER (i = 1) AS BIGINT)").replace(
+        "unnest(CASE WHEN len(l) > 0 THEN l ELSE [NULL] END) AS table_name",
+        "unnest(CASE WHEN len(l) > 0 THEN l ELSE [NULL] END) AS table_name, generate_subscripts(CASE WHEN len(l) > 0 THEN l ELSE [NULL] END, 1) AS i"),
+    _rollup("hour", "hour", "user_id", "(SELECT *, strftime(event_time, '%Y-%m-%dT%H') AS hour FROM aev)", data="CAST(NULL AS BIGINT)"),
+    _rollup("bucket", "bucket", "user_id", "sev", data="CAST(NULL AS BIGINT)"),
 )))
 _MERGED = f"SELECT *, {USER.format(principal=_text(''))} AS user_id, {query_type('query_string')} AS kind, {fingerprint('query_string')} AS hash FROM usage_row"
-sql("merge_export_summaries", " UNION ALL ".join(
-    [
-        f"SELECT '{section}' AS section, {key} AS name, count(*) AS query_count, count(DISTINCT user_id) AS unique_users FROM ({_MERGED}) GROUP BY {key}"
-        for section, key in (("workgroup", "workgroup"), ("database", "db"), ("pattern", "hash"))
+_MEMBERS = {"unique_users": "user_id", "unique_workgroups": "workgroup", "unique_databases": "db"}
+_SUMS = {"query_count": "count(*)", "count": "count(*)", "total_data_scanned": "CAST(sum(data_scanned_bytes) AS BIGINT)",
+         "total_execution_time_ms": "CAST(sum(execution_time_ms) AS BIGINT)"}
+_MERGED_TABLES = f"SELECT *, unnest({tables('query_string')}) AS table_name FROM ({_MERGED})"
+_MERGED_OBJECTS = "SELECT *, CASE WHEN object_key <> '' THEN split_part(object_key, '/', 1) || '/' || split_part(object_key, '/', 2) END AS prefix FROM store_ops"
+_BUCKET_SUMS = {**{f"{o}_count": f"count(*) FILTER (operation = '{o}')" for o in ("get", "put", "list")},
+                "bytes_in": "CAST(sum(bytes_in) AS BIGINT)", "bytes_out": "CAST(sum(bytes_out) AS BIGINT)",
+                "unique_users": "count(DISTINCT user_id)", "unique_prefixes": "count(DISTINCT prefix)"}
+
+
+def _measures(section: str, key: str, names: str) -> list[str]:
+    return [
+        f"SELECT '{section}' AS section, {key} AS name, '{m}' AS measure, {_SUMS.get(m) or f'count(DISTINCT {_MEMBERS[m]})'} AS value FROM ({_MERGED}) GROUP BY {key}"
+        for m in names.split()
     ]
+
+
+def _merged_tables(section: str, key: str) -> str:
+    return f"""SELECT '{section}', {key}, 'unique_tables', count(DISTINCT table_name) FROM (
+  SELECT {key}, table_name FROM ({_MERGED_TABLES}) UNION ALL SELECT {key}, NULL FROM ({_MERGED})) GROUP BY {key}"""
+
+
+sql("merge_export_summaries", " UNION ALL ".join(
+    _measures("workgroup", "workgroup", "query_count total_data_scanned unique_users")
+    + _measures("user", "user_id", "query_count unique_workgroups unique_databases")
+    + _measures("database", "db", "query_count unique_users") + [_merged_tables("database", "db")]
+    + _measures("pattern", "hash", "count total_data_scanned total_execution_time_ms unique_users unique_workgroups unique_databases")
+    + [_merged_tables("pattern", "hash")]
+    + [f"SELECT 'bucket', bucket, '{m}', {e} FROM ({_MERGED_OBJECTS}) GROUP BY bucket" for m, e in _BUCKET_SUMS.items()]
     + [
-        f"SELECT 'query_type', workgroup || '/' || kind, count(*), NULL FROM ({_MERGED}) GROUP BY workgroup, kind",
-        "SELECT 'hour', strftime(event_time, '%Y-%m-%dT%H'), count(*), NULL FROM usage_row GROUP BY 2",
+        f"SELECT 'query_type', workgroup || '/' || kind, 'query_count', count(*) FROM ({_MERGED}) GROUP BY workgroup, kind",
+        "SELECT 'hour', strftime(event_time, '%Y-%m-%dT%H'), 'query_count', count(*) FROM usage_row GROUP BY 2",
     ]
 ))
+# Examples of each pattern and file, in order.
+_EXAMPLES = f"""SELECT file, hash, ms, unnest(l) AS example, generate_subscripts(l, 1) AS place FROM (
+  SELECT account_id || '-' || strftime(event_time, '%Y-%m-%dT%H') || '-' || (id // 1000) AS file, hash,
+    CAST(sum(execution_time_ms) // count(*) AS BIGINT) AS ms, list_sort(list_distinct(list({sanitized('query_string')})))[1:5] AS l
+  FROM ({_MERGED}) GROUP BY 1, 2)"""
+sql("merge_pattern_examples", f"""SELECT name, rank, example FROM (
+  SELECT hash AS name, example, row_number() OVER (PARTITION BY hash ORDER BY file, place, example) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY hash, example ORDER BY file, place) AS rn FROM ({_EXAMPLES})) WHERE rn = 1) WHERE rank <= 3""")
+
+
+def _of_examples(part: str) -> str:
+    return PARTS[part].replace("FROM qlog", "FROM exq").replace("FROM complexity", "FROM x_complexity")
+
+
+_X_PARTS = ("tagged", "complexity", "complex", "ddl", "parted")
+sql("summary_example_tags", f"""SELECT kind, tag, count(*) AS query_count FROM (
+  WITH exq AS (SELECT example AS query_string, ms, CAST(NULL AS TIMESTAMP) AS event_time FROM ({_EXAMPLES})),
+  {", ".join(f"x_{p} AS ({_of_examples(p)})" for p in _X_PARTS)}
+  SELECT 'feature' AS kind, unnest(features) AS tag FROM x_tagged UNION ALL SELECT 'flag', unnest(flags) FROM x_tagged
+  UNION ALL SELECT 'ddl', ddl_type FROM x_ddl UNION ALL SELECT 'partition', unnest(filters) FROM x_parted
+  UNION ALL SELECT 'partition_use', 'full_scan' FROM x_parted WHERE likely_full_scan
+  UNION ALL SELECT 'complexity', 'high' FROM x_complex WHERE join_count >= 3 OR subquery_count >= 3
+  UNION ALL SELECT 'long_running', CASE WHEN ms >= 3600000 THEN 'over_1h' WHEN ms >= 1800000 THEN 'over_30m' ELSE 'over_10m' END
+    FROM exq WHERE ms >= 600000) GROUP BY ALL""")
 sql("run_outcome", """SELECT count(*) AS accounts_analysed, count(*) FILTER (error IS NULL) AS accounts_succeeded,
   count(*) FILTER (error IS NOT NULL) AS accounts_failed FROM coverage""")
 _REASONS = """concat_ws(' | ',

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loglens import functions as fn, rules, schemas, streaming as st
 from loglens.operators import accounts as ac
@@ -889,7 +889,7 @@ def per_account_overview(spark, sf):
 @query
 def account_rollup(spark, sf):
     run = collected(spark, sf)
-    return ov.account_rollup(run.facts, run.events)
+    return ov.account_rollup(run.facts, run.events, run.store_events)
 
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -902,13 +902,23 @@ def _summaries(spark: SparkSession, sf: str) -> DataFrame:
         "workgroup",
         "db",
         "data_scanned",
+        "execution_time_ms",
         fn.hour_key("event_time").alias("hour"),
         fn.classify_query("query_string").alias("kind"),
         fn.query_fingerprint("query_string").alias("hash"),
+        fn.sanitize_query("query_string").alias("example"),
+        fn.extract_tables("query_string").alias("tables"),
         F.floor(F.col("id") / 1000).alias("part"),
     )
+    objects = so.store_operations(store(spark, sf)).select(
+        "account_id", "user_id", "bucket", "operation", "bytes_in", "bytes_out",
+        fn.hour_key("event_time").alias("hour"), fn.object_prefix("key").alias("prefix"), F.floor(F.col("id") / 1000).alias("part"),
+    )
     run = ["account_id", "hour", "part"]
-    users = F.collect_set("user_id").alias("users")
+    one = F.count(F.lit(1))
+
+    def every(column: str) -> Column:
+        return F.sort_array(F.collect_set(column))
 
     def document(section: str, entries: DataFrame) -> DataFrame:
         """Fold (run, name, entry) rows to one JSON document per run."""
@@ -917,15 +927,14 @@ def _summaries(spark: SparkSession, sf: str) -> DataFrame:
         )
         return whole.select(F.concat_ws("-", *run).alias("file"), F.to_json(F.struct(section)).alias("body"))
 
-    def counted(section: str, key: str, count: str) -> DataFrame:
-        folded = rows.groupBy(*run, F.col(key).alias("name")).agg(
-            F.count(F.lit(1)).alias(count), users
-        )
-        return document(section, folded.select(*run, "name", F.struct(count, "users").alias("entry")))
+    def counted(section: str, key: str, source: DataFrame = rows, **fields: Column) -> DataFrame:
+        folded = source.groupBy(*run, F.col(key).alias("name")).agg(*(c.alias(n) for n, c in fields.items()))
+        return document(section, folded.select(*run, "name", F.struct(*fields).alias("entry")))
 
+    tables = F.array_distinct(F.flatten(F.collect_list("tables")))
     groups = (
         rows.groupBy(*run, F.col("workgroup").alias("name"), "kind")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("data_scanned").alias("bytes"), users)
+        .agg(one.alias("n"), F.sum("data_scanned").alias("bytes"), every("user_id").alias("users"))
         .groupBy(*run, "name")
         .agg(
             F.struct(
@@ -936,11 +945,24 @@ def _summaries(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("entry")
         )
     )
-    hours = rows.groupBy(*run, F.col("hour").alias("name")).agg(F.count(F.lit(1)).alias("entry"))
+    hours = rows.groupBy(*run, F.col("hour").alias("name")).agg(one.alias("entry"))
+    patterns = counted(
+        "query_patterns", "hash", count=one, users=every("user_id"), workgroups=every("workgroup"), databases=every("db"),
+        tables=tables, examples=F.slice(every("example"), 1, 5), total_data_scanned=F.sum("data_scanned"),
+        total_execution_time_ms=F.sum("execution_time_ms"),
+    )
+    operation = F.col("operation")
+    buckets = counted(
+        "s3_bucket_stats", "bucket", objects, get_count=F.count_if(operation == "get"), put_count=F.count_if(operation == "put"),
+        list_count=F.count_if(operation == "list"), bytes_in=F.sum("bytes_in"), bytes_out=F.sum("bytes_out"),
+        users=every("user_id"), prefixes=every("prefix"),
+    )
     documents = (
         document("workgroup_stats", groups)
-        .unionByName(counted("database_stats", "db", "query_count"))
-        .unionByName(counted("query_patterns", "hash", "count"))
+        .unionByName(counted("user_stats", "user_id", query_count=one, workgroups=every("workgroup"), databases=every("db")))
+        .unionByName(counted("database_stats", "db", query_count=one, users=every("user_id"), tables=tables))
+        .unionByName(patterns)
+        .unionByName(buckets)
         .unionByName(document("hourly_query_counts", hours.select(*run, "name", "entry")))
     )
     stored = store_table(documents, "summaries")
@@ -952,6 +974,16 @@ def merge_export_summaries(spark, sf):
     return ov.merge_export_summaries(_summaries(spark, sf))
 
 
+@query
+def merge_pattern_examples(spark, sf):
+    return ov.merge_pattern_examples(_summaries(spark, sf))
+
+
+@query
+def summary_example_tags(spark, sf):
+    return ov.summary_example_tags(_summaries(spark, sf))
+
+
 @query
 def run_outcome(spark, sf):
     return ac.run_outcome(coverage(spark, sf))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import functions as fn
+from .. import functions as fn, rules
 from .members import count_members, member_rows
+from .querylog import classify_log
+from .ranking import first_k
 
 _TOTALS = (
     "total_athena_events",
@@ -80,23 +82,42 @@ def per_account_overview(
     return _overview(["account_id"], events, store_events, starts, facts)
 
 
-def account_rollup(facts: DataFrame, events: DataFrame) -> DataFrame:
-    """Per account and for all of them ('ALL'): workgroups, users, databases.
+# Levels of the roll-up: (level, name, the members it counts), all columns of a fact.
+_ROLLUP = (
+    ("workgroup", "workgroup", "user_id"),
+    ("database", "database", "user_id"),
+    ("user", "user_id", "workgroup"),
+    ("user_database", "user_id", "database"),
+    ("pattern", "pattern_hash", "user_id"),
+    ("query_type", "query_type", "user_id"),
+)
+
+
+def account_rollup(facts: DataFrame, events: DataFrame, store_events: DataFrame) -> DataFrame:
+    """Per account and for all of them ('ALL'): workgroups, users with their workgroups and
+    databases, databases with their users and tables, patterns, statement types, hours of
+    the events and buckets of the object store.
 
-    Facts are folded to (account, entity, member) once; the total over accounts
-    is a second grouping set over those folded rows.
+    Rows are folded to (account, level, name, member) once; the total over accounts is a
+    second grouping set over those folded rows.
     """
     measures = ["query_count", "data_scanned"]
-    entities = F.expr(
-        """inline(array(
-          named_struct('level', 'workgroup', 'name', workgroup, 'other', user_id),
-          named_struct('level', 'database', 'name', database, 'other', user_id),
-          named_struct('level', 'user', 'name', user_id, 'other', workgroup)))"""
-    )
-    counted = facts.select(
-        "account_id", F.lit(1).cast("bigint").alias("query_count"), "data_scanned", entities
-    )
+    one = F.lit(1).cast("bigint").alias("query_count")
+    entities = ", ".join(f"named_struct('level', '{level}', 'name', {name}, 'other', {other})" for level, name, other in _ROLLUP)
+    known = facts.withColumns({"pattern_hash": fn.query_fingerprint("query"), "query_type": fn.classify_query("query")})
+    counted = known.select("account_id", one, "data_scanned", F.expr(f"inline(array({entities}))"))
     rows = member_rows(counted, ["account_id", "level", "name"], {"member": "other"}, measures)
+    tables = facts.select(
+        "account_id", F.lit("database_table").alias("level"), F.col("database").alias("name"),
+        one, "data_scanned", fn.extract_tables("query").alias("other"),
+    )
+    rows = rows.unionByName(member_rows(tables, ["account_id", "level", "name"], {"member": "other"}, measures))
+    for table, level, name in ((events, "hour", fn.hour_key("event_time")), (store_events, "bucket", F.col("bucket"))):
+        part = table.select(
+            "account_id", F.lit(level).alias("level"), name.alias("name"), one,
+            F.lit(None).cast("bigint").alias("data_scanned"), F.col("user_id").alias("other"),
+        ).filter("name IS NOT NULL")
+        rows = rows.unionByName(member_rows(part, ["account_id", "level", "name"], {"member": "other"}, measures))
     keys = ["level", "name", "kind", "member"]
     both = rows.groupingSets([["account_id", *keys], keys], "account_id", *keys).agg(
         *(F.sum(m).alias(m) for m in measures), F.grouping("account_id").alias("_all")
@@ -126,10 +147,14 @@ _SECTIONS = {
     "workgroup": ("workgroup_stats", {"user": "users"}, ["query_count", "total_data_scanned"]),
     "user": ("user_stats", {"workgroup": "workgroups", "database": "databases"}, ["query_count"]),
     "database": ("database_stats", {"table": "tables", "user": "users"}, ["query_count"]),
-    "pattern": ("query_patterns", {"user": "users", "table": "tables"}, ["count"]),
+    "pattern": (
+        "query_patterns",
+        {"user": "users", "workgroup": "workgroups", "database": "databases", "table": "tables"},
+        ["count", "total_data_scanned", "total_execution_time_ms"],
+    ),
     "bucket": (
         "s3_bucket_stats",
-        {"user": "users"},
+        {"user": "users", "prefix": "prefixes"},
         ["get_count", "put_count", "list_count", "bytes_in", "bytes_out"],
     ),
 }
@@ -140,7 +165,7 @@ def merge_section(summaries: DataFrame, section: str) -> DataFrame:
     column, members, measures = _SECTIONS[section]
     entries = summaries.select(F.explode(column).alias("name", "entry")).select("name", "entry.*")
     rows = member_rows(entries, ["name"], members, measures)
-    return count_members(rows, ["name"], {k: f"unique_{k}s" for k in members}, measures)
+    return count_members(rows, ["name"], {k: f"unique_{column}" for k, column in members.items()}, measures)
 
 
 def merge_query_types(summaries: DataFrame) -> DataFrame:
@@ -155,40 +180,74 @@ def merge_hours(summaries: DataFrame) -> DataFrame:
 
 
 def merge_export_summaries(summaries: DataFrame) -> DataFrame:
-    """All sections in one table: (section, name, query_count, unique_users)."""
+    """All sections with all their numbers in one table: (section, name, measure, value)."""
     parts = []
-    for section in ("workgroup", "database", "pattern"):
+    for section in _SECTIONS:
         merged = merge_section(summaries, section)
-        count = "count" if section == "pattern" else "query_count"
+        numbers = [c for c in merged.columns if c != "name"]
+        pairs = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("value")) for c in numbers))
+        parts.append(merged.select(F.lit(section).alias("section"), "name", F.inline(pairs)))
+    types = merge_query_types(summaries).withColumn("name", F.concat_ws("/", "name", "query_type"))
+    hours = merge_hours(summaries).select(F.col("hour").alias("name"), F.col("event_count").alias("query_count"))
+    for section, table in (("query_type", types), ("hour", hours)):
         parts.append(
-            merged.select(
-                F.lit(section).alias("section"),
-                "name",
-                F.col(count).alias("query_count"),
-                F.col("unique_users"),
+            table.select(
+                F.lit(section).alias("section"), "name", F.lit("query_count").alias("measure"), F.col("query_count").alias("value")
             )
         )
-    none = F.lit(None).cast("bigint").alias("unique_users")
-    parts.append(
-        merge_query_types(summaries).select(
-            F.lit("query_type").alias("section"),
-            F.concat_ws("/", "name", "query_type").alias("name"),
-            "query_count",
-            none,
-        )
-    )
-    parts.append(
-        merge_hours(summaries).select(
-            F.lit("hour").alias("section"),
-            F.col("hour").alias("name"),
-            F.col("event_count").alias("query_count"),
-            none,
-        )
-    )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.filter("value IS NOT NULL")
+
+
+def _pattern_entries(summaries: DataFrame) -> DataFrame:
+    return summaries.select("file", F.explode("query_patterns").alias("name", "entry")).select("file", "name", "entry.*")
+
+
+def merge_pattern_examples(summaries: DataFrame, k: int = 3) -> DataFrame:
+    """First k distinct examples of each pattern, in order of the files and in each of them."""
+    rows = _pattern_entries(summaries).select("file", "name", F.posexplode("examples").alias("place", "example"))
+    seen = rows.groupBy("name", "example").agg(F.min(F.struct("file", "place")).alias("arrival"))
+    return first_k(seen, ["name"], ["arrival", "example"], k).select("name", "rank", "example")
+
+
+def summary_queries(summaries: DataFrame) -> DataFrame:
+    """The examples of all patterns as queries. An exported event has no text of its own, so
+    these are the texts of such an export. A query has the mean time of its pattern in its
+    file and the first of its users; it counts once."""
+    entries = _pattern_entries(summaries)
+    return entries.select(
+        F.explode("examples").alias("query_string"),
+        F.coalesce(F.get("users", F.lit(0)), F.lit(rules.UNKNOWN_USER)).alias("user_id"),
+        (F.coalesce("total_execution_time_ms", F.lit(0)) / F.greatest(F.coalesce("count", F.lit(1)), F.lit(1)))
+        .cast("bigint").alias("execution_time_ms"),
+        F.lit(None).cast("timestamp_ntz").alias("event_time"),
+    )
+
+
+def summary_example_tags(summaries: DataFrame) -> DataFrame:
+    """(kind, tag, query_count) over the examples of all patterns: features, flags, statement
+    kinds of DDL, partition columns, complexity and long-running classes."""
+    tagged = classify_log(summary_queries(summaries))
+    complexity, parted = F.col("complexity"), F.col("partitions")
+    high = (complexity["join_count"] >= rules.HIGH_COMPLEXITY) | (complexity["subquery_count"] >= rules.HIGH_COMPLEXITY)
+
+    def tags(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("tag")))
+
+    def when(kind: str, hit: Column, tag: Column | str) -> Column:
+        value = F.lit(tag) if isinstance(tag, str) else tag
+        return tags(kind, F.when(F.coalesce(hit, F.lit(False)), F.array(value)).otherwise(F.array().cast("array<string>")))
+
+    long = fn.long_running_class("execution_time_ms")
+    all_tags = F.concat(
+        tags("feature", F.col("features")), tags("flag", F.col("flags")), tags("partition", parted["filters"]),
+        when("ddl", F.col("ddl").isNotNull(), F.col("ddl.type")), when("complexity", high, "high"),
+        when("partition_use", parted["likely_full_scan"], "full_scan"), when("long_running", long.isNotNull(), long),
+    )
+    rows = tagged.select(F.explode_outer(all_tags).alias("t")).filter("t IS NOT NULL").select("t.*")
+    return rows.groupBy("kind", "tag").agg(F.count(F.lit(1)).alias("query_count"))
 
 
 def per_account_first_source(rows: DataFrame) -> DataFrame:

@@ -155,7 +155,10 @@ def test_bucket_tables(spark):
 
 def test_account_rollup_counts_a_shared_member_once(spark, facts):
     events = facts.select("account_id", "user_id", "event_time")
-    rows = {(r.account_id, r.level, r.name): r for r in ov.account_rollup(facts, events).collect()}
+    objects = spark.createDataFrame([("1", "ann", "b"), ("2", "ann", "b"), ("2", "bob", "b")], "account_id string, user_id string, bucket string")
+    rows = {(r.account_id, r.level, r.name): r for r in ov.account_rollup(facts, events, objects).collect()}
+    assert (rows["ALL", "bucket", "b"].query_count, rows["ALL", "bucket", "b"].unique_members) == (3, 2)
+    assert {level for _, level, _ in rows} >= {"user_database", "pattern", "query_type", "hour", "database_table"}
     assert (rows["1", "workgroup", "wg"].query_count, rows["1", "workgroup", "wg"].unique_members) == (2, 1)
     total = rows["ALL", "workgroup", "wg"]
     assert (total.query_count, total.unique_members, total.data_scanned) == (3, 2, 7)

@@ -7,10 +7,13 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from loglens import sinks, sources
 from loglens.operators.events import Period
-from loglens.operators.overview import merge_export_summaries, merge_section, per_account_first_source
+from loglens.operators.overview import (
+    merge_export_summaries, merge_pattern_examples, merge_section, per_account_first_source, summary_example_tags, summary_queries,
+)
 from loglens.operators.querylog import query_log
 from loglens.session import work_dir
 from loglens.sources.audit_files import ORG_LAYOUT, read_org_audit_files
@@ -122,8 +125,29 @@ def test_merging_summaries(bundles):
     assert (group.query_count, group.total_data_scanned, group.unique_users) == (6, 60, 2)
     assert {r.name: r.query_count for r in merge_section(summaries, "user").collect()} == {"ann": 2, "bob": 1}
     assert merge_section(summaries, "bucket").first().get_count == 6
-    rows = {(r.section, r.name): r.query_count for r in merge_export_summaries(summaries).collect()}
-    assert rows["query_type", "wg/SELECT"] == 6 and rows["hour", "2024-01-01T00"] == 6 and rows["pattern", "abc"] == 6
+    rows = {(r.section, r.name, r.measure): r.value for r in merge_export_summaries(summaries).collect()}
+    assert rows["query_type", "wg/SELECT", "query_count"] == 6 and rows["hour", "2024-01-01T00", "query_count"] == 6
+    assert rows["pattern", "abc", "count"] == 6 and rows["pattern", "abc", "unique_users"] == 2
+    assert rows["bucket", "b", "get_count"] == 6 and rows["user", "ann", "unique_workgroups"] == 1
+
+
+def test_examples_of_summaries(spark):
+    def pattern(*examples, **more):
+        return {"count": 4, "examples": list(examples), "users": ["bob", "ann"], "total_execution_time_ms": 8_000_000, **more}
+
+    documents = [
+        ("b", {"query_patterns": {"p": pattern("DROP TABLE t", "SELECT 1", "SELECT 2"), "q": {"count": 0, "examples": ["SELECT 3"]}}}),
+        ("a", {"query_patterns": {"p": pattern("SELECT 2", "SELECT ST_Area(g) FROM t WHERE dt = 1")}}),
+    ]
+    raw = spark.createDataFrame([(f, json.dumps(d)) for f, d in documents], "file string, body string")
+    summaries = raw.select("file", F.from_json("body", schemas.SUMMARY).alias("s")).select("file", "s.*")
+    first = {(r.name, r.rank): r.example for r in merge_pattern_examples(summaries).collect()}
+    assert first == {("p", 1): "SELECT 2", ("p", 2): "SELECT ST_Area(g) FROM t WHERE dt = 1", ("p", 3): "DROP TABLE t", ("q", 1): "SELECT 3"}
+    queries = {r.query_string: (r.user_id, r.execution_time_ms) for r in summary_queries(summaries).collect()}
+    assert queries["DROP TABLE t"] == ("bob", 2_000_000) and queries["SELECT 3"] == ("unknown", 0)
+    tags = {(r.kind, r.tag): r.query_count for r in summary_example_tags(summaries).collect()}
+    assert tags["ddl", "DROP"] == 1 and tags["flag", "GEOSPATIAL"] == 1 and tags["partition", "dt"] == 1
+    assert tags["long_running", "over_30m"] == 5
 
 
 def test_execution_stats(spark):
@@ -136,7 +160,6 @@ def test_execution_stats(spark):
         {"QueryExecutionId": "", "Query": "SELECT 3"},
         {"QueryExecutionId": "c", "Query": ""},
     ]
-    from pyspark.sql import functions as F
 
     text = spark.createDataFrame([(json.dumps(x),) for x in lines], "t string")
     nested = text.select(F.from_json("t", schemas.EXECUTION).alias("x")).select("x.*")
