@@ -274,7 +274,9 @@ sql("audit_date_prefixes", _AUDIT.format(extra="", where=" WHERE left(event_time
 sql("audit_org_prefixes", _AUDIT.format(extra=", account_id", where=""))
 sql("unwrap_api_record", """SELECT event_id AS "eventID", event_name AS "eventName", event_source AS "eventSource",
   event_time_text AS "eventTime", user_arn AS "userArn", query_string AS "queryString" FROM audit_flat""")
-sql("land_records", "SELECT route, count(*) AS event_count, count(DISTINCT account_id) AS accounts FROM routed WHERE route IS NOT NULL GROUP BY 1")
+sql("land_records", f"""SELECT route, event_id, event_name, account_id, strftime(CAST(try_cast(replace(replace(event_time_text, 'T', ' '), 'Z', '') AS TIMESTAMP) AS DATE), '%Y-%m-%d') AS event_date,
+  {USER.format(principal="coalesce(principal_id, '')")} AS user_id, coalesce(bucket, '') AS bucket, query_string
+FROM routed WHERE route IS NOT NULL""")
 sql("read_export_bundles", "SELECT event_id, workgroup, status, query_string FROM usage_row")
 sql("read_execution_stats", "SELECT * FROM stats")
 sql("write_workgroup_csv", "SELECT workgroup, query_count, unique_users, printf('%.4f', total_data_scanned / 1073741824.0) AS data_scanned_gb FROM wg")

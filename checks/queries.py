@@ -59,9 +59,7 @@ _LANDED: dict[tuple[str, str], str] = {}
 
 
 def _land(spark: SparkSession, sf: str, path: str) -> DataFrame:
-    # All days lie in one small input file here, so that each task would write
-    # a tiny file for every day; folders by route alone fit these tables.
-    return land(raw_audit(spark, sf), path, by_day=False)
+    return land(raw_audit(spark, sf), path)
 
 
 def landed(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,9 +287,7 @@ def _bundle_members(spark: SparkSession, sf: str, name: str, per_account: bool =
 @query
 def land_records(spark, sf):
     rows = _land(spark, sf, work_dir(spark, "land"))
-    return rows.groupBy("route").agg(
-        F.count(F.lit(1)).alias("event_count"), F.countDistinct("account_id").alias("accounts")
-    )
+    return rows.select("route", "event_id", "event_name", "account_id", "event_date", "user_id", "bucket", "query_string")
 
 
 @query

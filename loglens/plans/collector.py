@@ -78,10 +78,11 @@ def land_records(
 ) -> DataFrame:
     """Write the flat events once as Parquet, in folders by route and day.
 
-    The JSON is parsed a single time however many reports follow, and no row
-    is shuffled: audit files hold one day each, so a task writes few folders.
-    Give the result to ``collect_usage`` in place of the records; a period
-    then opens only its own days.
+    The JSON is parsed a single time however many reports follow. A task reads small
+    files of many days and accounts, so the rows are gathered by folder before they are
+    written: files are of even size, and a folder much larger than the rest is split.
+    Give the result to ``collect_usage`` in place of the records; a period then opens
+    only its own days.
     """
     routed = ev.route_events(ev.unwrap_api_record(records), strict_source)
     flat = ev.normalize_events(routed)
@@ -89,7 +90,8 @@ def land_records(
     if by_day:
         flat = flat.withColumn("event_date", F.to_date("event_time"))
         folders.append("event_date")
-    flat.write.mode("overwrite").partitionBy(*folders).parquet(path)
+    gathered = flat.hint("rebalance", *(F.col(c) for c in folders))
+    gathered.write.mode("overwrite").partitionBy(*folders).parquet(path)
     return records.sparkSession.read.schema(flat.schema).parquet(path)
 
 
