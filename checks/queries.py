@@ -1143,15 +1143,20 @@ def _stream(spark: SparkSession, sf: str, name: str = "usage_log") -> DataFrame:
     return view(spark, sf, name, events=arriving)
 
 
-def _deduped_files(spark: SparkSession, sf: str, root: str) -> str:
-    """The first stage of the streams: deduplicated events as files."""
-    deduped = st.stream_dedupe(_stream(spark, sf))
-    st.run_to_files(deduped, f"{root}/events", f"{root}/cp-events").awaitTermination()
-    return f"{root}/events"
+BATCHES = 4
 
 
-def _second_stage(spark: SparkSession, path: str) -> DataFrame:
-    return st.read_stream(spark, path, spark.read.parquet(path).schema)
+def _batches(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """The log as files that arrive out of order, each a batch of its own."""
+    rows = view(spark, sf, "usage_log")
+    rows.repartition(BATCHES).write.parquet(f"{root}/arriving")
+    return st.read_stream(spark, f"{root}/arriving", rows.schema, files_per_batch=1)
+
+
+def _merged_stream(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """The first stage of the streams: the first copies of each batch, merged by the reader."""
+    st.append_partials(_batches(spark, sf, root), st.first_copies, f"{root}/events", f"{root}/cp-events").awaitTermination()
+    return st.merge_copies(spark.read.parquet(f"{root}/events").drop("batch"))
 
 
 @query
@@ -1164,35 +1169,27 @@ def stream_events(spark, sf):
 
 @query
 def stream_dedupe(spark, sf):
-    path = _deduped_files(spark, sf, work_dir(spark, "stream-dedupe"))
-    return spark.read.parquet(path).select("event_id", "event_time")
+    return _merged_stream(spark, sf, work_dir(spark, "stream-dedupe")).select("event_id", "event_time")
 
 
 @query
 def stream_hourly_counts(spark, sf):
-    root = work_dir(spark, "stream-hours")
-    events = _second_stage(spark, _deduped_files(spark, sf, root))
-    counts = st.windowed_counts(events, "1 hour")
-    st.write_windows(counts, f"{root}/hours", f"{root}/cp-hours").awaitTermination()
-    hours = st.latest_windows(spark, f"{root}/hours")
+    hours = st.window_totals(_merged_stream(spark, sf, work_dir(spark, "stream-hours")), "1 hour")
     return hours.select(fn.hour_key("window_start").alias("hour"), "event_count")
 
 
 @query
 def stream_minute_peak(spark, sf):
-    root = work_dir(spark, "stream-minutes")
-    events = _second_stage(spark, _deduped_files(spark, sf, root))
-    counts = st.windowed_counts(events, "1 minute")
-    st.write_windows(counts, f"{root}/minutes", f"{root}/cp-minutes").awaitTermination()
-    return st.latest_windows(spark, f"{root}/minutes").agg(
-        F.max("event_count").alias("peak_concurrency")
-    )
+    minutes = st.window_totals(_merged_stream(spark, sf, work_dir(spark, "stream-minutes")), "1 minute")
+    return minutes.agg(F.max("event_count").alias("peak_concurrency"))
 
 
 @query
 def stream_workgroup_stats(spark, sf):
     root = work_dir(spark, "stream-groups")
-    events = _second_stage(spark, _deduped_files(spark, sf, root))
+    merged = _merged_stream(spark, sf, f"{root}/first")
+    merged.repartition(BATCHES).write.parquet(f"{root}/deduped")
+    events = st.read_stream(spark, f"{root}/deduped", merged.schema, files_per_batch=1)
     rows = events.withColumns(
         {"user_id": fn.user_id("user_arn", F.lit("")), "data_scanned": F.col("data_scanned_bytes")}
     )

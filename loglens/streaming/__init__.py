@@ -2,12 +2,15 @@
 
 from .jobs import (
     append_partials,
+    first_copies,
     latest_windows,
+    merge_copies,
     merge_partials,
     read_stream,
     run_to_files,
     stream_dedupe,
     stream_enrich,
+    window_totals,
     windowed_counts,
     workgroup_cells,
     write_windows,

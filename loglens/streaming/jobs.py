@@ -5,6 +5,9 @@ Two shapes are used. Window counts keep state, bounded by a watermark, and
 write the windows each batch changed. Keyed statistics keep no state: a batch
 writes its partial rows under its own number, so a repeated batch replaces
 itself, and the reader folds the partial rows, which keeps distinct users exact.
+Deduplication and window counts have both shapes: those with a watermark drop what
+comes later than it, ``first_copies`` with ``merge_copies`` and ``window_totals``
+keep every row.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.events import dedupe_events
 from ..operators.facts import enrich_queries
 
 DEFAULT_DELAY = "1 hour"
@@ -83,6 +87,24 @@ def windowed_counts(
     )
 
 
+def first_copies(batch: DataFrame) -> DataFrame:
+    """The partial rows of a deduplicated stream: the first copy of each id of a batch."""
+    return dedupe_events(batch)
+
+
+def merge_copies(rows: DataFrame) -> DataFrame:
+    """The first copy of each id over all batches, whatever their order: no state, no
+    watermark, and no late row is lost."""
+    return dedupe_events(rows)
+
+
+def window_totals(events: DataFrame, width: str, time: str = "event_time") -> DataFrame:
+    """Events per tumbling window of a merged table."""
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    counts = timed.groupBy(F.window(time, width).alias("w")).agg(F.count(F.lit(1)).alias("event_count"))
+    return counts.select(F.col("w.start").alias("window_start"), "event_count")
+
+
 def workgroup_cells(events: DataFrame) -> DataFrame:
     """Partial rows per (workgroup, user): they merge without losing users."""
     return events.groupBy("workgroup", "user_id").agg(

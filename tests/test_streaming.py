@@ -88,3 +88,12 @@ def test_enrich(spark, folder):
     st.run_to_files(st.stream_enrich(starts, stats), f"{folder}/out", f"{folder}/cp").awaitTermination()
     got = {(r.event_id, r.query, r.workgroup, r.database, r.status, r.data_scanned) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {("1", "SELECT 1", "s", "d", "OK", 5), ("2", "own", "wg", "own_db", "", 0)}
+
+
+def test_no_row_is_lost_in_any_order_of_batches(spark, folder):
+    path = f"{folder}/in"
+    write_files(spark, path, [row(1, 6000), row(2, 6001)], [row(3, 1), row(1, 6000), row(0, 2)], [row(4, 3000), row(0, 2), row(3, 1)])
+    st.append_partials(stream(spark, path, files_per_batch=1), st.first_copies, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    merged = st.merge_copies(spark.read.parquet(f"{folder}/out").drop("batch"))
+    assert sorted(r.event_id for r in merged.collect()) == ["", "", "1", "2", "3", "4"]
+    assert sorted(r.event_count for r in st.window_totals(merged, "1 hour").collect()) == [1, 2, 3]
