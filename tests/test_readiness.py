@@ -98,6 +98,6 @@ def test_recommendations(spark):
         rules.ADVICE["complex"] % 2,
         rules.ADVICE["long"] % 2,
         rules.ADVICE["small"],
-        rules.ADVICE["geo"] % 5,
+        rules.ADVICE["geo"] % 9,
     ]
     assert so.object_size_stats(store(spark, 60 * 2**20)).first().tier == "ok"
