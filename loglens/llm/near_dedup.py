@@ -47,7 +47,7 @@ from loglens.session import store_table
 
 WORDS = 5
 SIMILARITY = 0.8
-IDF_SPAN = 0.25
+IDF_SPAN = 0.1
 BANDS, ROWS = 26, 5
 DIGEST = 16
 KEY_BITS = 40  # of a shingle's hash inside its shard
