@@ -41,7 +41,7 @@ WINDOW = 1024
 END_ID = 0
 POOL_IDS = 1 << 21  # remainders waiting; beyond it gaps are closed by cutting
 WAIT_IDS = 1 << 17  # with fewer, the pool waits for more documents
-MEMORY = 1 << 17
+MEMORY = 1 << 18
 LONG_PART = 256
 #: White space of Unicode, as the tokenizer's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
