@@ -14,9 +14,9 @@ Packing runs inside each input partition, in blocks, without a shuffle; memory h
 pool and one block. The same partition gives the same sequences again after a lost
 executor. sequence_id is the partition number and a counter.
 
-Ids come from a tokenizer file. Text is cut where a blank follows a non-blank and where
-anything else follows a letter, which no token crosses; repeated parts come from a bounded
-memory.
+Ids come from a tokenizer file. Text is cut where a blank follows a non-blank and where an
+ASCII character that is no letter follows a letter, which no token crosses; repeated parts
+come from a bounded memory.
 
 Results for odd input: null text is empty and has the end id alone; repeated rows are
 packed each; a null doc_id is kept as null; an empty table gives an empty table; other
@@ -46,7 +46,9 @@ LONG_PART = 256
 #: White space of Unicode, as the tokenizer's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-PARTS = re.compile(f"[{SPACE}]*[^{SPACE}{LETTER}]*[{LETTER}]+|[{SPACE}]*[^{SPACE}{LETTER}]+|[{SPACE}]+").findall
+#: Behind a letter these may be letters, too, and go into one token with it.
+WIDE = f"[^\\x00-\\x7f{SPACE}{LETTER}][^{SPACE}{LETTER}]*[{LETTER}]*"
+PARTS = re.compile(f"[{SPACE}]*[^{SPACE}{LETTER}]*[{LETTER}]+(?:{WIDE})*|[{SPACE}]*[^{SPACE}{LETTER}]+|[{SPACE}]+").findall
 END = np.uint32(END_ID)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -52,6 +52,17 @@ def test_ids_equal_the_library():
         assert own.of(text).tolist() + [0] == want, repr(text)
 
 
+def test_ids_of_tokens_beyond_ascii():
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    tokens = [lib.decode([i], skip_special_tokens=False) for i in range(lib.get_vocab_size())]
+    words = [t for t in tokens if not t.isascii()] + ["Erdoğan", "oğlu", "Łódź", "naïveтекст", "aª", "x²'s", "é\u0301l", "n\u0303o"]
+    texts = [x for w in words for x in (w, f"Er{w}an", f"é{w}'s {w.strip()}1{w}", f"{w}{w}-{w}")]
+    own = Ids(PATH)
+    assert own.of("Erdoğan").tolist() == [36, 4372, 48030]
+    for text, want in zip(texts, reference_ids(texts)):
+        assert own.of(text).tolist() + [0] == want, repr(text)
+
+
 def test_closest_fill():
     rng = random.Random(4)
     for _ in range(500):
