@@ -19,10 +19,14 @@ doc_id.
    n - 1 pairs. Pairs are verified by the weighted Jaccard similarity itself.
 6. Links are merged to classes. Buckets that still hold several classes are taken again:
    members outside the centre's class are compared with a centre of their own and with
-   another member of the first class, until no new pair comes up.
+   another member of the first class, until no new pair links.
+7. Where a bucket still holds several classes then, all its members of different classes
+   are compared. Its members are dealt into blocks of about ``BLOCK``; a task compares two
+   blocks in memory and gives one link for each two classes that it joins.
 
 A bucket with very many members is only ever the hot side of an equi-join with one row
-for each bucket, which Spark splits.
+for each bucket, which Spark splits; its pairs of blocks are spread over tasks, and its
+pairs of members are never rows.
 
 Results for odd input: null text is empty; texts of fewer than five words have no shingle
 and are linked to equal texts only; rows that share a doc_id are judged by their texts; a
@@ -52,6 +56,7 @@ BANDS, ROWS = 26, 5
 DIGEST = 16
 KEY_BITS = 40  # of a shingle's hash inside its shard
 SHINGLES_AT_ONCE = 1 << 16
+BLOCK = 128
 
 ASKED = "slot int, chunk int, keys binary"
 NOTES = "chunk int, kind int, docs binary, data binary, more binary"
@@ -332,6 +337,54 @@ def _again(members: DataFrame, labels: DataFrame, measured: DataFrame) -> DataFr
     return pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _blocks(members: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several classes, once for each pair of blocks that
+    their block is in. Buckets of the same members are taken once; two alone were compared."""
+    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("band", "bucket").agg(
+        F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("mix"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))).alias("total"),
+    ).filter("first < last AND n > 2")
+    once = mixed.groupBy("n", "mix", "total").agg(F.min(F.struct("band", "bucket")).alias("at"))
+    once = once.select("at.*", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = known.join(once, ["band", "bucket"]).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", "label", "block", "band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.join(vectors.select("node", "weight", "keys", "weights"), "node")
+
+
+def _compared(key, table):
+    """a, b, sim for each two classes with a linked pair of members in two blocks."""
+    rows = table.drop_columns(["weights", "keys"]).to_pylist()
+    keys = [_unplane(x, 5) for x in table["keys"].to_pylist()]
+    weights_ = [np.frombuffer(x, np.float32).astype(np.float64) for x in table["weights"].to_pylist()]
+    whole = np.array([r["weight"] for r in rows])
+    label = np.unique([r["label"].hex() for r in rows], return_inverse=True)[1]
+    left = [n for n, r in enumerate(rows) if r["block"] == r["i"]]
+    right = np.array([n for n, r in enumerate(rows) if r["block"] == r["j"]], np.int64)
+    found: dict[tuple, tuple] = {}
+    if left and len(right) and label.min() < label.max():
+        size = np.array([len(keys[n]) for n in right])
+        begin = np.cumsum(size) - size
+        every, code = np.unique(np.concatenate([keys[n] for n in right]), return_inverse=True)
+        theirs = np.concatenate([weights_[n] for n in right])
+        mine = np.zeros(len(every))
+        for n in left:
+            able = (label[right] != label[n]) & (np.minimum(whole[right], whole[n]) >= SIMILARITY * (1 - 1e-9) * np.maximum(whole[right], whole[n]))
+            if not able.any():
+                continue
+            at = np.minimum(np.searchsorted(every, keys[n]), len(every) - 1)
+            hit = every[at] == keys[n]
+            mine[at[hit]] = weights_[n][hit]
+            common = np.add.reduceat(np.minimum(mine[code], theirs), begin)
+            mine[at[hit]] = 0
+            sim = common / np.maximum(whole[n] + whole[right] - common, 1e-300)
+            for m in np.flatnonzero(able & (sim >= SIMILARITY)):
+                a, b = sorted((n, int(right[m])), key=lambda x: rows[x]["node"])
+                found.setdefault(tuple(sorted((label[a], label[b]))), (rows[a]["node"], rows[b]["node"], float(sim[m])))
+    return pa.table({n: pa.array([r[k] for r in found.values()], t) for k, (n, t) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64())))})
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_digest, class_id of each row; class_id is the smallest doc_id of its class."""
     spark = docs.sparkSession
@@ -361,6 +414,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
         measured = measured.unionByName(fresh)
         if fresh.filter(F.col("sim") >= SIMILARITY).isEmpty():
             break
+    blocks = _blocks(members, labels, vectors).groupBy("band", "bucket", "i", "j")
+    fresh = store_table(blocks.applyInArrow(_compared, "a binary, b binary, sim double"), "compared")
+    if not fresh.isEmpty():
+        labels = merge(measured.unionByName(fresh).filter(F.col("sim") >= SIMILARITY), "classes")
     node = F.substring("digest", 1, DIGEST)
     texts = hashes.groupBy(node.alias("node")).agg(F.min("doc_id").alias("doc_id"))
     named = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -92,6 +92,24 @@ def test_a_large_family(spark):
     assert {c for d, c in run(spark, rows) if d != 999} == {0}
 
 
+def test_pairs_inside_a_family_under_the_limit(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+
+    def changed(words, n):
+        copy = list(words)
+        for i in rng.sample(range(2, 198), n):
+            copy[i] = f"x{rng.randrange(10**9)}"
+        return copy
+
+    family = [changed(base, 3) for _ in range(200)]
+    family += [changed(family[i], 3) for i in range(60)]  # pairs over the limit
+    rows = [(d, " ".join(t)) for d, t in enumerate(family)]
+    want, sims = brute(rows)
+    assert 30 < sum(s >= nd.SIMILARITY for s in sims.values()) < 2000 and len({c for _, c in want}) > 100
+    assert run(spark, rows) == want
+
+
 def test_chains_are_merged(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 105), (103, 105)]
     key = lambda i: bytearray(i.to_bytes(2, "big"))
