@@ -11,12 +11,15 @@ orders, packed and without repeats; the shards answer with probabilities and con
 weights in the order asked; the chunk backs off where a gram was never seen and sums the
 logarithms for each document. Its perplexity is per byte, drawn towards the mean of the
 trusted documents of its language as if ``PRIOR`` bytes of such text had been read before,
-so that a short text is not judged by a few bytes.
+so that a short text is not judged by a few bytes. A mean over a document does not show a
+few words that stand out, so the worst word is kept, too: the greatest mean per byte of a
+word of ``WORD_BYTES`` bytes or more, counted with the byte behind it.
 
 Half of the trusted documents (by a hash of the id) train the model. The others, which it
 has not seen, give the limits: a document is rejected when its perplexity lies above the
-limit of its language, a quantile of the held-out ones with a margin. A language with fewer
-than ``FEW`` held-out documents uses the limit of all.
+limit of its language, a quantile of the held-out ones with a margin, or when its worst word
+lies above the limit of worst words, made likewise. A language with fewer than ``FEW``
+held-out documents uses the limits of all.
 
 Results for odd input: null text is empty, and an empty text is never rejected; a null
 lang is a language of its own; a document with labels that disagree is not trusted; rows
@@ -42,6 +45,9 @@ from loglens.session import store_table
 ORDER = 5
 PRIOR = 200
 QUANTILE, MARGIN = 0.995, 0.1
+WORD_BYTES, WORD_MARGIN = 5, 0.1
+WORD_ENDS = np.zeros(256, bool)
+WORD_ENDS[list(b"\t\n\r ,.")] = True
 FEW = 50
 BEGIN = 0xFF  # a byte that UTF-8 never holds stands before a text
 BYTES_AT_ONCE = 1 << 20
@@ -52,7 +58,7 @@ PRIME = 1000003
 COUNTS = "gram long, n long"
 ASKED = "shard int, chunk int, grams binary"
 ANSWER = "chunk int, shard int, chances binary, weights binary"
-SCORES = "doc_id long, text_key long, lang string, n_bytes long, trusted boolean, held_out boolean, cross double"
+SCORES = "doc_id long, text_key long, lang string, n_bytes long, trusted boolean, held_out boolean, cross double, worst double"
 
 
 # --- grams of packed texts; a gram of k bytes is a number of 8 k bits, the last byte lowest, and k above ---
@@ -75,6 +81,19 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return value[keep], np.concatenate([[0], np.cumsum(sizes + 1)]) if n else np.zeros(1, np.int64)
 
 
+def worst_words(nats: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The greatest mean of a long word of each text; ``at`` are the offsets of the texts in
+    ``nats``, which have one more for each text's end."""
+    last = np.zeros(len(nats), bool)
+    last[at[1:] - 1] = True
+    ends = last.copy()
+    ends[~last] = WORD_ENDS[data]
+    begin = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
+    size = np.diff(np.concatenate([begin, [len(nats)]]))
+    mean = np.where(size >= WORD_BYTES, np.add.reduceat(nats, begin) / size, 0.0)
+    return np.maximum.reduceat(mean, np.searchsorted(begin, at[:-1]))
+
+
 def shorter(gram: np.ndarray, order: int) -> np.ndarray:
     """The last bytes of grams."""
     return gram & ((1 << (8 * order)) - 1)
@@ -190,7 +209,7 @@ def _answer(key, asked: pa.Table, model: pa.Table) -> pa.Table:
 def _score(shards: int, key, docs: pa.Table, notes: pa.Table) -> pa.Table:
     labels, answers = notes.filter(pc.is_valid(notes["doc_id"])), notes.filter(pc.is_null(notes["doc_id"]))
     chunk = _Chunk(docs, labels)
-    cross = np.full(len(chunk.doc), np.nan)
+    cross, worst = np.full(len(chunk.doc), np.nan), np.full(len(chunk.doc), np.nan)
     if answers.num_rows and docs.num_rows:
         wanted = _all_grams(chunk)
         chance, weight = np.zeros(len(wanted), np.float32), np.zeros(len(wanted), np.float32)
@@ -205,12 +224,13 @@ def _score(shards: int, key, docs: pa.Table, notes: pa.Table) -> pa.Table:
         for rows, codes, found, at in chunk.blocks():
             value = logs[np.searchsorted(longest, found)][codes]
             sums[rows] = np.add.reduceat(value, at[:-1])  # every text has its end mark at least
+            worst[rows] = worst_words(-value, chunk.data[chunk.offsets[rows[0]] : chunk.offsets[rows[-1] + 1]], at)
         cross = -sums
     return pa.table(
         {
             "doc_id": id_array(chunk.doc), "text_key": pa.array(chunk.key), "lang": chunk.lang,
             "n_bytes": pa.array(np.diff(chunk.offsets)), "trusted": pa.array(chunk.trusted), "held_out": pa.array(chunk.held_out),
-            "cross": pa.array(cross, from_pandas=True),
+            "cross": pa.array(cross, from_pandas=True), "worst": pa.array(worst, from_pandas=True),
         }
     )
 
@@ -339,8 +359,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scores = with_values(scores, mean=F.sum("cross") / F.sum(length))
     scores = scores.withColumn("nats", (F.col("cross") + PRIOR * F.col("mean")) / (length + PRIOR))
-    judged = with_values(scores, limit=F.percentile_approx("nats", QUANTILE, 10000))
-    outside = F.col("nats") > F.col("limit") + MARGIN
+    judged = with_values(scores, limit=F.percentile_approx("nats", QUANTILE, 10000), word_limit=F.percentile_approx("worst", QUANTILE, 10000))
+    outside = (F.col("nats") > F.col("limit") + MARGIN) | (F.col("worst") > F.col("word_limit") + WORD_MARGIN)
     return judged.select(
         "doc_id", "text_key", "lang", "n_bytes", F.exp("nats").alias("perplexity"),
         (F.coalesce(outside, F.lit(False)) & (F.col("n_bytes") > 0)).alias("rejected"),

@@ -100,6 +100,15 @@ def test_held_out_accuracy(tables):
     assert all(r.rejected == kind[r.doc_id] for r in judged)
 
 
+def test_one_word_that_stands_out(spark):
+    good, _ = corpus(600)
+    half = len(good) // 2
+    spoilt = [(2000 + d, t + " zwkqj " + t, lang, x) for d, t, lang, x in good[half : half + 60]]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in good[:half]], LABELS)
+    got = {r.doc_id: r.rejected for r in qc.classify(spark.createDataFrame(good + spoilt, DOCS), labels).collect()}
+    assert all(got[r[0]] for r in spoilt) and not any(got[r[0]] for r in good[half:])
+
+
 def test_odd_rows(tables, spark):
     rows, labels, docs, marks = tables
     by = {}
