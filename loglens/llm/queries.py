@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loglens.llm import byte_bpe_codec
 from loglens.llm.chat_format import format_chat, read_back
 from loglens.llm.classifier import classify
 from loglens.llm.html_extract import extract_text
@@ -174,3 +175,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe_codec.encode_decode(table(spark, sf_dir, "documents"), path, PATTERN)
