@@ -14,6 +14,7 @@ from loglens.llm.html_extract import extract_text
 from loglens.llm.line_dedup import line_dedup
 from loglens.llm.near_dedup import near_classes
 from loglens.llm.packing import pack
+from loglens.llm.periodic_runs import periodic_runs
 from loglens.llm.quality_rules import quality_rules
 from loglens.llm.sentencepiece_codec import encode_decode
 from loglens.llm.suffix_dedup import suffix_dedup
@@ -183,3 +184,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     return byte_bpe_codec.encode_decode(table(spark, sf_dir, "documents"), path, PATTERN)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), tails=True)
