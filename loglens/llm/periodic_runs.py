@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import id_array, ids, ranges
+from loglens.llm.common import id_array, ids, numbered, ranges
 
 TIMES = 4
 LEAST = 6
@@ -47,19 +47,6 @@ SCHEMA = (
 )
 
 
-def numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each distinct pair (of non-negative numbers below 2**31), and its count."""
-    key = (a << 32) | b
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    group = np.cumsum(new) - 1
-    number = np.empty(len(key), np.int64)
-    number[order] = group
-    return number, np.diff(np.append(np.flatnonzero(new), len(key)))
-
-
 class Grammar:
     """Re-Pair of many texts: ``words`` are numbers, ``text`` says whose each is (rising).
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loglens.llm import byte_bpe_codec
 from loglens.llm.chat_format import format_chat, read_back
 from loglens.llm.classifier import classify
+from loglens.llm.collocations import collocations
 from loglens.llm.html_extract import extract_text
 from loglens.llm.line_dedup import line_dedup
 from loglens.llm.near_dedup import near_classes
@@ -189,3 +190,55 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), tails=True)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def _collocation_sql() -> str:
+    """Occurrences of 1 to 5 words from each place of each piece; arithmetic on 128-bit numbers."""
+    wide = range(2, 6)
+    nexts = ", ".join(f"lead(w1, {k - 1}) OVER piece AS w{k}" for k in wide)
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS size, {' || chr(32) || '.join(f'w{j}' for j in range(1, k + 1))} AS phrase FROM g WHERE w{k} IS NOT NULL" for k in range(1, 6)
+    )
+    return f"""
+WITH d AS (
+    SELECT row_number() OVER () AS row_id, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), p AS (
+    SELECT row_id, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p
+    FROM (SELECT row_id, lang, regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]') AS ps FROM d)
+), w AS (
+    SELECT row_id, lang, p, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i
+    FROM (SELECT row_id, lang, p, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p)
+), g AS (
+    SELECT lang, w1, {nexts} FROM w WINDOW piece AS (PARTITION BY row_id, p ORDER BY i)
+), f AS (
+    SELECT lang, size, phrase, count(*)::HUGEINT AS n, string_split(phrase, chr(32)) AS ws
+    FROM ({grams}) GROUP BY lang, size, phrase HAVING count(*) >= 100
+), inside AS (
+    SELECT lang, array_to_string(x, chr(32)) AS phrase, max(n) AS n
+    FROM (SELECT lang, n, unnest([ws[1:size - 1], ws[2:size]]) AS x FROM f WHERE size > 2) GROUP BY ALL
+), cut AS (
+    SELECT lang, phrase, n AS a, k, array_to_string(ws[1:k], chr(32)) AS head, array_to_string(ws[k + 1:size], chr(32)) AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+), total AS (
+    SELECT lang, count(*)::HUGEINT AS n FROM w GROUP BY lang
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, k, l.n AS l, r.n AS r, t.n AS n, 1000 * c.a * t.n // (l.n * r.n) AS score
+    FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest
+    JOIN total t ON t.lang = c.lang LEFT JOIN inside o ON o.lang = c.lang AND o.phrase = c.phrase
+    WHERE o.n IS NULL OR o.n < c.a
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored QUALIFY rank <= 2000
+"""
+
+
+ORACLE["op12_collocations"] = _collocation_sql()
