@@ -22,18 +22,19 @@ from loglens.llm.common import blob, ids
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 55
 #: ends are of words in ``words``; owner and places are of texts in ``codes``.
 FOLDED = "block long, owner binary, places binary, codes binary, words binary, ends binary, label string"
 ASKED = "shard int, block long, label string, words binary, ends binary"
 
 
 def shards_for(docs: DataFrame) -> int:
-    """Shards by the bytes Spark expects of the table, and not fewer than its partitions."""
+    """Shards by the bytes Spark expects of the table, and not fewer than its partitions.
+    A table whose size Spark can't tell (it then says some EB) gets one for each partition."""
     spark = docs.sparkSession
-    expected = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    most = (1 << 31) - 1
-    by_bytes = int(str(expected)) // SHARD_BYTES
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(by_bytes, most))
+    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_bytes = expected // SHARD_BYTES if expected < UNKNOWN_BYTES else 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), by_bytes)
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
