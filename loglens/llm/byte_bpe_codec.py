@@ -25,13 +25,14 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import blob, id_array
-from loglens.llm.word_blocks import ASKED, FOLDED, answers_in_order, ask, fold, shards_for, unpack_codes, unpack_words
+from loglens.llm.common import id_array
+from loglens.llm.word_blocks import ASKED, FOLDED, answers_in_order, ask, fold, planes, shards_for, unplanes, unpack_codes, unpack_words
 
-ANSWERED = "block long, shard int, counts binary, ids binary"
+ANSWERED = "block long, shard int, ids binary, words int"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SHORT = 64  # bytes of a word up to which all pairs are looked at for each merge
 
@@ -110,17 +111,17 @@ def _encode(path: str, asked: pa.Table) -> pa.Table:
     table = ranks(path)
     known: dict[bytes, list[int]] = {}
     rows = []
-    for block, shard, words, ends in zip(*(asked.column(c).to_pylist() for c in ("block", "shard", "words", "ends"))):
-        words = unpack_words(words, ends)
+    for block, shard, words in zip(*(asked.column(c).to_pylist() for c in ("block", "shard", "words"))):
+        words = unpack_words(words)
         for w in words:
             if w not in known:
                 known[w] = table.encode(w)
         found = [known[w] for w in words]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for f in found for i in f), table.width, int(counts.sum()))
-        rows.append((block, shard, blob(counts.astype("<u4")), blob(flat)))
+        rows.append((block, shard, zstandard.compress(planes(counts.astype("<u4")) + planes(flat), 1), len(words)))
     columns = list(zip(*rows)) if rows else [()] * 4
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int32()]
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in ANSWERED.split(", ")])
 
 
@@ -129,12 +130,13 @@ def _reassemble(path: str, shards: int, with_ids: bool, blocks: pa.Table, answer
     table = ranks(path)
     out: list[tuple] = []
     told = {}
-    for shard, counts, flat in zip(*(answers.column(c).to_pylist() for c in ("shard", "counts", "ids"))):
-        flat = np.frombuffer(flat, table.width).tolist()
-        ends = np.cumsum(np.frombuffer(counts, "<u4").astype(np.int64)).tolist()
+    for shard, data, n in zip(*(answers.column(c).to_pylist() for c in ("shard", "ids", "words"))):
+        raw = zstandard.decompress(data)
+        flat = unplanes(raw[4 * n :], table.width).tolist()
+        ends = np.cumsum(unplanes(raw[: 4 * n], "<u4").astype(np.int64)).tolist()
         told[shard] = [flat[a:b] for a, b in zip([0, *ends], ends)]
     for row in blocks.to_pylist():
-        words = answers_in_order(unpack_words(row["words"], row["ends"]), shards, told)
+        words = answers_in_order(unpack_words(row["words"]), shards, told)
         shown = [",".join(map(str, w)) for w in words]
         decoded = list(map(table.decode, words))
         sizes = np.fromiter(map(len, words), np.int64, len(words))

@@ -36,8 +36,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import blob, numbered, spread
-from loglens.llm.word_blocks import FOLDED, answers_in_order, by_shard, fold, pack_words, shards_for, unpack_codes, unpack_words
+from loglens.llm.common import numbered, spread
+from loglens.llm.word_blocks import FOLDED, answers_in_order, by_shard, fold, pack_words, planes, shards_for, unplanes, unpack_codes, unpack_words
 from loglens.session import store_table
 
 LONGEST = 5
@@ -47,7 +47,7 @@ TOP = 2000
 END = b"\xff"
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _SPLIT = bytes.maketrans(_BREAKS + b"\t", END * len(_BREAKS) + b" ")
-ASKED = "shard int, block long, label string, words binary, ends binary, counts binary"
+ASKED = "shard int, block long, label string, words binary, counts binary"
 NAMES = "block long, shard int, ids binary, label string, word string, id int, n long"
 #: Grams of a shard, ``found`` ones only passed on.
 GRAMS = "shard int, found boolean, width int, grams binary"
@@ -72,40 +72,45 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 # --- numbers for words ---
 
 
-def _ask(shards: int, blocks: pa.Table) -> pa.Table:
+def _ask(shards: int, batches):
     """Each block tells every shard its words and how often it has them."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield from _asked(shards, r).to_batches()
+
+
+def _asked(shards: int, r: dict) -> pa.Table:
+    words = unpack_words(r["words"])
+    counts = np.bincount(unpack_codes(r["codes"]), minlength=len(words))
     rows = []
-    for r in blocks.to_pylist():
-        words = unpack_words(r["words"], r["ends"])
-        counts = np.bincount(unpack_codes(r["codes"]), minlength=len(words))
-        for shard, mine in by_shard(words, shards):
-            rows.append((shard, r["block"], r["label"], *pack_words([words[i] for i in mine.tolist()]), blob(counts[mine])))
+    for shard, mine in by_shard(words, shards):
+        rows.append((shard, r["block"], r["label"], pack_words([words[i] for i in mine.tolist()]), zstandard.compress(planes(counts[mine]), 1)))
     return _table(rows, ASKED)
 
 
 def _name(min_count: int, shards: int, asked: pa.Table) -> pa.Table:
-    """A shard counts its words over all blocks, numbers the frequent ones (their words in
-    order) and answers each block; 0 stands for all others."""
+    """A shard counts its words over all blocks, numbers the frequent ones (the most frequent
+    first, as small numbers pack well) and answers each block; 0 stands for all others."""
     total: dict[tuple, int] = {}
     per_label: dict = {}
     told = []
     for r in asked.to_pylist():
-        words = unpack_words(r["words"], r["ends"])
+        words = unpack_words(r["words"])
         told.append((r["block"], r["shard"], r["label"], words))
         label = r["label"]
-        for w, n in zip(words, np.frombuffer(r["counts"], np.int64).tolist()):
+        for w, n in zip(words, unplanes(zstandard.decompress(r["counts"]), np.int64).tolist()):
             if w != END:
                 total[label, w] = total.get((label, w), 0) + n
     for (label, _), n in total.items():
         per_label[label] = per_label.get(label, 0) + n
-    frequent = sorted(key for key, n in total.items() if n >= min_count)
+    frequent = sorted((key for key, n in total.items() if n >= min_count), key=lambda x: (-total[x], x))
     shard = told[0][1]
     number = {key: 1 + k * shards + shard for k, key in enumerate(frequent)}
     rows: list[tuple] = [(None, shard, None, label, None, None, n) for label, n in sorted(per_label.items())]
     rows += [(None, shard, None, label, w.decode(), number[label, w], total[label, w]) for label, w in frequent]
     for block, _, label, words in told:
         found = np.fromiter((number.get((label, w), 0) for w in words), "<i4", len(words))
-        rows.append((block, shard, blob(found), None, None, None, None))
+        rows.append((block, shard, zstandard.compress(planes(found), 1), None, None, None, None))
     return _table(rows, NAMES)
 
 
@@ -113,15 +118,19 @@ def _name(min_count: int, shards: int, asked: pa.Table) -> pa.Table:
 
 
 def pack_grams(columns: list[np.ndarray], n: np.ndarray) -> bytes:
-    parts = [blob(c.astype("<i4")) for c in columns] + [blob(n.astype("<i8"))]
-    return zstandard.compress(b"".join(parts))
+    """Numbers of words and counts; first words mostly rise, so their steps are kept."""
+    steps = np.diff(columns[0], prepend=0)
+    parts = [planes(c.astype("<i4")) for c in (steps, *columns[1:])] + [planes(n.astype("<i8"))]
+    return zstandard.compress(b"".join(parts), 1)
 
 
 def unpack_grams(data: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     raw = zstandard.decompress(data)
     size = len(raw) // (4 * width + 8)
-    columns = [np.frombuffer(raw, "<i4", size, 4 * size * k).astype(np.int64) for k in range(width)]
-    return columns, np.frombuffer(raw, "<i8", size, 4 * size * width)
+    at = 4 * size
+    columns = [unplanes(raw[at * k : at * (k + 1)], "<i4").astype(np.int64) for k in range(width)]
+    columns[0] = np.cumsum(columns[0])
+    return columns, unplanes(raw[at * width :], "<i8")
 
 
 def _dealt(columns: list[np.ndarray], n: np.ndarray, key: int, shards: int) -> list[tuple]:
@@ -138,10 +147,10 @@ def _dealt(columns: list[np.ndarray], n: np.ndarray, key: int, shards: int) -> l
 
 def _windows(shards: int, blocks: pa.Table, names: pa.Table) -> pa.Table:
     """The windows of a block, each with its number of occurrences."""
-    told = {s: np.frombuffer(x, "<i4").tolist() for s, x in zip(names.column("shard").to_pylist(), names.column("ids").to_pylist())}
+    told = {s: unplanes(zstandard.decompress(x), "<i4").tolist() for s, x in zip(names.column("shard").to_pylist(), names.column("ids").to_pylist())}
     rows = []
     for r in blocks.to_pylist():
-        words = unpack_words(r["words"], r["ends"])
+        words = unpack_words(r["words"])
         ids = np.array(answers_in_order(words, shards, told), np.int64)
         line = np.append(ids[unpack_codes(r["codes"])], np.zeros(LONGEST, np.int64))
         at = np.flatnonzero(line)
@@ -216,8 +225,9 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFram
     shards = shards_for(docs)
     label = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), label)
-    blocks = rows.mapInArrow(_fold, FOLDED).groupBy("block")
-    asked = blocks.applyInArrow(_on_table(_ask, shards), ASKED)
+    stored = store_table(rows.mapInArrow(_fold, FOLDED), "word-blocks")
+    blocks = stored.select("block", "codes", "words").groupBy("block")
+    asked = stored.select("block", "label", "codes", "words").mapInArrow(partial(_ask, shards), ASKED)
     names = store_table(asked.groupBy("shard").applyInArrow(_on_table(_name, min_count, shards), NAMES), "word-numbers")
     answers = names.filter("block IS NOT NULL").select("block", "shard", "ids").groupBy("block")
 

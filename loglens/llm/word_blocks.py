@@ -23,9 +23,9 @@ from loglens.llm.common import blob, ids
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
 UNKNOWN_BYTES = 1 << 55
-#: ends are of words in ``words``; owner and places are of texts in ``codes``.
-FOLDED = "block long, owner binary, places binary, codes binary, words binary, ends binary, label string"
-ASKED = "shard int, block long, label string, words binary, ends binary"
+#: owner and places are of the texts, whose words follow each other in ``codes``.
+FOLDED = "block long, owner binary, places binary, codes binary, words binary, label string"
+ASKED = "shard int, block long, label string, words binary"
 
 
 def shards_for(docs: DataFrame) -> int:
@@ -59,12 +59,27 @@ def unpack_codes(data: bytes) -> np.ndarray:
     return first
 
 
-def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
-    return b"".join(words), blob(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, ...: this compresses better."""
+    size = values.dtype.itemsize
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T.tobytes()
 
 
-def unpack_words(words: bytes, ends: bytes) -> list[bytes]:
-    at = np.frombuffer(ends, np.int64).tolist()
+def unplanes(data: bytes, dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), "<u4", len(words))
+    return len(words).to_bytes(8, "little") + zstandard.compress(planes(sizes) + b"".join(words), 1)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    raw = zstandard.decompress(data[8:])
+    at = np.cumsum(unplanes(raw[: 4 * n], "<u4").astype(np.int64)).tolist() if n else []
+    words = raw[4 * n :]
     return [words[a:b] for a, b in zip([0, *at], at)]
 
 
@@ -96,7 +111,7 @@ class _Open:
         words = [names[i] for i in by_count.tolist()]
         words = [w.encode() for w in words] if words and isinstance(words[0], str) else words
         owner, places = (blob(np.array(x, np.int64)) for x in (self.owner, self.places))
-        return block, owner, places, pack_codes(rank[codes]), *pack_words(words), label
+        return block, owner, places, pack_codes(rank[codes]), pack_words(words), label
 
 
 def fold(batches: Iterable[pa.RecordBatch], split: Callable[[str], list]) -> Iterable[pa.RecordBatch]:
@@ -105,7 +120,7 @@ def fold(batches: Iterable[pa.RecordBatch], split: Callable[[str], list]) -> Ite
     context = TaskContext.get()
     next_block = (context.partitionId() if context else 0) << 32
     names = [x.split()[0] for x in FOLDED.split(", ")]
-    types = [pa.int64(), *[pa.binary()] * 5, pa.string()]
+    types = [pa.int64(), *[pa.binary()] * 4, pa.string()]
     open_blocks: dict = {}
 
     def closed(label):
@@ -143,12 +158,12 @@ def by_shard(words: list[bytes], shards: int):
 def ask(shards: int, blocks: pa.Table) -> pa.Table:
     """A row of ASKED for each block and shard."""
     rows = []
-    for block, words, ends, label in zip(*(blocks.column(c).to_pylist() for c in ("block", "words", "ends", "label"))):
-        words = unpack_words(words, ends)
+    for block, words, label in zip(*(blocks.column(c).to_pylist() for c in ("block", "words", "label"))):
+        words = unpack_words(words)
         for shard, mine in by_shard(words, shards):
-            rows.append((shard, block, label, *pack_words([words[i] for i in mine.tolist()])))
-    columns = list(zip(*rows)) if rows else [()] * 5
-    types = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+            rows.append((shard, block, label, pack_words([words[i] for i in mine.tolist()])))
+    columns = list(zip(*rows)) if rows else [()] * 4
+    types = [pa.int32(), pa.int64(), pa.string(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in ASKED.split(", ")])
 
 

@@ -88,7 +88,7 @@ def test_many_small_blocks_share_words(spark, library, monkeypatch):
     assert len(blocks) > 50 and sum(len(np.frombuffer(b.column(1)[0].as_py(), np.int64)) for b in blocks) == len(rows)
     for b in blocks:
         row = b.to_pylist()[0]
-        words = word_blocks.unpack_words(row["words"], row["ends"])
+        words = word_blocks.unpack_words(row["words"])
         assert len(set(words)) == len(words)
         numbers, at = word_blocks.unpack_codes(row["codes"]).tolist(), 0
         for owner, n in zip(np.frombuffer(row["owner"], np.int64).tolist(), np.frombuffer(row["places"], np.int64).tolist()):
