@@ -14,9 +14,8 @@ Packing runs inside each input partition, in blocks, without a shuffle; memory h
 pool and one block. The same partition gives the same sequences again after a lost
 executor. sequence_id is the partition number and a counter.
 
-Ids come from a tokenizer file. Text is cut where a blank follows a non-blank and where an
-ASCII character that is no letter follows a letter, which no token crosses; repeated parts
-come from a bounded memory.
+Ids come from a tokenizer file. Where its merges are in the order of its ids, as in byte-level
+files, the rank encoder gives the same ids with less work; no memory of words is kept.
 
 Results for odd input: null text is empty and has the end id alone; repeated rows are
 packed each; a null doc_id is kept as null; an empty table gives an empty table; other
@@ -25,10 +24,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -41,61 +40,61 @@ WINDOW = 1024
 END_ID = 0
 POOL_IDS = 1 << 21  # remainders waiting; beyond it gaps are closed by cutting
 WAIT_IDS = 1 << 17  # with fewer, the pool waits for more documents
-MEMORY = 1 << 18
-LONG_PART = 256
-#: White space of Unicode, as the tokenizer's pattern has it.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Behind a letter these may be letters, too, and go into one token with it.
-WIDE = f"[^\\x00-\\x7f{SPACE}{LETTER}][^{SPACE}{LETTER}]*[{LETTER}]*"
-PARTS = re.compile(f"[{SPACE}]*[^{SPACE}{LETTER}]*[{LETTER}]+(?:{WIDE})*|[{SPACE}]*[^{SPACE}{LETTER}]+|[{SPACE}]+").findall
+#: How byte-level tokenizer files split text (fixed values of that file format).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = np.uint32(END_ID)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The file's tokens as bytes with their ids, where ids follow the order of the merges and
+    nothing but the byte-level split and the merges acts on a text; else None."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not spec["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or not plain or any(model.get(x) for x in odd):
+        return None
+    # Bytes that are printable characters stand for themselves, the others for those from U+0100 on.
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(sorted(set(range(256)).difference(shown)))}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])):
+        return None
+    added = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in added}
+
+
 class Ids:
-    """Ids of whole texts, by parts that no token crosses."""
+    """Ids of whole texts, as the tokenizer file has them.
+
+    Merges in the order of ids are what the rank encoder does; it needs no memory of words.
+    Files of another kind go through the library that reads them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda x: [x]
-        self.parts: dict[str, bytes] = {}
-        self.older = self.parts
+        ranks = byte_ranks(path)
+        if ranks:
+            import tiktoken
+
+            self.encode = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def of(self, text: str) -> np.ndarray:
         """As the library encodes, strings of special tokens included."""
         if any(s in text for s in self.special):
-            pieces = [np.array([self.special[x]], np.uint32) if x in self.special else self._plain(x) for x in self.cut(text)]
-            return np.concatenate(pieces)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> np.ndarray:
-        words = PARTS(text)
-        try:
-            return np.frombuffer(b"".join(map(self.parts.__getitem__, words)), np.uint32)
-        except KeyError:
-            pass
-        if len(self.parts) > MEMORY:
-            self.parts, self.older = {}, self.parts
-        new = set(words).difference(self.parts)
-        fresh = []
-        for w in new:
-            known = self.older.get(w)
-            if known is None:
-                fresh.append(w)
-            else:
-                self.parts[w] = known
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else ()):
-            self.parts[w] = array("I", e.ids).tobytes()
-        out = np.frombuffer(b"".join(map(self.parts.__getitem__, words)), np.uint32)
-        for w in fresh:
-            if len(w) > LONG_PART:
-                del self.parts[w]
-        return out
+            pieces = [[self.special[x]] if x in self.special else self.encode(x) for x in self.cut(text)]
+            return np.array([i for p in pieces for i in p], np.uint32)
+        return np.array(self.encode(text), np.uint32)
 
 
 @lru_cache(maxsize=2)
