@@ -28,7 +28,7 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import partial
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,11 @@ END = b"\xff"
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _SPLIT = bytes.maketrans(_BREAKS + b"\t", END * len(_BREAKS) + b" ")
 ASKED = "shard int, block long, label string, words binary, counts binary"
-NAMES = "block long, shard int, ids binary, label string, word string, id int, n long"
-#: Grams of a shard, ``found`` ones only passed on.
+#: Answers to a block, or (under a negative block of its own) what a shard found out.
+NAMES = "block long, shard int, ids binary"
+#: Grams of a shard. What is found is only passed on: grams, or with width 0 words.
 GRAMS = "shard int, found boolean, width int, grams binary"
+FOUND = "words array<int>, n long, label string, word string"
 
 
 def split_words(text: str) -> list[bytes]:
@@ -72,19 +74,15 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 # --- numbers for words ---
 
 
-def _ask(shards: int, batches):
+def _ask(shards: int, blocks: pa.Table) -> pa.Table:
     """Each block tells every shard its words and how often it has them."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            yield from _asked(shards, r).to_batches()
-
-
-def _asked(shards: int, r: dict) -> pa.Table:
-    words = unpack_words(r["words"])
-    counts = np.bincount(unpack_codes(r["codes"]), minlength=len(words))
     rows = []
-    for shard, mine in by_shard(words, shards):
-        rows.append((shard, r["block"], r["label"], pack_words([words[i] for i in mine.tolist()]), zstandard.compress(planes(counts[mine]), 1)))
+    for r in blocks.to_pylist():
+        words = unpack_words(r["words"])
+        counts = np.bincount(unpack_codes(r["codes"]), minlength=len(words))
+        for shard, mine in by_shard(words, shards):
+            packed = pack_words([words[i] for i in mine.tolist()])
+            rows.append((shard, r["block"], r["label"], packed, zstandard.compress(planes(counts[mine]), 1)))
     return _table(rows, ASKED)
 
 
@@ -106,11 +104,16 @@ def _name(min_count: int, shards: int, asked: pa.Table) -> pa.Table:
     frequent = sorted((key for key, n in total.items() if n >= min_count), key=lambda x: (-total[x], x))
     shard = told[0][1]
     number = {key: 1 + k * shards + shard for k, key in enumerate(frequent)}
-    rows: list[tuple] = [(None, shard, None, label, None, None, n) for label, n in sorted(per_label.items())]
-    rows += [(None, shard, None, label, w.decode(), number[label, w], total[label, w]) for label, w in frequent]
+    learnt = {label: {"total": n, "words": [], "ids": [], "n": []} for label, n in per_label.items()}
+    for label, w in frequent:
+        of = learnt[label]
+        of["words"].append(w.decode())
+        of["ids"].append(number[label, w])
+        of["n"].append(total[label, w])
+    rows = [(-1 - shard, shard, zstandard.compress(json.dumps(list(learnt.items())).encode()))]
     for block, _, label, words in told:
         found = np.fromiter((number.get((label, w), 0) for w in words), "<i4", len(words))
-        rows.append((block, shard, zstandard.compress(planes(found), 1), None, None, None, None))
+        rows.append((block, shard, zstandard.compress(planes(found), 1)))
     return _table(rows, NAMES)
 
 
@@ -147,6 +150,8 @@ def _dealt(columns: list[np.ndarray], n: np.ndarray, key: int, shards: int) -> l
 
 def _windows(shards: int, blocks: pa.Table, names: pa.Table) -> pa.Table:
     """The windows of a block, each with its number of occurrences."""
+    if not blocks.num_rows:
+        return _table([(s, True, 0, x) for s, x in zip(names.column("shard").to_pylist(), names.column("ids").to_pylist())], GRAMS)
     told = {s: unplanes(zstandard.decompress(x), "<i4").tolist() for s, x in zip(names.column("shard").to_pylist(), names.column("ids").to_pylist())}
     rows = []
     for r in blocks.to_pylist():
@@ -202,12 +207,28 @@ def _flow(widths: tuple[int, ...], min_count: int, shards: int, grams: pa.Table)
 
 
 def _unpack(batches):
+    """Rows of FOUND: phrases; words with their label; and the total of each label."""
     for batch in batches:
         for width, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            columns, n = unpack_grams(data, width)
-            flat = np.stack(columns, 1).astype(np.int32).ravel()
-            offsets = np.arange(0, len(flat) + 1, width, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(n)], ["words", "n"])
+            if width:
+                columns, n = unpack_grams(data, width)
+                flat = np.stack(columns, 1).astype(np.int32).ravel()
+                labels = words = pa.nulls(len(n), pa.string())
+            else:
+                learnt = json.loads(zstandard.decompress(data))
+                flat = np.array([i for _, of in learnt for i in of["ids"]], np.int32)
+                labels = pa.array([label for label, of in learnt for _ in of["ids"]], pa.string())
+                words = pa.array([w for _, of in learnt for w in of["words"]], pa.string())
+                n = np.array([x for _, of in learnt for x in of["n"]], np.int64)
+                none = [pa.nulls(len(learnt), t) for t in (pa.list_(pa.int32()), pa.string())]
+                totals = [pa.array([of["total"] for _, of in learnt], pa.int64()), pa.array([label for label, _ in learnt], pa.string())]
+                yield _found(none[0], totals[0], totals[1], none[1])
+            offsets = pa.array(np.arange(0, len(flat) + 1, width or 1, dtype=np.int32))
+            yield _found(pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(n), labels, words)
+
+
+def _found(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), ["words", "n", "label", "word"])
 
 
 def _on_table(body, *arguments):
@@ -225,23 +246,20 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFram
     shards = shards_for(docs)
     label = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), label)
-    stored = store_table(rows.mapInArrow(_fold, FOLDED), "word-blocks")
-    blocks = stored.select("block", "codes", "words").groupBy("block")
-    asked = stored.select("block", "label", "codes", "words").mapInArrow(partial(_ask, shards), ASKED)
-    names = store_table(asked.groupBy("shard").applyInArrow(_on_table(_name, min_count, shards), NAMES), "word-numbers")
-    answers = names.filter("block IS NOT NULL").select("block", "shard", "ids").groupBy("block")
+    blocks = rows.mapInArrow(_fold, FOLDED).select("block", "codes", "words", "label").groupBy("block")
+    asked = blocks.applyInArrow(_on_table(_ask, shards), ASKED)
+    names = asked.groupBy("shard").applyInArrow(_on_table(_name, min_count, shards), NAMES)
 
     def windows(left, right):
         return _windows(shards, left, right)
 
-    grams = blocks.cogroup(answers).applyInArrow(windows, GRAMS)
+    grams = blocks.cogroup(names.groupBy("block")).applyInArrow(windows, GRAMS)
     for widths in ((5, 4), (3,), (2,)):
         grams = grams.groupBy("shard").applyInArrow(_on_table(_flow, widths, min_count, shards), GRAMS)
-    words = names.filter("id IS NOT NULL").select("id", "label", "word", "n")
-    found = grams.select("width", "grams").mapInArrow(_unpack, "words array<int>, n long")
-    phrases = store_table(found.unionByName(words.select(F.array("id").alias("words"), "n")), "phrase-counts")
-    totals = names.filter("block IS NULL AND id IS NULL").groupBy("label").agg(F.sum("n").alias("total"))
-    return phrases, words.drop("n"), totals
+    found = store_table(grams.select("width", "grams").mapInArrow(_unpack, FOUND), "phrase-counts")
+    words = found.filter("word IS NOT NULL").select(F.element_at("words", 1).alias("id"), "label", "word")
+    totals = found.filter("words IS NULL").groupBy("label").agg(F.sum("n").alias("total"))
+    return found.filter("words IS NOT NULL").select("words", "n"), words, totals
 
 
 # --- unary paths ---
