@@ -277,7 +277,15 @@ sql("unwrap_api_record", """SELECT event_id AS "eventID", event_name AS "eventNa
 sql("land_records", f"""SELECT route, event_id, event_name, account_id, strftime(CAST(try_cast(replace(replace(event_time_text, 'T', ' '), 'Z', '') AS TIMESTAMP) AS DATE), '%Y-%m-%d') AS event_date,
   {USER.format(principal="coalesce(principal_id, '')")} AS user_id, coalesce(bucket, '') AS bucket, query_string
 FROM routed WHERE route IS NOT NULL""")
-sql("read_export_bundles", "SELECT event_id, workgroup, status, query_string FROM usage_row")
+PARTS["bundle_days"] = """SELECT account_id, strftime(event_time, '%Y%m%d') AS day, count(*) FILTER (WHERE kind = 'athena') AS n
+FROM (SELECT account_id, event_time, 'athena' AS kind FROM usage_row UNION ALL SELECT account_id, event_time, 's3' FROM s3_log) GROUP BY ALL"""
+sql("read_export_bundles", """SELECT 'athena' AS kind, event_id AS id, concat_ws('|', workgroup, status, query_string) AS detail FROM usage_row
+UNION ALL SELECT 's3', event_id, concat_ws('|', event_name, bucket, object_key, bytes_transferred, extra_bytes_in, extra_bytes_out) FROM s3_log
+UNION ALL SELECT 'summary', account_id || '-' || day || '.zip', CAST(n AS VARCHAR) FROM bundle_days
+UNION ALL SELECT 'account', account_id || '-' || day || '.zip', concat_ws('|', 'member', account_id, n) FROM bundle_days
+UNION ALL SELECT 'account', account_id || '-' || day || '.zip', concat_ws('|', 'summary', account_id, n) FROM bundle_days WHERE CAST(day AS INT) % 2 = 1
+UNION ALL SELECT 'error', account_id || '-' || day || '-bad.zip', '' FROM bundle_days WHERE CAST(account_id AS INT) % 6 = 1
+UNION ALL SELECT 'error', account_id || '-' || day || '-cut.zip', '' FROM bundle_days WHERE CAST(account_id AS INT) % 6 = 2""")
 sql("read_execution_stats", "SELECT * FROM stats")
 sql("write_workgroup_csv", "SELECT workgroup, query_count, unique_users, printf('%.4f', total_data_scanned / 1073741824.0) AS data_scanned_gb FROM wg")
 sql("write_event_tables", """SELECT coalesce(strftime(event_time, '%Y-%m-%d'), NULL) AS event_date, count(*) AS event_count

@@ -290,10 +290,76 @@ def land_records(spark, sf):
     return rows.select("route", "event_id", "event_name", "account_id", "event_date", "user_id", "bucket", "query_string")
 
 
+def _write_bundle_files(spark: SparkSession, sf: str) -> str:
+    """One zip file per account and day, as the exports lie in a store: four members each, and
+    for some accounts a copy that is cut off and one whose event list is no JSON."""
+    root = work_dir(spark, "bundle-files")
+    log = view(spark, sf, "usage_row").select(
+        "account_id", F.date_format("event_time", "yyyyMMdd").alias("day"), F.lit("athena").alias("kind"),
+        F.to_json(F.struct("event_id", "event_time", "user_arn", "workgroup", "status", "query_string")).alias("body"),
+    )
+    moved = F.struct(F.col("extra_bytes_in").alias("bytesTransferredIn"), F.col("extra_bytes_out").alias("bytesTransferredOut"))
+    stored = view(spark, sf, "s3_log").select(
+        "account_id", F.date_format("event_time", "yyyyMMdd").alias("day"), F.lit("s3").alias("kind"),
+        F.to_json(F.struct("event_id", "event_name", "event_time", "bucket", F.col("object_key").alias("key"), "bytes_transferred", moved.alias("additionalEventData"))).alias("body"),
+    )
+    grouped = log.unionByName(stored).groupBy("account_id", "day").pivot("kind", ["athena", "s3"]).agg(F.collect_list("body"))
+
+    def pack(batches):
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        system.create_dir(place, recursive=True)
+
+        def write(name, members):
+            with system.open_output_stream(f"{place}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as bundle:
+                for member, text in members.items():
+                    bundle.writestr(member, text)
+
+        for batch in batches:
+            for account, day, athena, store_rows in zip(batch["account_id"], batch["day"], batch["athena"], batch["s3"]):
+                one = f'{{"account_id":"{account}","overview":{{"total_athena_events":{len(athena)}}}}}'
+                inside = f',"per_account":[{one}]' if int(day) % 2 else ""
+                members = {
+                    "summary.json": f'{{"overview":{{"total_athena_events":{len(athena)}}}{inside}}}',
+                    "athena_events.json": "[" + ",".join(athena) + "]",
+                    "s3_events.json": "[" + ",\n ".join(store_rows) + "]",
+                    "per_account_summary.json": f"[{one}]",
+                }
+                write(f"{account}-{day}.zip", members)
+                if int(account) % 6 == 1:
+                    write(f"{account}-{day}-bad.zip", {"athena_events.json": "[" + ",".join(athena[:3])})
+                if int(account) % 6 == 2:
+                    with system.open_output_stream(f"{place}/{account}-{day}-cut.zip") as out:
+                        out.write(b"PK\x03\x04 ends early")
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    grouped.mapInPandas(pack, "written long").agg(F.sum("written")).collect()
+    return root
+
+
 @query
 def read_export_bundles(spark, sf):
-    tables = sources.read_export_bundles(_bundle_members(spark, sf, "bundles"))
-    return tables["athena_events"].select("event_id", "workgroup", "status", "query_string")
+    """All five tables of the bundles, a row of each as (kind, id, detail)."""
+    index = sources.bundle_index(spark, _write_bundle_files(spark, sf))
+    members = store_table(sources.read_indexed_members(index), "bundle-members")
+    tables = sources.read_export_bundles(members)
+    name = F.substring_index("file", "/", -1)
+
+    def rows(table, kind, key, *detail):
+        parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in detail)
+        return tables[table].select(F.lit(kind).alias("kind"), key.alias("id"), F.concat_ws("|", *parts).alias("detail"))
+
+    return (
+        rows("athena_events", "athena", F.col("event_id"), "workgroup", "status", "query_string")
+        .unionByName(rows("s3_events", "s3", F.col("event_id"), "event_name", "bucket", "key", "bytes_transferred", "extra_bytes_in", "extra_bytes_out"))
+        .unionByName(rows("summaries", "summary", name, "overview.total_athena_events"))
+        .unionByName(rows("per_account", "account", name, "source", "account_id", "overview.total_athena_events"))
+        .unionByName(rows("errors", "error", name))
+    )
 
 
 @query

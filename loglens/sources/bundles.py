@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas
 
 MEMBERS = ("summary.json", "athena_events.json", "s3_events.json", "per_account_summary.json")
-_ROW = "file string, member string, position bigint, body string, error string"
+MEMBER_ROW = "file string, member string, position bigint, body string, error string"
 _BATCH_ROWS = 1000
 
 
@@ -64,7 +64,7 @@ def read_bundle_members(spark: SparkSession, path: str | list[str]) -> DataFrame
 
 def unzip_members(files: DataFrame) -> DataFrame:
     """Members of zips held as rows (path, content)."""
-    return files.select("path", "content").mapInPandas(_unzip, _ROW)
+    return files.select("path", "content").mapInPandas(_unzip, MEMBER_ROW)
 
 
 def read_export_bundles(members: DataFrame) -> dict[str, DataFrame]:
@@ -76,7 +76,7 @@ def read_export_bundles(members: DataFrame) -> dict[str, DataFrame]:
     """
 
     def parsed(member: str, schema) -> DataFrame:
-        rows = members.filter(F.col("member") == member)
+        rows = members.filter((F.col("member") == member) & F.col("error").isNull())
         return rows.select("file", "position", F.from_json("body", schema).alias("_v"))
 
     summaries = parsed("summary.json", schemas.SUMMARY).select("file", "_v.*")

@@ -92,8 +92,8 @@ def write_bundle(path, **members):
             bundle.writestr(name.replace("_json", ".json"), json.dumps(value))
 
 
-@pytest.fixture
-def bundles(spark, folder):
+@pytest.fixture(params=["whole", "indexed"])
+def bundles(spark, folder, request):
     os.makedirs(f"{folder}/deep")
     event = {"event_id": "1", "event_time": "2024-01-01T00:00:00Z", "user_id": "ann", "status": "FAILED", "query": "SELECT 1", "data_scanned_in_bytes": 7}
     write_bundle(f"{folder}/a.zip", summary_json=summary(1, ["ann"]), athena_events_json=[event], s3_events_json=[{"bucket": "b", "additionalEventData": {"bytesTransferredIn": 3}}],
@@ -103,7 +103,9 @@ def bundles(spark, folder):
     write_bundle(f"{folder}/deep/c.zip", summary_json=summary(3, []))
     with open(f"{folder}/deep/broken.zip", "wb") as f:
         f.write(b"no zip")
-    return sources.read_export_bundles(sources.read_bundle_members(spark, folder))
+    if request.param == "whole":
+        return sources.read_export_bundles(sources.read_bundle_members(spark, folder))
+    return sources.read_export_bundles(sources.read_indexed_members(sources.bundle_index(spark, folder)))
 
 
 def test_bundles(bundles):
@@ -215,3 +217,12 @@ def test_work_dir_is_the_shared_folder(spark):
     assert path != work_dir(spark, "x")
     if base:
         assert path.startswith(base.rstrip("/"))
+
+
+def test_broken_member_gives_an_error_and_no_event(spark, folder):
+    write_bundle(f"{folder}/a.zip", summary_json=summary(1, ["ann"]))
+    with zipfile.ZipFile(f"{folder}/b.zip", "w") as bundle:
+        bundle.writestr("athena_events.json", '[{"event_id": "1"}')
+    tables = sources.read_export_bundles(sources.read_indexed_members(sources.bundle_index(spark, folder)))
+    assert tables["athena_events"].count() == 0 and tables["summaries"].count() == 1
+    assert [r.file[-5:] for r in tables["errors"].collect()] == ["b.zip"]
