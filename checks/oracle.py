@@ -269,9 +269,16 @@ def sql(name: str, body: str) -> None:
 _AUDIT = """SELECT event_id AS "eventID", event_name AS "eventName", event_source AS "eventSource",
   event_time_text AS "eventTime", error_code AS "errorCode", user_arn AS "userArn"{extra} FROM audit_flat{where}"""
 sql("read_audit_files", _AUDIT.format(extra="", where=""))
-sql("audit_file_size_filter", _AUDIT.format(extra="", where=""))
 sql("audit_date_prefixes", _AUDIT.format(extra="", where=" WHERE left(event_time_text, 10) BETWEEN '2024-01-05' AND '2024-01-20'"))
-sql("audit_org_prefixes", _AUDIT.format(extra=", account_id", where=""))
+PARTS["trail_days"] = """SELECT account_id, day, replace(day, '-', '/') AS folder FROM (SELECT DISTINCT account_id,
+  coalesce(nullif(regexp_extract(event_time_text, '^\\d{4}-\\d\\d-\\d\\d'), ''), '2024-02-29') AS day FROM audit_flat)"""
+_TRAIL = """
+UNION ALL SELECT folder || '/large.json.gz', NULL, NULL, NULL, NULL, NULL, 'too large', account_id FROM trail_days WHERE CAST(account_id AS INT) % 5 = 1{where}
+UNION ALL SELECT folder || '/broken.json.gz', NULL, NULL, NULL, NULL, NULL, 'unreadable', account_id FROM trail_days WHERE CAST(account_id AS INT) % 5 = 2{where}"""
+_TAGS = ", '' AS problem, account_id"
+_SHORT = " AND day BETWEEN '2024-01-05' AND '2024-01-20'"
+sql("audit_file_size_filter", _AUDIT.format(extra=_TAGS, where="") + _TRAIL.format(where=""))
+sql("audit_org_prefixes", _AUDIT.format(extra=_TAGS, where=" WHERE left(event_time_text, 10) BETWEEN '2024-01-05' AND '2024-01-20'") + _TRAIL.format(where=_SHORT))
 sql("unwrap_api_record", """SELECT event_id AS "eventID", event_name AS "eventName", event_source AS "eventSource",
   event_time_text AS "eventTime", user_arn AS "userArn", query_string AS "queryString" FROM audit_flat""")
 sql("land_records", f"""SELECT route, event_id, event_name, account_id, strftime(CAST(try_cast(replace(replace(event_time_text, 'T', ' '), 'Z', '') AS TIMESTAMP) AS DATE), '%Y-%m-%d') AS event_date,

@@ -196,9 +196,77 @@ def read_audit_files(spark, sf):
     return _audit_query(spark, sf, "audit")
 
 
+LARGEST_FILE = 65536
+
+
+def _write_org_files(spark: SparkSession, sf: str) -> str:
+    """The audit records as an organization's trail lays them down: a folder per account and
+    day, gzip files of at most 200 records, and for some accounts a broken, an empty and a
+    too large file (whose record must never show up)."""
+    root = work_dir(spark, "org-trail")
+    rows = raw_audit(spark, sf, "id")
+    nested = ("requestParameters", "responseElements")
+    day = F.nullif(F.regexp_extract("eventTime", r"^\d{4}-\d\d-\d\d", 0), F.lit(""))
+    body = F.to_json(F.struct(*(c for c in rows.columns if c not in (*nested, "id"))))
+    whole = F.concat(
+        F.expr("left(body, length(body) - 1)"), *(F.concat(F.lit(f',"{n}":'), F.coalesce(n, F.lit("null"))) for n in nested), F.lit("}")
+    )
+    parts = rows.withColumn("body", body).select(
+        F.col("recipientAccountId").alias("account"), F.replace(F.coalesce(day, F.lit("2024-02-29")), F.lit("-"), F.lit("/")).alias("day"), whole.alias("body")
+    )
+
+    def put(batches):
+        import gzip
+        import random
+
+        import pandas as pd
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+
+        def write(folder, name, data):
+            with system.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                out.write(data)
+
+        for batch in batches:
+            for account, day, bodies in zip(batch["account"], batch["day"], batch["bodies"]):
+                folder = f"{place}/AWSLogs/o-1/{account}/CloudTrail/eu-west-1/{day}"
+                system.create_dir(folder, recursive=True)
+                for k in range(0, len(bodies), 200):
+                    text = '{"Records":[' + ",".join(bodies[k : k + 200]) + "]}"
+                    write(folder, f"{k}.json.gz", gzip.compress(text.encode()))
+                if int(account) % 5 == 1:
+                    decoy = '{"eventID":"decoy","eventName":"' + random.Random(k).randbytes(LARGEST_FILE).hex() + '"}'
+                    write(folder, "large.json.gz", gzip.compress(b'{"Records":[' + decoy.encode() + b"]}"))
+                if int(account) % 5 == 2:
+                    write(folder, "broken.json.gz", gzip.compress(b'{"Records":[{"eventID":"decoy"}')[:-3])
+                if int(account) % 5 == 3:
+                    write(folder, "empty.json.gz", gzip.compress(b'{"Records":[]}'))
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    folders = parts.groupBy("account", "day").agg(F.collect_list("body").alias("bodies"))
+    folders.mapInPandas(put, "written long").agg(F.sum("written")).collect()
+    return root
+
+
+def _scan_rows(scan: DataFrame) -> DataFrame:
+    """Records, and a row for each file that gave none."""
+    scan = store_table(scan, "audit-scan")
+    kept = ["eventID", "eventName", "eventSource", "eventTime", "errorCode"]
+    records = sources.audit_records(scan).select(*kept, F.col("userIdentity.arn").alias("userArn"), F.lit("").alias("problem"), "account_id")
+    name = F.substring_index("path", "/", -4)
+    lost = sources.audit_problems(scan).select(
+        name.alias("eventID"), *(F.lit(None).cast("string").alias(c) for c in (*kept[1:], "userArn")),
+        F.substring_index("problem", ":", 1).alias("problem"), "account_id",
+    )
+    return records.unionByName(lost)
+
+
 @query
 def audit_file_size_filter(spark, sf):
-    return _audit_query(spark, sf, "size", max_bytes=50 * 1024 * 1024)
+    """Every file of the trail up to a size; larger and broken ones are rows of their own."""
+    root = _write_org_files(spark, sf)
+    return _scan_rows(sources.scan_audit_files(spark, root, max_bytes=LARGEST_FILE, account_pattern=sources.ORG_ACCOUNT))
 
 
 @query
@@ -208,9 +276,9 @@ def audit_date_prefixes(spark, sf):
 
 @query
 def audit_org_prefixes(spark, sf):
-    return _audit_query(
-        spark, sf, "org", folder="account", account_pattern=r"/account=AWSLogs-([^/]+)/"
-    )
+    """The organization's files of a period, all accounts in one read, problems recorded."""
+    root = _write_org_files(spark, sf)
+    return _scan_rows(sources.scan_org_audit_files(spark, root, PERIOD, "o-1", max_bytes=LARGEST_FILE))
 
 
 @query

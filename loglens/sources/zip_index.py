@@ -12,8 +12,6 @@ Ranged reads go through the file systems of Arrow (local, s3, hdfs, gs, abfs) or
 
 from __future__ import annotations
 
-import codecs
-import json
 import re
 import struct
 import zipfile
@@ -24,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import store_table
 from .bundles import MEMBERS, MEMBER_ROW
+from .json_items import PIECE, items_of
 
 INDEX = "file string, member string, method int, start bigint, packed bigint, size bigint, checksum bigint, error string"
-PIECE = 1 << 20
 #: Members of this size or more are read twice, to be checked before their items are given.
 HOLD = 64 << 20
 TASK_BYTES = 64 << 20
@@ -108,71 +106,6 @@ def _pieces(file, method: int, start: int, packed: int, checksum: int) -> Iterat
         raise zipfile.BadZipFile("bad CRC-32 of a member")
 
 
-def items_of(pieces: Iterator[bytes]) -> Iterator[str]:
-    """The JSON items of a list, or the one value, as text; holds one item and a piece."""
-    decode = codecs.getincrementaldecoder("utf-8")().decode
-    scan = json.JSONDecoder().scan_once
-    blank = re.compile(r"[ \t\r\n]*").match
-    text, at, done = "", 0, False
-
-    def more() -> bool:
-        nonlocal text, at, done
-        for piece in pieces:
-            text, at = text[at:] + decode(piece), 0
-            return True
-        if not done:
-            decode(b"", True)
-        done = True
-        return False
-
-    def next_char() -> str:
-        nonlocal at
-        while True:
-            at = blank(text, at).end()
-            if at < len(text):
-                return text[at]
-            if not more():
-                return ""
-
-    def value() -> str:
-        nonlocal at
-        next_char()
-        while True:
-            try:
-                _, end = scan(text, at)
-                # A number, or a word, may go on in the next piece (1.5e, then 10).
-                if text[at] in '{["' or (end < len(text) and text[end] in " \t\r\n,]}") or not more():
-                    out, at = text[at:end], end
-                    return out
-            except (StopIteration, json.JSONDecodeError) as error:
-                size = len(text) - at
-                # Read about as much again before the next try, so that a long item costs little.
-                while more() and len(text) < 2 * size + PIECE:
-                    pass
-                if done and len(text) - at == size:
-                    raise ValueError(f"no JSON value in the last {size} characters") from error
-
-    if next_char() == "[":
-        at += 1
-        if next_char() == "]":
-            at += 1
-        else:
-            while True:
-                yield value()
-                mark = next_char()
-                at += 1
-                if mark == "]":
-                    break
-                if mark != ",":
-                    raise ValueError("a list goes on without a comma")
-                if next_char() == "]":
-                    raise ValueError("a list ends with a comma")
-    else:
-        yield value()
-    if next_char():
-        raise ValueError("text behind the value")
-
-
 def _read(open_file: Callable, batches) -> Iterator:
     import pyarrow as pa
 

@@ -7,7 +7,7 @@ import pytest
 
 from loglens import sources
 from loglens.sources import zip_index
-from loglens.sources.zip_index import items_of
+from loglens.sources.json_items import items_of
 
 
 def random_value(rng, depth=0):
@@ -49,6 +49,22 @@ def test_broken_text():
         list(items_of(iter([b'["\xc3'])))
 
 
+def test_items_of_one_entry():
+    rng = random.Random(6)
+    for _ in range(200):
+        value = {f"k{i}": random_value(rng) for i in range(rng.randint(0, 3))}
+        wanted = [random_value(rng) for _ in range(rng.randint(0, 4))]
+        entries = list(value.items()) + [("Records", wanted)]
+        rng.shuffle(entries)
+        text = json.dumps(dict(entries), indent=rng.choice([None, 1]))
+        assert [json.loads(x) for x in items_of(pieces(text.encode(), rng), "Records")] == wanted
+    assert list(items_of(iter([b'{"a": 1, "Records": null}']), "Records")) == []
+    assert list(items_of(iter([b"{}"]), "Records")) == []
+    for text in (b"[]", b"{", b'{"Records": [1', b'{"Records": [1]', b'{"Records" [1]}', b'{"Records": [1],}', b"{1: 2}", b""):
+        with pytest.raises(ValueError):
+            list(items_of(iter([text]), "Records"))
+
+
 def write(path, members, method=zipfile.ZIP_DEFLATED):
     with zipfile.ZipFile(path, "w", method) as bundle:
         for name, text in members.items():
