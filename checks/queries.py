@@ -1277,7 +1277,7 @@ def _stream(spark: SparkSession, sf: str, name: str = "usage_log") -> DataFrame:
     return view(spark, sf, name, events=arriving)
 
 
-BATCHES = 4
+BATCHES = 2
 
 
 def _batches(spark: SparkSession, sf: str, root: str) -> DataFrame:
@@ -1287,10 +1287,13 @@ def _batches(spark: SparkSession, sf: str, root: str) -> DataFrame:
     return st.read_stream(spark, f"{root}/arriving", rows.schema, files_per_batch=1)
 
 
-def _merged_stream(spark: SparkSession, sf: str, root: str) -> DataFrame:
-    """The first stage of the streams: the first copies of each batch, merged by the reader."""
-    st.append_partials(_batches(spark, sf, root), st.first_copies, f"{root}/events", f"{root}/cp-events").awaitTermination()
-    return st.merge_copies(spark.read.parquet(f"{root}/events").drop("batch"))
+def _merged_stream(spark: SparkSession, sf: str, name: str, **summaries) -> st.MergedTable:
+    """The arriving files merged batch by batch into one deduplicated table."""
+    root = work_dir(spark, name)
+    arriving = _batches(spark, sf, root).withColumn("user_id", fn.user_id("user_arn", F.lit("")))
+    merged = st.MergedTable(spark, f"{root}/merged", arriving.schema, summaries, buckets=1)
+    merged.follow(arriving, f"{root}/cp").awaitTermination()
+    return merged
 
 
 @query
@@ -1303,48 +1306,57 @@ def stream_events(spark, sf):
 
 @query
 def stream_dedupe(spark, sf):
-    return _merged_stream(spark, sf, work_dir(spark, "stream-dedupe")).select("event_id", "event_time")
+    return _merged_stream(spark, sf, "stream-dedupe").rows().select("event_id", "event_time")
 
 
 @query
 def stream_hourly_counts(spark, sf):
-    hours = st.window_totals(_merged_stream(spark, sf, work_dir(spark, "stream-hours")), "1 hour")
-    return hours.select(fn.hour_key("window_start").alias("hour"), "event_count")
+    hours = _merged_stream(spark, sf, "stream-hours", hours=st.counts_by("1 hour")).summary("hours")
+    totals = hours.groupBy("window_start").agg(F.sum("event_count").alias("event_count"))
+    return totals.select(fn.hour_key("window_start").alias("hour"), "event_count")
 
 
 @query
 def stream_minute_peak(spark, sf):
-    minutes = st.window_totals(_merged_stream(spark, sf, work_dir(spark, "stream-minutes")), "1 minute")
-    return minutes.agg(F.max("event_count").alias("peak_concurrency"))
+    minutes = _merged_stream(spark, sf, "stream-minutes", minutes=st.counts_by("1 minute")).summary("minutes")
+    totals = minutes.groupBy("window_start").agg(F.sum("event_count").alias("event_count"))
+    return totals.agg(F.max("event_count").alias("peak_concurrency"))
 
 
 @query
 def stream_workgroup_stats(spark, sf):
-    root = work_dir(spark, "stream-groups")
-    merged = _merged_stream(spark, sf, f"{root}/first")
-    merged.repartition(BATCHES).write.parquet(f"{root}/deduped")
-    events = st.read_stream(spark, f"{root}/deduped", merged.schema, files_per_batch=1)
-    rows = events.withColumns(
-        {"user_id": fn.user_id("user_arn", F.lit("")), "data_scanned": F.col("data_scanned_bytes")}
-    )
-    st.append_partials(
-        rows, st.workgroup_cells, f"{root}/groups", f"{root}/cp-groups"
-    ).awaitTermination()
-    merged = st.merge_partials(
-        spark, f"{root}/groups", "workgroup", "user_id", ["query_count", "data_scanned"]
+    cells = st.cells_by(["workgroup", "user_id"], {"data_scanned": "data_scanned_bytes"})
+    users = _merged_stream(spark, sf, "stream-groups", users=cells).summary("users")
+    return users.groupBy("workgroup").agg(
+        F.sum("query_count").alias("query_count"), F.sum("data_scanned").alias("data_scanned"), F.countDistinct("user_id").alias("unique_users")
     )
-    return merged.withColumnRenamed("unique_members", "unique_users")
 
 
 @query
 def stream_enrich(spark, sf):
+    """Starts and statistics arrive in three files each; every fifth statistics row comes after
+    the horizon and is put in by the correction. The last files move both watermarks on."""
     root = work_dir(spark, "stream-enrich")
-    starts = _stream(spark, sf, "usage_row").withColumns(
-        {"user_id": fn.user_id("user_arn", F.lit("")), "database": F.col("db")}
-    )
-    stats = sources.read_execution_stats(view(spark, sf, "execution_stats"))
-    joined = st.stream_enrich(starts, stats)
-    st.run_to_files(joined, f"{root}/facts", f"{root}/cp").awaitTermination()
-    return spark.read.parquet(f"{root}/facts").select(
-        "event_id", "query_execution_id", "query", "workgroup", "database", "status", "data_scanned"
-    )
+    late = F.col("id") % 5 == 0
+    starts = view(spark, sf, "usage_row").withColumns({"user_id": fn.user_id("user_arn", F.lit("")), "database": F.col("db")})
+    times = starts.select("id", "query_execution_id", "event_time")
+    rows = sources.read_execution_stats(view(spark, sf, "execution_stats")).join(times, "query_execution_id", "left")
+    rows = rows.withColumn("stats_time", F.coalesce("event_time", F.lit("2024-01-01").cast("timestamp_ntz")) + F.expr("INTERVAL 10 MINUTES"))
+    rows = rows.withColumn("stats_time", F.when(late, F.col("stats_time") + F.expr("INTERVAL 10 DAYS")).otherwise(F.col("stats_time")))
+    rows = store_table(rows, "statistics-rows")
+    half = "< TIMESTAMP_NTZ '2024-01-16 00:00:00'"
+    end = F.lit("2030-01-01").cast("timestamp_ntz")
+    early, then = (F.expr(f"event_time {half}"), F.expr(f"stats_time {half}"))
+    for part in (starts.filter(early), starts.filter(~early), starts.limit(1).withColumns({"query_execution_id": F.lit("end"), "event_time": end})):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/starts")
+    for part in (rows.filter(then), rows.filter(~then), rows.limit(1).withColumns({"query_execution_id": F.lit("end"), "stats_time": end})):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/stats")
+
+    def arriving(name, schema):
+        return st.read_stream(spark, f"{root}/{name}", schema, files_per_batch=1)
+
+    facts = st.enrich_arriving(arriving("starts", starts.schema), arriving("stats", rows.schema))
+    st.run_to_files(facts, f"{root}/facts", f"{root}/cp").awaitTermination()
+    seen = spark.read.parquet(f"{root}/stats").filter("query_execution_id <> 'end'")
+    done = st.corrected(spark.read.parquet(f"{root}/facts"), seen).filter("query_execution_id <> 'end'")
+    return done.select("event_id", "query_execution_id", "query", "workgroup", "database", "status", "data_scanned")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 _ORDER = ("event_time", "event_id")
 _START = ("event_time", "event_id", "user_id", "account_id")
 _TEXT = ("query_string", "workgroup", "database")
-_STATS = ("query", "workgroup", "database", "status", "data_scanned", "execution_time_ms")
+STATS = ("query", "workgroup", "database", "status", "data_scanned", "execution_time_ms")
 
 
 def query_starts(events: DataFrame) -> DataFrame:
@@ -38,8 +38,12 @@ def enrich_queries(starts: DataFrame, stats: DataFrame) -> DataFrame:
     Both sides hold one row per id, so no key is hot, and the aggregate that
     built the starts has already placed them for the join.
     """
-    right = stats.select("query_execution_id", F.struct(*_STATS).alias("stats"))
-    joined = starts.join(right, "query_execution_id", "left")
+    right = stats.select("query_execution_id", F.struct(*STATS).alias("stats"))
+    return prefer_stats(starts.join(right, "query_execution_id", "left"))
+
+
+def prefer_stats(joined: DataFrame, *kept: str) -> DataFrame:
+    """Facts of starts with a ``stats`` column, null where none were found; and columns to keep."""
     have = F.col("stats").isNotNull()
     fallback = {
         "query": F.col("query_string"),
@@ -54,8 +58,9 @@ def enrich_queries(starts: DataFrame, stats: DataFrame) -> DataFrame:
         *_START,
         *(
             F.when(have, F.col("stats")[c]).otherwise(fallback[c]).alias(c)
-            for c in _STATS
+            for c in STATS
         ),
+        *kept,
     )
 
 

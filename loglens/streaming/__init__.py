@@ -1,5 +1,6 @@
 """The same event work as Structured Streaming."""
 
+from .enrich import corrected, enrich_arriving
 from .jobs import (
     append_partials,
     first_copies,
@@ -15,5 +16,6 @@ from .jobs import (
     workgroup_cells,
     write_windows,
 )
+from .merged import MergedTable, cells_by, counts_by
 
 __all__ = [name for name in dir() if not name.startswith("_")]

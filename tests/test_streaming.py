@@ -97,3 +97,30 @@ def test_no_row_is_lost_in_any_order_of_batches(spark, folder):
     merged = st.merge_copies(spark.read.parquet(f"{folder}/out").drop("batch"))
     assert sorted(r.event_id for r in merged.collect()) == ["", "", "1", "2", "3", "4"]
     assert sorted(r.event_count for r in st.window_totals(merged, "1 hour").collect()) == [1, 2, 3]
+
+
+STATS = "query_execution_id string, query string, workgroup string, database string, status string, data_scanned long, execution_time_ms long, stats_time timestamp"
+
+
+def statistics(i, minutes):
+    return (f"q{i}", "SELECT 1", "s", "d", "OK", 5, 7, START + timedelta(minutes=minutes))
+
+
+def test_statistics_that_arrive_after_the_start(spark, folder):
+    schema = SCHEMA + ", query_execution_id string, account_id string, query_string string, database string"
+    full = lambda i, minutes: (*row(i, minutes), f"q{i}", "a", "own", "own_db")
+    for files, kind, name in (
+        ([[full(1, 0), full(2, 1), full(3, 2), full(4, 3)], [full(5, 600)], [full(9, 100000)]], schema, "starts"),
+        ([[statistics(1, 5)], [statistics(2, 30), statistics(5, 610)], [statistics(3, 3000), statistics(8, 100000)]], STATS, "stats"),
+    ):
+        for rows in files:
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    facts = st.enrich_arriving(
+        stream(spark, f"{folder}/starts", files_per_batch=1), stream(spark, f"{folder}/stats", files_per_batch=1), horizon="2 hours"
+    )
+    st.run_to_files(facts, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    assert sorted((r.event_id, r.found) for r in out.collect()) == [("1", True), ("2", True), ("3", False), ("4", False), ("5", True)]
+    whole = st.corrected(out, spark.read.parquet(f"{folder}/stats"))
+    got = sorted((r.event_id, r.query, r.status) for r in whole.collect())
+    assert got == [("1", "SELECT 1", "OK"), ("2", "SELECT 1", "OK"), ("3", "SELECT 1", "OK"), ("4", "own", ""), ("5", "SELECT 1", "OK")]
