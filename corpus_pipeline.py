@@ -4,13 +4,14 @@ Each stage takes the documents its predecessor kept, with all their columns, and
 the last give documents of the same columns; ``n_chars`` follows the text. ``run`` writes
 what a stage gives as Parquet in the shared folder and reads it for the next one.
 
-A row whose doc_id or text is null goes through every stage (a null text is empty text);
+Rows that repeat doc_id and text go through the first stages alike; the near-duplicate stage
+leaves one of them. A row whose doc_id or text is null goes through every stage (a null text is empty text);
 an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.classifier import classify
@@ -49,9 +50,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, and one row of it."""
     copies = near_classes(docs).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return _without(docs, copies, "text_digest", F.sha2(_text(), 256))
+    return _single(_without(docs, copies, "text_digest", F.sha2(_text(), 256)))
+
+
+def _single(docs: DataFrame) -> DataFrame:
+    """Of rows with the same doc_id and text the one whose other columns hash least. Only such
+    rows are shuffled with their texts."""
+    named = docs.withColumns({"one_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "one_key": F.sha2(_text(), 256)})
+    several = named.groupBy("one_id", "one_key").count().filter("count > 1").select("one_id", "one_key")
+    lone = named.join(several, ["one_id", "one_key"], "left_anti")
+    rest = Window.partitionBy("one_id", "one_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    first = named.join(several, ["one_id", "one_key"], "left_semi").withColumn("one_place", F.row_number().over(rest)).filter("one_place = 1")
+    return lone.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import NO_ID, blob, chunk_of, id_array, ids, packed, parts, ranges, spread
+from loglens.llm.common import NO_ID, blob, chunk_of, freeing, id_array, ids, packed, part_count, parts, ranges, spread
 from loglens.session import store_table
 
 ORDER = 5
@@ -313,7 +313,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def cross_entropies(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """For each row the negative logarithm of its probability under the model, in SCORES."""
-    chunks = shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = shards = part_count(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         chunk_of(F.col("doc_id"), chunks).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"),
@@ -321,25 +321,16 @@ def cross_entropies(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     good = trusted_ids(labels).select(chunk_of(F.col("doc_id"), chunks).alias("chunk"), "doc_id")
     by_chunk = rows.groupBy("chunk")
-    counted = by_chunk.cogroup(good.groupBy("chunk")).applyInArrow(_with_key(_count), COUNTS)
+    counted = by_chunk.cogroup(good.groupBy("chunk")).applyInArrow(freeing(_count), COUNTS)
     counts = store_table(counted.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     model = kneser_ney(counts).withColumn("shard", (F.col("gram") % PRIME % shards).cast("int"))
-    asked = by_chunk.cogroup(good.groupBy("chunk")).applyInArrow(_with_key(partial(_ask, shards)), ASKED)
-    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_with_key(_answer), ANSWER)
+    asked = by_chunk.cogroup(good.groupBy("chunk")).applyInArrow(freeing(partial(_ask, shards)), ASKED)
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(freeing(_answer), ANSWER)
     nothing = {"shard": "int", "chances": "binary", "weights": "binary"}
     notes = answers.withColumn("doc_id", F.lit(None).cast("long")).unionByName(
         good.select("chunk", "doc_id", *(F.lit(None).cast(t).alias(n) for n, t in nothing.items()))
     )
-    return by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(_with_key(partial(_score, shards)), SCORES)
-
-
-def _with_key(body):
-    """applyInArrow looks at the number of arguments."""
-
-    def call(key, left, right):
-        return body(key, left, right)
-
-    return call
+    return by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(freeing(partial(_score, shards)), SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

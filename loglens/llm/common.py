@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,12 +13,49 @@ from pyspark.sql import types as T
 #: Stands for a null id inside tasks; a null id comes before every other.
 NO_ID = np.iinfo(np.int64).min
 CHUNKS_PER_PARTITION = 4
+CHUNK_BYTES = 16 << 20
+PART_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 55
+
+
+def expected_bytes(table: DataFrame) -> int:
+    """Bytes Spark expects of a table; 0 where it can't tell (it then says some EB)."""
+    expected = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return expected if expected < UNKNOWN_BYTES else 0
+
+
+def chunk_count(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Chunks the documents are dealt into: a few for each shuffle partition, and more where
+    the table's bytes ask for it, so that chunks grow in number and not in size."""
+    by_partitions = CHUNKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(by_partitions, expected_bytes(docs) // CHUNK_BYTES if docs is not None else 0)
+
+
+def part_count(docs: DataFrame) -> int:
+    """Slots or shards: one for each shuffle partition, and more by the table's bytes."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), expected_bytes(docs) // PART_BYTES)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def freeing(body):
+    """A function of (key, left, right) for applyInArrow, which gives memory back after each group."""
 
+    def call(key, left, right):
+        try:
+            return body(key, left, right)
+        finally:
+            give_back()
 
-def chunk_count(spark: SparkSession) -> int:
-    """Chunks the documents are dealt into: a few for each shuffle partition, so that
-    chunks grow in number, not in size, when the partitions are set to fit the data."""
-    return CHUNKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return call
 
 
 def chunk_of(key: Column | str, chunks: int) -> Column:

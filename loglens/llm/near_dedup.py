@@ -44,9 +44,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import (
-    NO_ID, blob, chunk_count, chunk_of, not_first, packed, parts, spread, unblob, windows_of, with_chunks, word_hashes,
+    NO_ID, blob, chunk_count, chunk_of, freeing, not_first, packed, part_count, parts, spread, unblob, windows_of, with_chunks, word_hashes,
 )
-from loglens.llm.suffix_dedup import COPY, SALTS, _Chunk, _long_bytes, _with_key
+from loglens.llm.suffix_dedup import COPY, SALTS, _Chunk, _long_bytes
 from loglens.session import store_table
 
 WORDS = 5
@@ -388,7 +388,7 @@ def _compared(key, table):
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_digest, class_id of each row; class_id is the smallest doc_id of its class."""
     spark = docs.sparkSession
-    chunks, slots = chunk_count(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks, slots = chunk_count(spark, docs), part_count(docs)
     total = docs.count()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
@@ -398,10 +398,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
         _long_bytes(F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))).alias("docs"), F.col("digest").alias("data"), F.lit(None).cast("binary").alias("more"),
     )
     by_chunk = with_chunks(docs, chunks).groupBy("chunk")
-    asked = by_chunk.cogroup(asides.groupBy("chunk")).applyInArrow(_with_key(partial(_ask, slots)), ASKED)
+    asked = by_chunk.cogroup(asides.groupBy("chunk")).applyInArrow(freeing(partial(_ask, slots)), ASKED)
     answers = asked.groupBy("slot").applyInArrow(_frequencies, NOTES)
     notes = asides.unionByName(answers)
-    vectors = by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(_with_key(partial(_vectors, slots, total)), VECTORS)
+    vectors = by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(freeing(partial(_vectors, slots, total)), VECTORS)
     # A text may be left in two chunks when equal texts share their least doc_id's place: one is enough.
     vectors = store_table(vectors, "vectors")
     members = store_table(vectors.select("node", F.posexplode("bands").alias("band", "bucket")), "buckets")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import (
-    NO_ID, blob, chunk_count, chunk_of, counts_of, id_array, ids, not_first, packed, ranges, result_type, spread, unblob, with_chunks,
+    NO_ID, blob, chunk_count, chunk_of, counts_of, freeing, id_array, ids, not_first, packed, part_count, ranges, result_type, spread, unblob, with_chunks,
 )
 
 LENGTH = 100
@@ -500,8 +500,8 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``texts`` also kept_text
     and the other columns of the row."""
     spark = docs.sparkSession
-    chunks = chunk_count(spark)
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a chunk sends a row to each
+    chunks = chunk_count(spark, docs)
+    slots = part_count(docs)  # a chunk sends a row to each
     dealt = with_chunks(docs, chunks, texts)
     digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     hashes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
@@ -515,21 +515,12 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     def with_notes(notes: DataFrame, body, schema: str) -> DataFrame:
         return by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(body, schema)
 
-    counted = with_notes(asides, _with_key(partial(_count_anchors, slots)), "slot int, chunk int, anchors binary, counts binary")
+    counted = with_notes(asides, freeing(partial(_count_anchors, slots)), "slot int, chunk int, anchors binary, counts binary")
     replies = counted.groupBy("slot").applyInArrow(_repeated_anchors, NOTES)
-    sent = with_notes(asides.unionByName(replies), _with_key(partial(_send_segments, slots)), SEGMENTS)
+    sent = with_notes(asides.unionByName(replies), freeing(partial(_send_segments, slots)), SEGMENTS)
     spans = sent.groupBy("slot").applyInArrow(_losers, NOTES)
     result = result_type(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", texts)
-    return with_notes(asides.unionByName(spans), _with_key(partial(_results, texts)), result)
-
-
-def _with_key(body):
-    """applyInArrow looks at the number of arguments."""
-
-    def call(key, docs, notes):
-        return body(key, docs, notes)
-
-    return call
+    return with_notes(asides.unionByName(spans), freeing(partial(_results, texts)), result)
 
 
 def _long_bytes(value):

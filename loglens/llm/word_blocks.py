@@ -18,11 +18,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loglens.llm.common import blob, ids
+from loglens.llm.common import blob, ids, part_count
 
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 64 << 20
-UNKNOWN_BYTES = 1 << 55
 #: owner and places are of the texts, whose words follow each other in ``codes``.
 FOLDED = "block long, owner binary, places binary, codes binary, words binary, label string"
 ASKED = "shard int, block long, label string, words binary"
@@ -31,10 +29,7 @@ ASKED = "shard int, block long, label string, words binary"
 def shards_for(docs: DataFrame) -> int:
     """Shards by the bytes Spark expects of the table, and not fewer than its partitions.
     A table whose size Spark can't tell (it then says some EB) gets one for each partition."""
-    spark = docs.sparkSession
-    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    by_bytes = expected // SHARD_BYTES if expected < UNKNOWN_BYTES else 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), by_bytes)
+    return part_count(docs)
 
 
 def pack_codes(codes: np.ndarray) -> bytes:

@@ -92,3 +92,12 @@ def test_odd_rows(spark):
         for name, stage in cp.STAGES:
             table = store_table(stage(spark, table, SF), name)
     assert table.count() == 0
+
+
+def test_rows_that_repeat_id_and_text_leave_one(spark):
+    rows = [(1, "one text of a few words here", "en", "a", 3), (1, "one text of a few words here", "en", "b", 3), (2, None, "en", "a", 0)]
+    rows += [(2, None, "en", "a", 0), (None, "alone", "de", "a", 5), (3, "other words stand here now ok", "fr", "a", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_dedup(spark, docs, SF).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(x) for x in {(r[0], r[1]) for r in rows})
+    assert cp.near_dedup(spark, docs.limit(0), SF).collect() == []
