@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import numbered, spread
+from loglens.llm.common import freeing, give_back, numbered, spread
 from loglens.llm.word_blocks import FOLDED, answers_in_order, by_shard, fold, pack_words, planes, shards_for, unplanes, unpack_codes, unpack_words
 from loglens.session import store_table
 
@@ -158,7 +158,8 @@ def _windows(shards: int, blocks: pa.Table, names: pa.Table) -> pa.Table:
         words = unpack_words(r["words"])
         ids = np.array(answers_in_order(words, shards, told), np.int64)
         line = np.append(ids[unpack_codes(r["codes"])], np.zeros(LONGEST, np.int64))
-        at = np.flatnonzero(line)
+        # Lone words are counted with the numbers.
+        at = np.flatnonzero((line[:-1] > 0) & (line[1:] > 0))
         columns = [line[at]]
         for k in range(1, LONGEST):
             columns.append(np.where(columns[-1] > 0, line[at + k], 0))
@@ -235,7 +236,10 @@ def _on_table(body, *arguments):
     """applyInArrow looks at the number of arguments."""
 
     def call(table):
-        return body(*arguments, table)
+        try:
+            return body(*arguments, table)
+        finally:
+            give_back()
 
     return call
 
@@ -250,10 +254,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFram
     asked = blocks.applyInArrow(_on_table(_ask, shards), ASKED)
     names = asked.groupBy("shard").applyInArrow(_on_table(_name, min_count, shards), NAMES)
 
-    def windows(left, right):
+    def windows(key, left, right):
         return _windows(shards, left, right)
 
-    grams = blocks.cogroup(names.groupBy("block")).applyInArrow(windows, GRAMS)
+    grams = blocks.cogroup(names.groupBy("block")).applyInArrow(freeing(windows), GRAMS)
     for widths in ((5, 4), (3,), (2,)):
         grams = grams.groupBy("shard").applyInArrow(_on_table(_flow, widths, min_count, shards), GRAMS)
     found = store_table(grams.select("width", "grams").mapInArrow(_unpack, FOUND), "phrase-counts")

@@ -67,7 +67,7 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
 
 def pack_words(words: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return len(words).to_bytes(8, "little") + zstandard.compress(planes(sizes) + b"".join(words), 1)
+    return len(words).to_bytes(8, "little") + zstandard.compress(planes(sizes) + b"".join(words), 9)
 
 
 def unpack_words(data: bytes) -> list[bytes]:
