@@ -44,6 +44,31 @@ def test_brute_force(spark, monkeypatch, block):
     assert sorted((tuple(r) for r in ts.top_k(few).collect()), key=str) == brute(rows[:5])
 
 
+@pytest.mark.parametrize("kind, sizes", [("float", (1e9, 3e38)), ("double", (1e9, 1e17, 1e150, 2.5e306, 1e308))])
+def test_components_of_any_size(spark, kind, sizes):
+    """Scores beyond a double's whole numbers, beyond a long and beyond any double."""
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, rng.choice((0.2, *sizes))) for _ in range(4)]) for i in range(90)]
+    rows += [(90 + i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(60)]
+    rows += [(200 + i, rows[i % 7][1]) for i in range(40)]  # ties
+    rows += [(300 + i, [s, -s, s, -s + j]) for s in sizes for i, j in ((0, 1), (1, 0), (20, 2))]  # near ties
+    rows = [(i, [x if kind == "double" or abs(x) < 3.4e38 else 3e38 for x in e]) for i, e in rows]
+    if kind == "float":
+        rows = [(i, [float(np.float32(x)) for x in e]) for i, e in rows]
+    exact = {}
+    for i, e in rows:
+        if all(math.isfinite(64 * x) for x in e):
+            exact[i, tuple(math.floor(64 * x) for x in e)] = None
+    want = []
+    for q, a in exact:
+        if q % 20 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in exact if c != q)[:20]
+            want += [(q, r + 1, c, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, c) in enumerate(scores)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in ts.top_k(df).collect()), key=str)
+    assert got == sorted(want, key=str)
+
+
 def test_reading_stops_early():
     """A few strong candidates settle the result before the lists are read to their ends."""
     rng = np.random.default_rng(1)
