@@ -304,6 +304,9 @@ FROM wg JOIN (SELECT workgroup, string_agg('''' || query_type || ''': ' || n, ',
 sql("metric_log_lines", """SELECT '{"type":"SUMMARY","data":' || to_json(o) || '}' AS line FROM overview o
 UNION ALL SELECT '{"type":"WORKGROUP","workgroup":"' || workgroup || '","query_count":' || query_count || ',"unique_users":' || unique_users || '}' FROM wg""")
 sql("write_summary_tables", f"""SELECT 'overview' AS section, 1 AS row_count
+UNION ALL SELECT 'analysis_period', 1
+UNION ALL SELECT 'configuration', {len(ALLOWED) + 2}
+UNION ALL SELECT 'errors', 0
 UNION ALL SELECT 'workgroup_stats', count(*) FROM wg
 UNION ALL SELECT 'workgroup_query_types', count(*) FROM (SELECT DISTINCT workgroup, query_type FROM facts)
 UNION ALL SELECT 'user_stats', count(DISTINCT user_id) FROM aev

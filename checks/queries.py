@@ -450,7 +450,8 @@ def write_workgroup_csv(spark, sf):
 def write_summary_tables(spark, sf):
     root = work_dir(spark, "summary")
     path = sinks.dated_path(root)
-    sections = summary_sections(collected(spark, sf).stored(f"{root}/run"))
+    run = collected(spark, sf).stored(f"{root}/run")
+    sections = summary_sections(run, settings={"analysis_mode": "batch"})
     sinks.write_summary_tables(sections, path)
     out = None
     for name in sections:

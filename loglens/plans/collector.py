@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,9 +21,10 @@ class Collected:
         stats: DataFrame,
         workgroups: Collection[str],
         buckets: Collection[str],
+        period: Period | None = None,
     ):
         self._queries, self._store, self._stats = queries, store, stats
-        self._workgroups, self._buckets = workgroups, buckets
+        self._workgroups, self._buckets, self._period = workgroups, buckets, period
 
     @cached_property
     def events(self) -> DataFrame:
@@ -48,6 +49,21 @@ class Collected:
     def facts(self) -> DataFrame:
         return fc.query_facts(self.enriched)
 
+    @cached_property
+    def analysis_period(self) -> DataFrame:
+        """One row: the period asked for; nulls where the run has none."""
+        ends = (self._period.start, self._period.end) if self._period else (None, None)
+        spark = self._queries.sparkSession
+        return spark.createDataFrame([ends], "period_start timestamp, period_end timestamp")
+
+    def configuration(self, settings: Mapping[str, str] | None = None) -> DataFrame:
+        """(setting, value): a row for each monitored workgroup and bucket and each of ``settings``."""
+        rows = [("monitored_workgroups", name) for name in self._workgroups]
+        rows += [("monitored_s3_buckets", name) for name in self._buckets]
+        rows += [(name, value) for name, value in (settings or {}).items()]
+        spark = self._queries.sparkSession
+        return spark.createDataFrame(rows, "setting string, value string")
+
     @cached_property
     def skipped_workgroups(self) -> DataFrame:
         return ev.skipped_workgroups(self._queries, self._workgroups)
@@ -60,7 +76,9 @@ class Collected:
     def stored(self, path: str) -> Collected:
         """The same run over written tables: the log is read once, and the many
         reports that follow start from clean events and facts."""
-        out = Collected(self._queries, self._store, self._stats, self._workgroups, self._buckets)
+        out = Collected(
+            self._queries, self._store, self._stats, self._workgroups, self._buckets, self._period
+        )
 
         def write(name: str, table: DataFrame) -> DataFrame:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -131,16 +149,30 @@ def collect_usage(
         queries = ev.time_range_filter(queries, period)
         store = ev.time_range_filter(store, period)
     stats = _empty_stats(records.sparkSession) if stats is None else stats
-    return Collected(queries, store, stats, workgroups, buckets)
+    return Collected(queries, store, stats, workgroups, buckets, period)
 
 
-def summary_sections(run: Collected) -> dict[str, DataFrame]:
-    """The sections of a run's summary, sets as rows of their own tables."""
+def summary_sections(
+    run: Collected,
+    errors: DataFrame | None = None,
+    settings: Mapping[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """The sections of a run's summary, sets as rows of their own tables.
+
+    ``errors`` are the files with problems of a scan (``audit_problems``), kept with their
+    path and problem; ``settings`` join the configuration (mode, way over accounts).
+    """
     from ..operators.overview import overview
     from ..operators.querylog import hourly_counts
     from ..operators.store import s3_bucket_stats
 
+    if errors is None:
+        spark = run.events.sparkSession
+        errors = spark.createDataFrame([], "path string, problem string")
     return {
+        "analysis_period": run.analysis_period,
+        "configuration": run.configuration(settings),
+        "errors": errors.select("path", "problem"),
         "overview": overview(
             run.events,
             run.store_events,

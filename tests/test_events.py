@@ -212,6 +212,31 @@ def test_landed_and_stored_runs_equal_the_lazy_one(spark, folder):
     assert lazy.store_events.count() == 1
 
 
+def test_summary_tells_period_settings_and_errors(spark, folder):
+    from loglens import sinks
+
+    records = frame(spark, record("1"), record("2", eventTime="2024-01-02T10:00:00Z"))
+    period = ev.Period.of("2024-01-01T00:00:00Z", "2024-01-03T23:00:00Z")
+    errors = spark.createDataFrame([("b/x.gz", 3, "cut off")], "path string, size bigint, problem string")
+    run = collect_usage(records, workgroups=("primary", "etl"), period=period).stored(f"{folder}/run")
+    sinks.write_summary_tables(summary_sections(run, errors, {"analysis_mode": "batch"}), f"{folder}/out")
+
+    def read(name):
+        return sorted(tuple(map(str, r)) for r in spark.read.parquet(f"{folder}/out/{name}").collect())
+
+    assert read("analysis_period") == [("2024-01-01 00:00:00", "2024-01-03 23:00:00")]
+    assert read("configuration") == [
+        ("analysis_mode", "batch"),
+        ("monitored_s3_buckets", "*"),
+        ("monitored_workgroups", "etl"),
+        ("monitored_workgroups", "primary"),
+    ]
+    assert read("errors") == [("b/x.gz", "cut off")]
+    bare = summary_sections(collect_usage(records))
+    assert [tuple(r) for r in bare["analysis_period"].collect()] == [(None, None)]
+    assert bare["errors"].count() == 0
+
+
 def test_landed_period_opens_only_its_days(spark, folder):
     records = frame(
         spark,
