@@ -556,6 +556,7 @@ sql("merge_export_summaries", " UNION ALL ".join(
         "SELECT 'hour', strftime(event_time, '%Y-%m-%dT%H'), 'query_count', count(*) FROM usage_row GROUP BY 2",
     ]
 ))
+ORACLE["merge_stored_summaries"] = ORACLE["merge_export_summaries"]
 # Examples of each pattern and file, in order.
 _EXAMPLES = f"""SELECT file, hash, ms, unnest(l) AS example, generate_subscripts(l, 1) AS place FROM (
   SELECT account_id || '-' || strftime(event_time, '%Y-%m-%dT%H') || '-' || (id // 1000) AS file, hash,

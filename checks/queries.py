@@ -1105,6 +1105,17 @@ def merge_export_summaries(spark, sf):
     return ov.merge_export_summaries(_summaries(spark, sf))
 
 
+@query
+def merge_stored_summaries(spark, sf):
+    """Each day's summaries are folded and stored by themselves; the merge reads the folds."""
+    path = work_dir(spark, "summary-cells")
+    dated = _summaries(spark, sf).withColumn("day", F.regexp_extract("file", r"\d{4}-\d{2}-\d{2}", 0))
+    for late in (False, True):
+        some = dated.filter((F.col("day") >= "2024-01-16") == F.lit(late))
+        sinks.write_summary_cells(ov.fold_cells(ov.summary_cells(some, "day"), "day"), path)
+    return ov.merge_cells(spark.read.parquet(path))
+
+
 @query
 def merge_pattern_examples(spark, sf):
     return ov.merge_pattern_examples(_summaries(spark, sf))

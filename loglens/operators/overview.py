@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -168,37 +168,84 @@ def merge_section(summaries: DataFrame, section: str) -> DataFrame:
     return count_members(rows, ["name"], {k: f"unique_{column}" for k, column in members.items()}, measures)
 
 
-def merge_query_types(summaries: DataFrame) -> DataFrame:
-    entries = summaries.select(F.explode("workgroup_stats").alias("name", "entry"))
-    types = entries.select("name", F.explode("entry.query_types").alias("query_type", "n"))
-    return types.groupBy("name", "query_type").agg(F.sum("n").alias("query_count"))
+# A cell is one number of an entry, or one of its members. A member's cell has no value; the
+# cell without a member says that the entry is there, so that a count of none is 0.
+CELL = ["section", "name", "part", "measure", "counted", "member"]
+_CELLS = "array<struct<section:string,name:string,part:string,measure:string,counted:boolean,member:string,value:bigint>>"
 
 
-def merge_hours(summaries: DataFrame) -> DataFrame:
-    hours = summaries.select(F.explode("hourly_query_counts").alias("hour", "n"))
-    return hours.groupBy("hour").agg(F.sum("n").alias("event_count"))
+def _number(section: str, name: Column, measure: str, value: Column, part: Column | None = None) -> Column:
+    text, none = F.lit, F.lit(None)
+    return F.struct(
+        text(section), name, none if part is None else part, text(measure), F.lit(False), none, value.cast("bigint")
+    )
+
+
+def _members(section: str, name: Column, column: str, values: Column) -> Column:
+    def cell(member: Column) -> Column:
+        return F.struct(
+            F.lit(section), name, F.lit(None), F.lit(f"unique_{column}"), F.lit(True), member, F.lit(None).cast("bigint")
+        )
+
+    return F.concat(F.array(cell(F.lit(None))).cast(_CELLS), F.coalesce(F.transform(values, cell).cast(_CELLS), _no_cells()))
+
+
+def _no_cells() -> Column:
+    return F.array().cast(_CELLS)
+
+
+def _cells_of(column: str, cells: Callable[[Column, Column], Column]) -> Column:
+    """The cells of all entries of a map column; none of a null."""
+    entries = F.transform(F.map_entries(column), lambda e: cells(e["key"], e["value"]))
+    return F.coalesce(F.flatten(entries), _no_cells())
+
+
+def _entry_cells(section: str, column: str, members: Mapping[str, str], measures: Sequence[str]) -> Column:
+    def cells(name: Column, entry: Column) -> Column:
+        numbers = F.array(*(_number(section, name, m, entry[m]) for m in measures)).cast(_CELLS)
+        return F.concat(numbers, *(_members(section, name, c, entry[c]) for c in members.values()))
+
+    return _cells_of(column, cells)
+
+
+def _type_cells(name: Column, entry: Column) -> Column:
+    types = F.transform(
+        F.map_entries(entry["query_types"]), lambda t: _number("query_type", name, "query_count", t["value"], t["key"])
+    )
+    return F.coalesce(types.cast(_CELLS), _no_cells())
+
+
+def _hour_cells(name: Column, n: Column) -> Column:
+    return F.array(_number("hour", name, "query_count", n)).cast(_CELLS)
+
+
+def summary_cells(summaries: DataFrame, *kept: str) -> DataFrame:
+    """All sections of all summaries as cells, with the columns ``kept``; each summary is read once."""
+    parts = [_entry_cells(section, *fields) for section, fields in _SECTIONS.items()]
+    parts.append(_cells_of("workgroup_stats", _type_cells))
+    parts.append(_cells_of("hourly_query_counts", _hour_cells))
+    return summaries.select(*kept, F.inline(F.concat(*parts)))
+
+
+def fold_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """One row per number and per member, for each value of ``keys``. Folds of parts may be
+    stored and folded again; an entry of a third of all rows is spread over its members."""
+    return cells.groupBy(*keys, *CELL).agg(F.sum("value").alias("value"))
+
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """(section, name, measure, value): numbers are summed, members are counted once."""
+    entry = [c for c in CELL if c != "member"]
+    value = F.when(F.col("counted"), F.count("member")).otherwise(F.sum("value"))
+    merged = fold_cells(cells).groupBy(*entry).agg(value.alias("value"))
+    return merged.filter("value IS NOT NULL").select(
+        "section", F.concat_ws("/", "name", "part").alias("name"), "measure", "value"
+    )
 
 
 def merge_export_summaries(summaries: DataFrame) -> DataFrame:
     """All sections with all their numbers in one table: (section, name, measure, value)."""
-    parts = []
-    for section in _SECTIONS:
-        merged = merge_section(summaries, section)
-        numbers = [c for c in merged.columns if c != "name"]
-        pairs = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("value")) for c in numbers))
-        parts.append(merged.select(F.lit(section).alias("section"), "name", F.inline(pairs)))
-    types = merge_query_types(summaries).withColumn("name", F.concat_ws("/", "name", "query_type"))
-    hours = merge_hours(summaries).select(F.col("hour").alias("name"), F.col("event_count").alias("query_count"))
-    for section, table in (("query_type", types), ("hour", hours)):
-        parts.append(
-            table.select(
-                F.lit(section).alias("section"), "name", F.lit("query_count").alias("measure"), F.col("query_count").alias("value")
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.filter("value IS NOT NULL")
+    return merge_cells(summary_cells(summaries))
 
 
 def _pattern_entries(summaries: DataFrame) -> DataFrame:

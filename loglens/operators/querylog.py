@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import functions as fn, rules
 from ..functions.sqltext import is_high_complexity, join_types
-from .ranking import count_and_first, ARRIVAL, first_k, top_k, with_share
+from .ranking import ARRIVAL, count_and_first, first_k, first_k_and_count, top_k, with_share
 
 _ALIASES = {
     "query_string": ("query_string", "query"),
@@ -158,11 +158,8 @@ def high_complexity_queries(classified: DataFrame) -> DataFrame:
 
 def first_high_complexity(classified: DataFrame, k: int = 10) -> DataFrame:
     """First k in order of arrival and the number of the others."""
-    total = classified.filter(is_high_complexity()).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    rows = high_complexity_queries(classified).orderBy(*ARRIVAL).limit(k)
-    return rows.select(
+    rows = high_complexity_queries(classified).withColumn("of", F.lit("all"))
+    return first_k_and_count(rows, "of", ARRIVAL, k).orderBy("rank").select(
         "query_id",
         "join_count",
         F.coalesce(
@@ -171,7 +168,7 @@ def first_high_complexity(classified: DataFrame, k: int = 10) -> DataFrame:
         "cte_count",
         "subquery_count",
         "query_preview",
-        F.greatest(total.scalar() - k, F.lit(0)).alias("more_queries"),
+        F.greatest(F.col("total") - k, F.lit(0)).alias("more_queries"),
     )
 
 
@@ -210,14 +207,13 @@ def ddl_by_table(classified: DataFrame) -> DataFrame:
 def ddl_samples_by_type(classified: DataFrame, k: int = 10) -> DataFrame:
     """First k per type and the number of the others."""
     ops = ddl_operations(classified).filter(F.col("type").isin(*rules.DDL_SAMPLE_TYPES))
-    samples = first_k(ops, ["type"], ARRIVAL, k)
-    totals = ddl_by_type(classified).withColumnRenamed("ddl_type", "type")
-    return samples.join(totals, "type").select(
+    rows = ops.select("type", *ARRIVAL, "user_id", "query_string")
+    return first_k_and_count(rows, "type", ARRIVAL, k).select(
         F.col("type").alias("ddl_type"),
         "rank",
         "user_id",
         "query_string",
-        F.greatest(F.col("ddl_count") - k, F.lit(0)).alias("more_queries"),
+        F.greatest(F.col("total") - k, F.lit(0)).alias("more_queries"),
     )
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ARRIVAL = ("event_time", "event_id")
@@ -31,6 +35,51 @@ def first_k(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def _least(rows: pa.Table, key: str, order_by: Sequence[str], k: int, total: str) -> pa.Table:
+    """The first k rows of each key; the first of them carries the sum of the key's totals."""
+    by = [(c, "ascending") for c in (key, *order_by)]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=by, null_placement="at_start"))
+    codes = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
+    totals = np.zeros(len(codes), np.int64)
+    totals[starts] = np.add.reduceat(rows.column(total).to_numpy(), starts)
+    rows = rows.set_column(rows.schema.get_field_index(total), total, pa.array(totals))
+    return rows.filter(pa.array(place < k))
+
+
+def _fold_least(
+    batches: Iterator[pa.RecordBatch], key: str, order_by: Sequence[str], k: int, total: str
+) -> Iterator[pa.RecordBatch]:
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([*kept, batch])
+            kept = _least(rows, key, order_by, k, total).combine_chunks().to_batches()
+    yield from kept
+
+
+def first_k_and_count(
+    rows: DataFrame, key: str, order_by: Sequence[str], k: int, rank: str = "rank", total: str = "total"
+) -> DataFrame:
+    """First k rows per key, numbered from 1, with the number of all rows of the key.
+
+    One read: a task folds its batches to k rows a key, the first of which carries the
+    count. These are folded again in ``SPREAD`` places a key, so the last window sees at
+    most ``SPREAD`` times k rows of a key, however large it is.
+    """
+    counted = rows.withColumn(total, F.lit(1).cast("bigint"))
+    fold = partial(_fold_least, key=key, order_by=tuple(order_by), k=k, total=total)
+    place = F.pmod(F.xxhash64(*order_by), F.lit(SPREAD))
+    places = counted.mapInArrow(fold, counted.schema).repartition(F.col(key), place)
+    least = places.mapInArrow(fold, counted.schema)
+    group = Window.partitionBy(key)
+    ranked = least.withColumns(
+        {rank: F.row_number().over(group.orderBy(*order_by)), total: F.sum(total).over(group)}
+    )
+    return ranked.filter(F.col(rank) <= k)
+
+
 def count_and_first(rows: DataFrame, key: str, count: str, value: str) -> DataFrame:
     """Rows per key and the value of the first row in order of arrival that has one.
 

@@ -7,7 +7,7 @@ from .reports import (
     write_lines,
     write_workgroup_csv,
 )
-from .tables import dated_path, write_event_tables, write_summary_tables
+from .tables import dated_path, write_event_tables, write_summary_cells, write_summary_tables
 
 __all__ = [
     "csv_rows",
@@ -16,6 +16,7 @@ __all__ = [
     "workgroup_report_lines",
     "write_event_tables",
     "write_lines",
+    "write_summary_cells",
     "write_summary_tables",
     "write_workgroup_csv",
 ]

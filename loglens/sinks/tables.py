@@ -35,3 +35,14 @@ def write_event_tables(
         .format(file_format)
         .save(path)
     )
+
+
+def write_summary_cells(cells: DataFrame, path: str) -> None:
+    """Folded cells with a ``day`` column, a folder a day. Only the days at hand are replaced,
+    so adding or mending a day reads the summaries of that day and no others."""
+    (
+        cells.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(path)
+    )

@@ -216,3 +216,22 @@ def test_report_tables_over_a_stored_classified_log(spark, folder):
     lazy = report_tables(ql.classify_log(log), store)
     for name in ("ddl_by_type", "join_types_ranked", "flags_ranked", "ddl_samples_by_type"):
         assert rows[name] == lazy[name].collect()
+
+
+def test_first_k_and_count_equals_window_and_count(spark):
+    from loglens.operators.ranking import first_k_and_count
+
+    rows = spark.range(5000, numPartitions=7).select(
+        F.when(F.col("id") % 11 > 0, F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40))).alias("kind"),
+        F.when(F.col("id") % 13 > 0, F.pmod(F.xxhash64("id"), F.lit(50))).alias("event_time"),
+        F.col("id").cast("string").alias("event_id"),
+    )
+    order = ["event_time", "event_id"]
+    got = sorted(first_k_and_count(rows, "kind", order, 4).select("kind", *order, "rank", "total").collect(), key=str)
+    rows.createOrReplaceTempView("kinds")
+    want = spark.sql(
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY event_time, event_id) AS rank,
+        count(*) OVER (PARTITION BY kind) AS total FROM kinds) WHERE rank <= 4"""
+    )
+    assert got == sorted(want.collect(), key=str) and {r.kind for r in got} >= {None, "hot"}
+    assert first_k_and_count(rows.limit(0), "kind", order, 4).count() == 0

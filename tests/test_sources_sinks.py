@@ -133,6 +133,34 @@ def test_merging_summaries(bundles):
     assert rows["bucket", "b", "get_count"] == 6 and rows["user", "ann", "unique_workgroups"] == 1
 
 
+def test_cells_of_days_are_replaced_and_folded_again(spark, tmp_path):
+    from loglens.operators.overview import fold_cells, merge_cells, summary_cells
+    from loglens.sinks import write_summary_cells
+
+    def documents(*rows):
+        raw = spark.createDataFrame([(d, json.dumps(x)) for d, x in rows], "day string, body string")
+        return raw.select("day", F.from_json("body", schemas.SUMMARY).alias("s")).select("day", "s.*")
+
+    def store(table):
+        write_summary_cells(fold_cells(summary_cells(table, "day"), "day"), str(tmp_path / "cells"))
+
+    def work(n, users, types):
+        return {"workgroup_stats": {"w/x": {"query_count": n, "users": users, "query_types": types}, "none": {}}}
+
+    first = ("2024-01-01", work(3, ["ann", "bob"], {"SELECT": 3}))
+    store(documents(first, ("2024-01-02", work(9, ["wrong"], {"DROP": 9}))))
+    second = ("2024-01-02", work(4, ["bob", "", None], {"SELECT": 1, "y": None}))
+    store(documents(second))
+    merged = merge_cells(spark.read.parquet(str(tmp_path / "cells")))
+    got = {(r.section, r.name, r.measure): r.value for r in merged.collect()}
+    assert got == {
+        ("workgroup", "w/x", "query_count"): 7, ("workgroup", "w/x", "unique_users"): 3,
+        ("workgroup", "none", "unique_users"): 0, ("query_type", "w/x/SELECT", "query_count"): 4,
+    }
+    whole = merge_export_summaries(documents(first, second, ("2024-01-03", {}), ("2024-01-03", {"workgroup_stats": {"none": None}})))
+    assert {(r.section, r.name, r.measure): r.value for r in whole.collect()} == got
+
+
 def test_examples_of_summaries(spark):
     def pattern(*examples, **more):
         return {"count": 4, "examples": list(examples), "users": ["bob", "ann"], "total_execution_time_ms": 8_000_000, **more}
