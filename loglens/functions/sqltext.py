@@ -149,11 +149,13 @@ def query_complexity(query: str, upper: str = "") -> Column:
     )
 
 
+def high_complexity(complexity: Column) -> Column:
+    least = F.lit(rules.HIGH_COMPLEXITY)
+    return (complexity["join_count"] >= least) | (complexity["subquery_count"] >= least)
+
+
 def is_high_complexity(complexity: str = "complexity") -> Column:
-    return F.expr(
-        f"{complexity}.join_count >= {rules.HIGH_COMPLEXITY} "
-        f"OR {complexity}.subquery_count >= {rules.HIGH_COMPLEXITY}"
-    )
+    return high_complexity(F.col(complexity))
 
 
 def join_types(complexity: str = "complexity") -> Column:

@@ -8,12 +8,12 @@ number, after which each text is matched once however often it was run.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import functions as fn, rules
-from ..functions.sqltext import is_high_complexity, join_types
+from ..functions.sqltext import high_complexity, is_high_complexity, join_types
 from .ranking import ARRIVAL, count_and_first, first_k, first_k_and_count, top_k, with_share
 
 _ALIASES = {
@@ -91,6 +91,18 @@ def _tag_counts(classified: DataFrame, tags: str, name: str) -> DataFrame:
     return rows.groupBy(name).agg(F.sum("n").alias("query_count"))
 
 
+def _with_tag(classified: DataFrame, tag: str, hit: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose tag fulfils ``hit``. A generator names the tag, so it is computed once: a
+    plain filter sinks to the scan and its patterns are tested there and in each use."""
+    found = F.explode_outer(F.filter(F.array(tag), hit)).alias(tag)
+    rows = classified.select(*(c for c in classified.columns if c != tag), found)
+    return rows.filter(F.col(tag).isNotNull())
+
+
+def _with_ddl(classified: DataFrame) -> DataFrame:
+    return _with_tag(classified, "ddl", lambda d: d.isNotNull())
+
+
 def _count_where(hit: Column, weight: Column) -> Column:
     return F.coalesce(F.sum(F.when(hit, weight)), F.lit(0).cast("bigint"))
 
@@ -145,7 +157,8 @@ def complexity_totals(classified: DataFrame) -> DataFrame:
 
 def high_complexity_queries(classified: DataFrame) -> DataFrame:
     c = F.col("complexity")
-    return classified.filter(is_high_complexity()).select(
+    high = _with_tag(classified, "complexity", high_complexity)
+    return high.select(
         *ARRIVAL,
         "query_id",
         c["join_count"].alias("join_count"),
@@ -176,13 +189,13 @@ def first_high_complexity(classified: DataFrame, k: int = 10) -> DataFrame:
 
 
 def ddl_operations(classified: DataFrame) -> DataFrame:
-    return classified.filter(F.col("ddl").isNotNull()).select(
+    return _with_ddl(classified).select(
         *ARRIVAL, "user_id", "ddl.*", "query_string"
     )
 
 
 def _ddl_counts(classified: DataFrame, **keys: str) -> DataFrame:
-    rows = classified.filter(F.col("ddl").isNotNull())
+    rows = _with_ddl(classified)
     return rows.groupBy(*(F.col(c).alias(name) for name, c in keys.items())).agg(
         F.count(F.lit(1)).alias("ddl_count")
     )
