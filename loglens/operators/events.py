@@ -51,8 +51,11 @@ def dedupe_events(
     Rows without an id pass by the shuffle; nothing depends on their place in the input.
     """
     has_id = F.coalesce(F.col(key), F.lit("")) != ""
-    plain = [f.name for f in events.schema.fields if not isinstance(f.dataType, MapType)]
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order_by, F.xxhash64(*plain)))
+    whole = [
+        F.sort_array(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name)
+        for f in events.schema.fields
+    ]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order_by, F.xxhash64(*whole)))
     first = events.filter(has_id).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
     return first.unionByName(events.filter(~has_id))
 

@@ -98,48 +98,64 @@ def account_rollup(facts: DataFrame, events: DataFrame, store_events: DataFrame)
     databases, databases with their users and tables, patterns, statement types, hours of
     the events and buckets of the object store.
 
-    Rows are folded to (account, level, name, member) once; the total over accounts is a
-    second grouping set over those folded rows.
+    Each table is read once; its rows are folded to (account, level, name, member), the total
+    over accounts is a second grouping set over those folded rows. A user's last activity is
+    the latest of their events.
     """
-    measures = ["query_count", "data_scanned"]
-    one = F.lit(1).cast("bigint").alias("query_count")
-    entities = ", ".join(f"named_struct('level', '{level}', 'name', {name}, 'other', {other})" for level, name, other in _ROLLUP)
-    known = facts.withColumns({"pattern_hash": fn.query_fingerprint("query"), "query_type": fn.classify_query("query")})
-    counted = known.select("account_id", one, "data_scanned", F.expr(f"inline(array({entities}))"))
-    rows = member_rows(counted, ["account_id", "level", "name"], {"member": "other"}, measures)
-    tables = facts.select(
-        "account_id", F.lit("database_table").alias("level"), F.col("database").alias("name"),
-        one, "data_scanned", fn.extract_tables("query").alias("other"),
+    keys, measures = ["account_id", "level", "name"], ["query_count", "data_scanned"]
+    entry = "named_struct('level', '{}', 'name', {}, 'other', {})"
+    entities = [entry.format(level, name, f"array({other})") for level, name, other in _ROLLUP]
+    entities.append(entry.format("database_table", "database", "tables"))
+    known = facts.withColumns(
+        {
+            "pattern_hash": fn.query_fingerprint("query"),
+            "query_type": fn.classify_query("query"),
+            "tables": fn.extract_tables("query"),
+        }
     )
-    rows = rows.unionByName(member_rows(tables, ["account_id", "level", "name"], {"member": "other"}, measures))
-    for table, level, name in ((events, "hour", fn.hour_key("event_time")), (store_events, "bucket", F.col("bucket"))):
-        part = table.select(
-            "account_id", F.lit(level).alias("level"), name.alias("name"), one,
-            F.lit(None).cast("bigint").alias("data_scanned"), F.col("user_id").alias("other"),
-        ).filter("name IS NOT NULL")
-        rows = rows.unionByName(member_rows(part, ["account_id", "level", "name"], {"member": "other"}, measures))
-    keys = ["level", "name", "kind", "member"]
-    both = rows.groupingSets([["account_id", *keys], keys], "account_id", *keys).agg(
-        *(F.sum(m).alias(m) for m in measures), F.grouping("account_id").alias("_all")
+    one = F.lit(1).cast("bigint").alias("query_count")
+    counted = known.select("account_id", one, "data_scanned", F.expr(f"inline(array({', '.join(entities)}))"))
+    no_time = F.lit(None).cast(events.schema["event_time"].dataType)
+    rows = member_rows(counted, keys, {"member": "other"}, measures).withColumn(_LAST, no_time)
+    rows = rows.unionByName(_rollup_events(events, "hour", fn.hour_key("event_time"), no_time, F.col("event_time")))
+    rows = rows.unionByName(_rollup_events(store_events, "bucket", F.col("bucket"), no_time))
+    group = ["level", "name", "kind", "member"]
+    both = rows.groupingSets([["account_id", *group], group], "account_id", *group).agg(
+        *(F.sum(m).alias(m) for m in measures), F.max(_LAST).alias(_LAST), F.grouping("account_id").alias("_all")
     )
     account = F.when(F.col("_all") == 1, "ALL").otherwise(F.col("account_id"))
-    folded = count_members(
-        both.withColumn("account_id", account),
-        ["account_id", "level", "name"],
-        {"member": "unique_members"},
-        measures,
+    folded = both.withColumn("account_id", account).groupBy(*keys).agg(
+        *(F.sum(m).alias(m) for m in measures),
+        F.count_if(F.col("kind") == "member").alias("unique_members"),
+        F.max(_LAST).alias(_LAST),
     )
-    activity = (
-        events.groupingSets([["account_id", "user_id"], ["user_id"]], "account_id", "user_id")
-        .agg(F.max("event_time").alias("last_activity"), F.grouping("account_id").alias("_all"))
-        .select(
-            account.alias("account_id"),
-            F.lit("user").alias("level"),
-            F.col("user_id").alias("name"),
-            "last_activity",
-        )
+    return folded.filter("query_count IS NOT NULL")
+
+
+_LAST = "last_activity"
+
+
+def _rollup_events(
+    events: DataFrame, level: str, name: Column, no_time: Column, activity: Column | None = None
+) -> DataFrame:
+    """Folded rows of one level with the users as members; given the time of an ``activity``,
+    also rows that hold nothing but the last one of each user."""
+    no_count = F.lit(None).cast("bigint")
+
+    def item(level: str, name: Column, kind: str, member: Column, n: Column, last: Column) -> Column:
+        fields = {"level": F.lit(level), "name": name, "kind": F.lit(kind), "member": member, "query_count": n, _LAST: last}
+        return F.struct(*(value.alias(key) for key, value in fields.items()))
+
+    items = [
+        item(level, name, "", F.lit(""), F.lit(1).cast("bigint"), no_time),
+        item(level, name, "member", F.col("user_id"), no_count, no_time),
+    ]
+    if activity is not None:
+        items.append(item("user", F.col("user_id"), "", F.lit(""), no_count, activity))
+    rows = events.select("account_id", F.inline(F.array(*items))).filter("name IS NOT NULL AND member IS NOT NULL")
+    return rows.groupBy("account_id", "level", "name", "kind", "member").agg(
+        F.sum("query_count").alias("query_count"), no_count.alias("data_scanned"), F.max(_LAST).alias(_LAST)
     )
-    return folded.join(activity, ["account_id", "level", "name"], "left")
 
 
 # Map sections of a summary: (column, members in each entry, sums in each entry).
