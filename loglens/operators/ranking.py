@@ -44,7 +44,8 @@ def _least(rows: pa.Table, key: str, order_by: Sequence[str], k: int, total: str
     place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
     totals = np.zeros(len(codes), np.int64)
     totals[starts] = np.add.reduceat(rows.column(total).to_numpy(), starts)
-    rows = rows.set_column(rows.schema.get_field_index(total), total, pa.array(totals))
+    # The field as it was: folded rows must fit the batches that follow them.
+    rows = rows.set_column(rows.schema.get_field_index(total), rows.schema.field(total), pa.array(totals))
     return rows.filter(pa.array(place < k))
 
 

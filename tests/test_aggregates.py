@@ -235,3 +235,28 @@ def test_first_k_and_count_equals_window_and_count(spark):
     )
     assert got == sorted(want.collect(), key=str) and {r.kind for r in got} >= {None, "hot"}
     assert first_k_and_count(rows.limit(0), "kind", order, 4).count() == 0
+
+
+def _in_batches_of(spark, size, rows):
+    """The collected rows, with Arrow batches of a few rows as in a large table."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        return rows.collect()
+    finally:
+        spark.conf.set(name, before)
+
+
+def _logged(spark, text, n=40):
+    rows = spark.range(n, numPartitions=1).select(
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("event_time"),
+        F.format_string("e%02d", "id").alias("event_id"), F.format_string("q%02d", "id").alias("query_id"), F.lit("u").alias("user_id"),
+        F.lit(text).alias("query_string"),
+    )
+    return ql.classify_log(rows)
+
+
+def test_ddl_samples_of_several_batches_a_task(spark):
+    got = _in_batches_of(spark, 7, ql.ddl_samples_by_type(_logged(spark, "DROP TABLE b"), 3))
+    assert sorted((r.ddl_type, r["rank"], r.more_queries) for r in got) == [("DROP", k, 37) for k in (1, 2, 3)]
