@@ -260,3 +260,9 @@ def _logged(spark, text, n=40):
 def test_ddl_samples_of_several_batches_a_task(spark):
     got = _in_batches_of(spark, 7, ql.ddl_samples_by_type(_logged(spark, "DROP TABLE b"), 3))
     assert sorted((r.ddl_type, r["rank"], r.more_queries) for r in got) == [("DROP", k, 37) for k in (1, 2, 3)]
+
+
+def test_first_high_complexity_of_several_batches_a_task(spark):
+    text = "SELECT 1 FROM a JOIN b ON 1 = 1 JOIN c ON 1 = 1 JOIN d ON 1 = 1"
+    got = _in_batches_of(spark, 7, ql.first_high_complexity(_logged(spark, text)))
+    assert [(r.query_id, r.more_queries) for r in got] == [(f"q{k:02d}", 30) for k in range(10)]
