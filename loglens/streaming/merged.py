@@ -31,6 +31,7 @@ Summary = Callable[[DataFrame], DataFrame]
 _FOLDER = ["day", "bucket"]
 _MANIFEST = "day string, bucket int, version long"
 _BITMAPS = "number long, bitmap binary"
+PLACES = 8
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -124,13 +125,16 @@ class MergedTable:
         """Merge the rows of a batch; the same number again replaces what it did before."""
         now = self.manifest(number)
         staged = f"{self.root}/staging/version={number}"
-        self._placed(dedupe_events(batch.select(*self.schema.names), self.key, (self.time,))).write.mode("overwrite").parquet(staged)
+        first = dedupe_events(batch.select(*self.schema.names), self.key, (self.time,), places=PLACES)
+        self._placed(first).write.mode("overwrite").parquet(staged)
         new = self.spark.read.parquet(staged)
         touched = {(r.day, r.bucket) for r in new.select(*_FOLDER).distinct().collect()}
         touched |= self._repeats(new, now) if now else set()
         old = self._read("rows", {f: v for f, v in now.items() if f in touched}, self.schema)
         names = self.schema.names
-        merged = self._placed(dedupe_events(old.select(*names).unionByName(new.select(*names)), self.key, (self.time,)))
+        # An id has at most one row in a folder and one in the batch.
+        both = old.select(*names).unionByName(new.select(*names))
+        merged = self._placed(dedupe_events(both, self.key, (self.time,), places=1))
         self._write("rows", merged, number)
         written = self.spark.read.schema(StructType([*self.schema.fields]).add("day", StringType()).add("bucket", IntegerType())).parquet(
             f"{self.root}/rows/version={number}"

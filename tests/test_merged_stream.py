@@ -91,3 +91,43 @@ def test_stream_of_files(spark, folder):
     merged.follow(arriving, f"{folder}/cp").awaitTermination()
     whole = dedupe_events(spark.createDataFrame([r for b in batches for r in b], SCHEMA))
     assert rows_of(merged.rows()) == rows_of(whole)
+
+
+def test_a_batch_is_dealt_before_it_is_sorted(spark, folder):
+    """One large file is read by one task; what that task sorts grew with the file."""
+    rows = spark.range(2000, numPartitions=1).select(
+        F.when(F.col("id") % 9 > 0, F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("e"), F.col("id") % 300))).alias("event_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.xxhash64("id"), F.lit(60)).cast("int"))).alias("event_time"),
+        F.col("id"),
+    )
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    rows = spark.read.parquet(f"{folder}/in")
+    want = sorted(dedupe_events(rows).collect(), key=str)
+    assert all(sorted(dedupe_events(rows, places=n).collect(), key=str) == want for n in (1, 8))
+    plans = []
+    write = MergedTable._placed
+
+    class Watched(MergedTable):
+        def _placed(self, rows):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            return write(self, rows)
+
+    Watched(spark, f"{folder}/merged", rows.schema, buckets=1).apply(rows, 0)
+    lines = plans[0].split("Union")[1].splitlines()
+    depth = [line for line in lines if "Sort [" in line or "Exchange" in line or "FileScan" in line]
+    first_scan = next(i for i, line in enumerate(depth) if "FileScan" in line)
+    assert "Exchange" in depth[first_scan - 1]
+
+
+def test_a_larger_log_arrives_in_more_files(spark, monkeypatch):
+    import glob
+
+    from checks import queries
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "FILE_ROWS", 200)
+    merged = queries._merged_stream(spark, sf, "more-files")
+    n = queries.usage(spark, sf).count()
+    root = merged.root.rsplit("/", 1)[0]
+    assert len(glob.glob(f"{root}/arriving/*.parquet")) == 2 * (1 + (n - 1) // 400) > 2
+    assert len(glob.glob(f"{root}/merged/manifest/batch=*")) == 2
