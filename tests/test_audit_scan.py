@@ -1,4 +1,6 @@
 import gzip
+import re
+import glob
 import json
 import os
 import random
@@ -81,3 +83,19 @@ def test_large_files_are_read_twice(folder, monkeypatch):
     rows = [r for b in audit_scan._scan(lambda p: open(p, "rb"), None, [batch]) for r in b.to_pylist()]
     assert [json.loads(r["body"])["eventID"] for r in rows if r["body"]] == [str(i) for i in range(900)]
     assert [r["path"][-9:] for r in rows if r["problem"]] == ["b.json.gz"]
+
+
+def test_trail_is_written_record_by_record(spark, monkeypatch):
+    """No row holds a folder's records: those grow with the log."""
+    from pyspark.sql.types import ArrayType
+
+    from checks import queries
+
+    fed, frame = [], type(spark.range(1))
+    write = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda rows, *more: (fed.append(rows), write(rows, *more))[1])
+    root = queries._write_org_files(spark, "/root/testdata/sf0.001")
+    assert len(fed) == 1 and not [f for f in fed[0].schema if isinstance(f.dataType, ArrayType)]
+    files = [p for p in glob.glob(f"{root}/**/*.json.gz", recursive=True) if re.search(r"/\d+\.json\.gz$", p)]
+    sizes = [len(json.loads(gzip.open(p).read())["Records"]) for p in files]
+    assert sum(sizes) == fed[0].count() and max(sizes) <= queries.FILE_RECORDS
