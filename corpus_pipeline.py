@@ -50,20 +50,24 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, and one row of it."""
+    """One document of each class of near copies stays, and one row of it.
+
+    Both are decided by doc_id and text digest, so the documents are dealt by them once: of rows
+    alike the one whose other columns hash least goes on (a task sends one of them), and the rows
+    that stand for another document go where they arrive."""
+    key = ["one_id", "one_digest"]
     copies = near_classes(docs).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return _single(_without(docs, copies, "text_digest", F.sha2(_text(), 256)))
-
-
-def _single(docs: DataFrame) -> DataFrame:
-    """Of rows with the same doc_id and text the one whose other columns hash least. Only such
-    rows are shuffled with their texts."""
-    named = docs.withColumns({"one_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "one_key": F.sha2(_text(), 256)})
-    several = named.groupBy("one_id", "one_key").count().filter("count > 1").select("one_id", "one_key")
-    lone = named.join(several, ["one_id", "one_key"], "left_anti")
-    rest = Window.partitionBy("one_id", "one_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    first = named.join(several, ["one_id", "one_key"], "left_semi").withColumn("one_place", F.row_number().over(rest)).filter("one_place = 1")
-    return lone.select(*docs.columns).unionByName(first.select(*docs.columns))
+    gone = copies.select(_name(F.col("doc_id")).alias(key[0]), F.unhex("text_digest").alias(key[1])).distinct()
+    named = docs.withColumns({key[0]: _name(F.col("doc_id")), key[1]: F.unhex(F.sha2(_text(), 256))})
+    rest = Window.partitionBy(*key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    single = named.withColumn("one_place", F.row_number().over(rest)).filter("one_place = 1")
+    # An anti join would sink below the window and its first cut.
+    told = single.join(gone.withColumn("one_gone", F.lit(True)), key, "left").filter("one_gone IS NULL")
+    return told.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _name(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long").cast("string"), F.lit("null"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every stage of the pipeline on what its predecessor kept, against plain Python."""
 
 import os
+import re
 
 import pytest
 
@@ -101,3 +102,18 @@ def test_rows_that_repeat_id_and_text_leave_one(spark):
     got = cp.near_dedup(spark, docs, SF).collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(x) for x in {(r[0], r[1]) for r in rows})
     assert cp.near_dedup(spark, docs.limit(0), SF).collect() == []
+
+
+def test_near_shuffles_whole_documents_once(spark):
+    """Beside the classes, which are stored by then."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = cp.near_dedup(spark, docs, SF)._jdf.queryExecution()
+        text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "formatted")
+    finally:
+        spark.conf.set(name, before)
+    moved = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: (.*)", text, re.M)
+    assert len(moved) > 1 and sum("source#" in columns for columns in moved) == 1
