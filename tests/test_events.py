@@ -302,3 +302,22 @@ def test_period_does_not_depend_on_the_session_zone(spark):
 def test_unreadable_wrapped_records_are_listed(spark):
     rows = spark.createDataFrame([('{"eventID": "1"}',), ('{"eventID": "2"',), ("no json",), (None,)], "CloudTrailEvent string")
     assert sorted(r[0] for r in ev.unreadable_api_records(rows).collect()) == ["no json", '{"eventID": "2"']
+
+
+def test_records_are_gathered_before_their_json_is_parsed(spark, folder):
+    from loglens.plans import collector
+
+    days = [record(str(n), eventTime=f"2024-01-{n:02d}T00:00:00Z", requestParameters={"queryString": f"SELECT {n}"}) for n in range(1, 32)]
+    odd = [record("x", eventTime="not-a-time", requestParameters={}), record("y", eventTime="2024-02-01T00:00:00Z", requestParameters=None)]
+    records = frame(spark, *days, *odd).coalesce(1)
+    flat, _ = collector._gathered(records, False, True)
+    later, earlier = flat._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
+    assert "AS _req" in later and "AS _req" not in earlier
+    assert len(days) > collector.OPEN_FOLDERS
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    landed = land_records(records, f"{folder}/land")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    want = ev.normalize_events(ev.route_events(records)).collect()
+    assert sorted(map(str, landed.drop("event_date").select(*flat.drop("event_date").columns).collect())) == sorted(map(str, want))
+    got = {r.event_id: (str(r.event_date), r.query_string) for r in landed.collect()}
+    assert got["7"] == ("2024-01-07", "SELECT 7") and got["x"] == ("None", None) and got["y"] == ("2024-02-01", None)
