@@ -321,3 +321,17 @@ def test_records_are_gathered_before_their_json_is_parsed(spark, folder):
     assert sorted(map(str, landed.drop("event_date").select(*flat.drop("event_date").columns).collect())) == sorted(map(str, want))
     got = {r.event_id: (str(r.event_date), r.query_string) for r in landed.collect()}
     assert got["7"] == ("2024-01-07", "SELECT 7") and got["x"] == ("None", None) and got["y"] == ("2024-02-01", None)
+
+
+def test_stored_facts_keep_what_reports_read_from_their_text(spark, folder):
+    from loglens.operators import overview, usage
+
+    run = collect_usage(frame(spark, record("1"))).stored(f"{folder}/run")
+    reports = [usage.query_patterns(run.facts), usage.database_stats(run.facts), overview.account_rollup(run.facts, run.events, run.store_events)]
+    for report in reports[:2]:
+        assert "regexp" not in report._jdf.queryExecution().optimizedPlan().toString()
+    lazy = collect_usage(frame(spark, record("1")))
+    again = [usage.query_patterns(lazy.facts), usage.database_stats(lazy.facts), overview.account_rollup(lazy.facts, lazy.events, lazy.store_events)]
+    for report, other in zip(reports, again):
+        assert sorted(map(str, report.collect())) == sorted(map(str, other.collect()))
+    assert "regexp" in again[0]._jdf.queryExecution().optimizedPlan().toString()
