@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import for_workers
+
 ARRIVAL = ("event_time", "event_id")
 SPREAD = 32
 
@@ -69,7 +71,7 @@ def first_k_and_count(
     count. These are folded again in ``SPREAD`` places a key, so the last window sees at
     most ``SPREAD`` times k rows of a key, however large it is.
     """
-    counted = rows.withColumn(total, F.lit(1).cast("bigint"))
+    counted = for_workers(rows).withColumn(total, F.lit(1).cast("bigint"))
     fold = partial(_fold_least, key=key, order_by=tuple(order_by), k=k, total=total)
     place = F.pmod(F.xxhash64(*order_by), F.lit(SPREAD))
     places = counted.mapInArrow(fold, counted.schema).repartition(F.col(key), place)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..operators.events import Period
-from ..session import store_table
+from ..session import for_workers, store_table
 from .audit_files import ORG_ACCOUNT, ORG_LAYOUT, audit_paths
 from .json_items import PIECE, items_of
 from .zip_index import open_by_uri
@@ -118,7 +118,7 @@ def scan_audit_files(
     def run(batches):
         return _scan(open_file, max_bytes, batches)
 
-    rows = files.repartition(tasks, "path").mapInArrow(run, SCAN)
+    rows = for_workers(files).repartition(tasks, "path").mapInArrow(run, SCAN)
     account = [F.regexp_extract("path", account_pattern, 1).alias("account_id")] if account_pattern else []
     record = F.when(F.col("body").isNotNull(), F.from_json("body", schemas.RECORD)).alias("record")
     return rows.select("path", "size", "problem", *account, record)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..session import for_workers
 
 MEMBERS = ("summary.json", "athena_events.json", "s3_events.json", "per_account_summary.json")
 MEMBER_ROW = "file string, member string, position bigint, body string, error string"
@@ -64,7 +65,7 @@ def read_bundle_members(spark: SparkSession, path: str | list[str]) -> DataFrame
 
 def unzip_members(files: DataFrame) -> DataFrame:
     """Members of zips held as rows (path, content)."""
-    return files.select("path", "content").mapInPandas(_unzip, MEMBER_ROW)
+    return for_workers(files).select("path", "content").mapInPandas(_unzip, MEMBER_ROW)
 
 
 def read_export_bundles(members: DataFrame) -> dict[str, DataFrame]:

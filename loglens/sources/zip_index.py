@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import store_table
+from ..session import for_workers, store_table
 from .bundles import MEMBERS, MEMBER_ROW
 from .json_items import PIECE, items_of
 
@@ -74,7 +74,7 @@ def bundle_index(
     def run(batches):
         return _index(open_file, members, batches)
 
-    return listed.select("path").mapInArrow(run, INDEX)
+    return for_workers(listed).select("path").mapInArrow(run, INDEX)
 
 
 def _pieces(file, method: int, start: int, packed: int, checksum: int) -> Iterator[bytes]:
@@ -161,4 +161,4 @@ def read_indexed_members(index: DataFrame, task_bytes: int = TASK_BYTES, open_fi
     def run(batches):
         return _read(open_file, batches)
 
-    return dealt.mapInArrow(run, MEMBER_ROW)
+    return for_workers(dealt).mapInArrow(run, MEMBER_ROW)

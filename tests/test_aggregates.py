@@ -1,6 +1,9 @@
 """Aggregates and ranked tables against brute force on small fixtures."""
 
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +269,22 @@ def test_first_high_complexity_of_several_batches_a_task(spark):
     text = "SELECT 1 FROM a JOIN b ON 1 = 1 JOIN c ON 1 = 1 JOIN d ON 1 = 1"
     got = _in_batches_of(spark, 7, ql.first_high_complexity(_logged(spark, text)))
     assert [(r.query_id, r.more_queries) for r in got] == [(f"q{k:02d}", 30) for k in range(10)]
+
+
+def test_first_k_and_count_in_a_session_started_elsewhere(tmp_path):
+    """Python workers find the package, though neither their folder nor PYTHONPATH names it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    body = f"""import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from loglens.operators.ranking import first_k_and_count
+from loglens.session import get_spark
+spark = get_spark("elsewhere", "local[1]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+rows = spark.range(9).select(F.lit("all").alias("of"), "id")
+print("ROWS", sorted((r.id, r["rank"], r.total) for r in first_k_and_count(rows, "of", ["id"], 2).collect()))
+spark.stop()
+"""
+    (tmp_path / "job.py").write_text(body)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS [(0, 1, 9), (1, 2, 9)]" in run.stdout, run.stderr[-2000:]
