@@ -269,6 +269,15 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFram
 # --- unary paths ---
 
 
+def _dealt_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the corpus, so both are dealt by its key.
+
+    Spark expects of a stored table what its packed files hold. Phrases take over ten times that
+    as rows, and a table it takes for small would go whole through the driver to every executor.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _shorter(longer: DataFrame) -> DataFrame:
     """Both phrases that a longer one extends by a word."""
     size = F.size("words")
@@ -284,7 +293,7 @@ def compacted(phrases: DataFrame) -> DataFrame:
     """
     multiple = phrases.filter(F.size("words") > 1)
     most = _shorter(multiple).groupBy("inner").agg(F.max("longer_n").alias("longer_n"))
-    joined = multiple.join(most, F.col("words") == F.col("inner"), "left")
+    joined = _dealt_join(multiple, most, F.col("words") == F.col("inner"), "left")
     return joined.filter("longer_n IS NULL OR longer_n < n").select("words", "n")
 
 
@@ -326,7 +335,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     phrases, words, totals = phrase_counts(docs, min_count)
     left = compacted(phrases).withColumnRenamed("n", "a")
-    spelled = left.select("words", "a", F.posexplode("words").alias("place", "id")).join(words, "id")
+    spelled = _dealt_join(left.select("words", "a", F.posexplode("words").alias("place", "id")), words, "id")
     spelled = spelled.groupBy("words", "a", "label").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("parts"))
     spelled = spelled.select("words", "a", "label", F.array_join(F.transform("parts", lambda x: x["word"]), " ").alias("phrase"))
     scored = spelled.join(totals, "label")
@@ -336,7 +345,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
     )
     heads = phrases.select(F.col("words").alias("head"), F.col("n").alias("l"))
     rests = phrases.select(F.col("words").alias("rest"), F.col("n").alias("r"))
-    cuts = cuts.join(heads, "head").join(rests, "rest")
+    cuts = _dealt_join(_dealt_join(cuts, heads, "head"), rests, "rest")
     top_part = (_decimal("a") * _decimal("total")).cast("decimal(35,0)") * F.lit(1000).cast("decimal(4,0)")
     low_part = (_decimal("l") * _decimal("r")).cast("decimal(38,0)")
     cuts = cuts.withColumn("above", top_part.cast("decimal(38,0)")).withColumn("below", low_part)

@@ -110,3 +110,13 @@ def test_large_numbers_and_empty(spark):
     got = collocations(df, min_count=100).collect()
     assert [tuple(r) for r in got] == [("en", 1, "p q", 400, 400, 400, 800, 1000 * 400 * 800 // (400 * 400))]
     assert collocations(df.limit(0)).collect() == []
+
+
+def test_phrases_are_never_broadcast(spark, rows):
+    """A stored table of phrases is small as a file and large as rows: only the totals of the
+    languages go whole through the driver."""
+    got = collocations(frame(spark, rows), min_count=8, top=25)
+    modes = re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),", got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == sorted(expected(rows, 8, 25))
+    modes += re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),", got._jdf.queryExecution().executedPlan().toString())
+    assert modes and all("string" in x for x in modes), modes
