@@ -201,3 +201,25 @@ def test_every_page_is_differenced():
     kept = "<main><p>%s<p>A passage of both</main><div><p>Something long that stands outside the body, by %s</div>"
     a, b = page("/a", kept % ("One", "Ann")), page("/b", kept % ("Two", "Bob"))
     assert hx.main_text(a, None, b) == "One A passage of both"
+
+
+def test_regions_of_the_template_give_way():
+    """The regions of a page are differenced before they are weighed: one that both neighbours
+    carry whole is the site's, one that a single neighbour carries may be an article on two pages."""
+
+    def texts(html, words=("Rain", "Sun", "Wind")):
+        pages = [hx.Page(1, "", "h", f"/{w}", hx.blocks(html.replace("%s", w))) for w in words]
+        return hx.main_text(pages[1], pages[0], pages[2])
+
+    news = "%s is the news of the day, told here in full"
+    promo = "<article><p>What we ourselves are about, as on every page of this site</article>"
+    want = news.replace("%s", "Sun")
+    assert texts(f"{promo}<article><p>{news}</article>") == want
+    assert texts(f"{promo}<div><p>{news}</div>") == want
+    assert texts(f"<main><p>{news}{promo}</main>") == want
+    assert texts(f"<article><p>{news}<p>A passage of all</article>{promo}") == f"{want} A passage of all"
+    both = hx.Page(1, "", "h", "/b", hx.blocks(f"{promo}<article><p>{news}</article>"))
+    near = hx.Page(2, "", "h", "/a", hx.blocks(f"{promo}<article><p>Another text of about that length</article>"))
+    far = hx.Page(3, "", "h", "/c", hx.blocks("<article><p>Nothing of it is here</article>"))
+    for neighbours in ((near, far), (far, near), (near, None)):
+        assert hx.main_text(both, *neighbours) == f"What we ourselves are about, as on every page of this site {news}"
